@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ISO_MINUTES = "yyyy-MM-dd'T'HH:mm"
-ISO_MINUTES_ZONE = "yyyy-MM-dd'T'HH:mmX"
-ISO_SECONDS_ZONE = "yyyy-MM-dd'T'HH:mm:ssX"
+# The plain cast reads ISO text with seconds or without a zone, but no zone after minutes.
+ISO_MINUTES_ZONE = "yyyy-MM-dd'T'HH:mmXXX"
 
 
 def cube(x: Column) -> Column:
@@ -50,12 +49,7 @@ def parse_utc(text: Column) -> Column:
 
     NULL for malformed text. The session zone has to be UTC.
     """
-    return F.coalesce(
-        F.try_to_timestamp(text, F.lit(ISO_MINUTES_ZONE)),
-        F.try_to_timestamp(text, F.lit(ISO_MINUTES)),
-        F.try_to_timestamp(text, F.lit(ISO_SECONDS_ZONE)),
-        F.try_to_timestamp(text),
-    )
+    return F.coalesce(F.try_to_timestamp(text, F.lit(ISO_MINUTES_ZONE)), F.try_to_timestamp(text))
 
 
 def round_half_even(x: Column, places: int = 1) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridcast.operators.dedupe import keep_last_of
+from gridcast.schemas import struct
 from gridcast.session import scratch_path
 from gridcast.sources.tables import (
     PARTITIONS,
@@ -19,7 +20,7 @@ from gridcast.sources.tables import (
     write_table,
 )
 
-DONE = T.StructType.fromDDL("token STRING")
+DONE = struct({"token": T.StringType()})
 
 
 def upsert(history: DataFrame, new: DataFrame, keys: Sequence[str] = ("datetime",), order: Sequence[str] = ()) -> DataFrame:

@@ -9,12 +9,13 @@ from datetime import date, timedelta
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from gridcast.operators.dedupe import keep_last_of
 from gridcast.operators.ranges import closed_days, until_end_of_day
 from gridcast.plans.features import engineer_features
 from gridcast.plans.history import assemble_weather, resolve_history, upsert_table
 from gridcast.plans.training import score
 from gridcast.schemas import FeatureSpec
-from gridcast.sources.tables import table_exists, write_series, write_table
+from gridcast.sources.tables import PARTITIONS, table_exists, write_series, write_table
 
 HISTORY_DAYS = 3
 
@@ -23,12 +24,15 @@ HISTORY_DAYS = 3
 class Tables:
     """Where a run keeps its tables."""
 
-    root: str
+    snapshot: str
+    history: str
+    features: str
+    predictions: str
 
-    def __getattr__(self, name: str) -> str:
-        if name not in ("snapshot", "history", "features", "predictions"):
-            raise AttributeError(name)
-        return f"{self.root.rstrip('/')}/{name}"
+    @staticmethod
+    def under(root: str) -> Tables:
+        root = root.rstrip("/")
+        return Tables(f"{root}/snapshot", f"{root}/history", f"{root}/features", f"{root}/predictions")
 
 
 def nightly(
@@ -76,5 +80,6 @@ def extend_history(spark: SparkSession, tables: Tables, features: DataFrame, spe
     snapshot = spark.read.parquet(tables.snapshot) if table_exists(spark, tables.snapshot) else None
     base = resolve_history(history, snapshot, features)
     if base is not history:
-        write_series(base.drop("year", "month"), tables.history, spec.time, order=keys, replace=True)
+        start = keep_last_of([base.drop(*PARTITIONS)], keys)
+        write_series(start, tables.history, spec.time, order=keys, replace=True)
     upsert_table(spark, tables.history, features, keys, spec.time)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
@@ -18,45 +19,65 @@ BASELINE = "wind_perc_lag_48h"
 LAG_ROWS = {"30m": 1, "1h": 1, "3h": 3, "24h": 24, "48h": 48}
 ROLLING_ROWS = {"3h": 6, "24h": 48, "48h": 96}
 
-MIX_ENTRY = T.StructType.fromDDL("fuel STRING, perc DOUBLE, actual DOUBLE")
-GENERATION_INTERVAL = T.StructType.fromDDL(
-    "`from` STRING, generationmix ARRAY<STRUCT<fuel: STRING, perc: DOUBLE, actual: DOUBLE>>"
-)
-GENERATION_DOCUMENT = T.StructType.fromDDL(
-    "data ARRAY<STRUCT<`from`: STRING, "
-    "generationmix: ARRAY<STRUCT<fuel: STRING, perc: DOUBLE, actual: DOUBLE>>>>"
-)
-WEATHER_DOCUMENT = T.StructType.fromDDL(
-    "hourly STRUCT<time: ARRAY<STRING>, temperature_2m: ARRAY<DOUBLE>, wind_speed_10m: ARRAY<DOUBLE>>"
-)
+_INT, _LONG, _DOUBLE, _STRING = T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType()
+_TIMESTAMP, _DATE = T.TimestampType(), T.DateType()
+
 
-SHARE_SERIES = T.StructType.fromDDL("datetime TIMESTAMP, wind_perc DOUBLE")
-WEATHER_SERIES = T.StructType.fromDDL(
-    "datetime TIMESTAMP, temperature_2m DOUBLE, wind_speed_10m DOUBLE"
+def struct(fields: Mapping[str, T.DataType]) -> T.StructType:
+    """A schema from names and types, in order."""
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+MIX_ENTRY = struct({"fuel": _STRING, "perc": _DOUBLE, "actual": _DOUBLE})
+GENERATION_INTERVAL = struct({"from": _STRING, "generationmix": T.ArrayType(MIX_ENTRY)})
+GENERATION_DOCUMENT = struct({"data": T.ArrayType(GENERATION_INTERVAL)})
+WEATHER_DOCUMENT = struct(
+    {
+        "hourly": struct(
+            {
+                "time": T.ArrayType(_STRING),
+                TEMPERATURE: T.ArrayType(_DOUBLE),
+                SPEED: T.ArrayType(_DOUBLE),
+            }
+        )
+    }
 )
-PREDICTIONS = T.StructType.fromDDL("datetime TIMESTAMP, wind_perc_pred DOUBLE")
-HOLIDAYS = T.StructType.fromDDL("day DATE, name STRING")
-LEARNING_CURVE = T.StructType.fromDDL("iter INT, rmse DOUBLE")
-TRAINING_TIME = T.StructType.fromDDL("iter INT, passed LONG, remaining LONG")
-
-HOLDOUT_METRICS = T.StructType.fromDDL(
-    "optuna_best_cv_rmse DOUBLE, holdout_rmse_perc DOUBLE, holdout_mape_perc DOUBLE, "
-    "best_params MAP<STRING, STRING>"
+
+SHARE_SERIES = struct({TIME: _TIMESTAMP, TARGET: _DOUBLE})
+WEATHER_SERIES = struct({TIME: _TIMESTAMP, TEMPERATURE: _DOUBLE, SPEED: _DOUBLE})
+PREDICTIONS = struct({TIME: _TIMESTAMP, PREDICTION: _DOUBLE})
+HISTORY = struct({TIME: _TIMESTAMP, TARGET: _DOUBLE, BASELINE: _DOUBLE})
+HOLIDAYS = struct({"day": _DATE, "name": _STRING})
+LEARNING_CURVE = struct({"iter": _INT, "rmse": _DOUBLE})
+TRAINING_TIME = struct({"iter": _INT, "passed": _LONG, "remaining": _LONG})
+
+HOLDOUT_METRICS = struct(
+    {
+        "optuna_best_cv_rmse": _DOUBLE,
+        "holdout_rmse_perc": _DOUBLE,
+        "holdout_mape_perc": _DOUBLE,
+        "best_params": T.MapType(_STRING, _STRING),
+    }
 )
-CV_METRICS = T.StructType.fromDDL(
-    "mean_mape_perc DOUBLE, std_mape_perc DOUBLE, mean_rmse_perc DOUBLE, std_rmse_perc DOUBLE, "
-    "folds STRUCT<mape_perc: ARRAY<DOUBLE>, rmse_perc: ARRAY<DOUBLE>>"
+CV_METRICS = struct(
+    {
+        "mean_mape_perc": _DOUBLE,
+        "std_mape_perc": _DOUBLE,
+        "mean_rmse_perc": _DOUBLE,
+        "std_rmse_perc": _DOUBLE,
+        "folds": struct({"mape_perc": T.ArrayType(_DOUBLE), "rmse_perc": T.ArrayType(_DOUBLE)}),
+    }
 )
 
 CALENDAR_FEATURES = {
-    "hour": "INT",
-    "dayofweek": "INT",
-    "dayofyear": "INT",
-    "sin_hour": "DOUBLE",
-    "cos_hour": "DOUBLE",
-    "sin_dayofyear": "DOUBLE",
-    "cos_dayofyear": "DOUBLE",
-    "is_holiday": "INT",
+    "hour": _INT,
+    "dayofweek": _INT,
+    "dayofyear": _INT,
+    "sin_hour": _DOUBLE,
+    "cos_hour": _DOUBLE,
+    "sin_dayofyear": _DOUBLE,
+    "cos_dayofyear": _DOUBLE,
+    "is_holiday": _INT,
 }
 
 
@@ -115,8 +136,5 @@ class FeatureSpec:
 
     def feature_schema(self) -> T.StructType:
         """Schema of the feature and history tables (keys are added by the caller's tables)."""
-        schema = T.StructType().add(self.time, T.TimestampType()).add(self.target, T.DoubleType())
-        integers = {name for name, kind in CALENDAR_FEATURES.items() if kind == "INT"}
-        for name in self.inputs:
-            schema.add(name, T.IntegerType() if name in integers else T.DoubleType())
-        return schema
+        inputs = {name: CALENDAR_FEATURES.get(name, _DOUBLE) for name in self.inputs}
+        return struct({self.time: _TIMESTAMP, self.target: _DOUBLE, **inputs})

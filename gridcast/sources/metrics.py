@@ -16,18 +16,20 @@ def write_document(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def read_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Metrics documents; absent keys are NULL, and an absent or unreadable file gives no rows."""
-    tolerant = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+def read_document(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True
+) -> DataFrame:
+    """Metrics documents; absent keys are NULL, an absent or unreadable file gives no rows.
+
+    `multi_line` reads one (indented) document per file, otherwise each line is a document.
+    """
+    reader = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "DROPMALFORMED")
     try:
-        df = spark.read.schema(tolerant).option("multiLine", True).json(path)
+        return reader.json(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    # Materialised as a column first: Spark refuses to scan for the corrupt column alone.
-    good = df.where(F.col("_corrupt_record").isNull())
-    return good.select(*schema.fieldNames())
 
 
 def cv_document(folds: DataFrame) -> DataFrame:
