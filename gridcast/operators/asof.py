@@ -21,11 +21,12 @@ def nearest_join(
     keys: Sequence[str] = (),
     tolerance: timedelta = HALF_HOUR,
     right_order: Sequence[str] = (),
+    values: Sequence[str] | None = None,
     strategy: str = "auto",
     max_group_rows: int = MAX_GROUP_ROWS,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Every left row with the columns of the right row nearest in time, NULL if none is near.
+    """Every left row with `values` of the right row nearest in time, NULL if none is near.
 
     The tolerance is inclusive. Equal distances take the earlier row. Among right rows with the
     same timestamp the last one (by `right_order`) counts when they lie at or before the left
@@ -33,42 +34,41 @@ def nearest_join(
 
     Both sides are laid into one ordered sequence in which each left row reads the last right
     row before it and the first one after it, so the work is linear in the rows: no pair of
-    rows is ever formed. `auto` measures the groups and takes
-
-    * `series`: one group per key, whose partitioning later per-series windows can reuse;
-    * `bucket`: one group per key and stretch of time, right rows within the tolerance of an
-      edge being copied across it;
-    * `ordered`: equal chunks of a range-partitioned order, when even one stretch is too full.
+    rows is ever formed. The strategies are those of `pick_join_strategy`.
     """
     keys = list(keys)
-    values = [c for c in right.columns if c not in (on, *keys)]
+    if values is None:
+        values = [c for c in right.columns if c not in (on, *keys)]
     clashes = set(values) & set(left.columns)
     if clashes:
         raise ValueError(f"columns on both sides: {sorted(clashes)}")
+    if strategy == "auto":
+        strategy = pick_join_strategy(left, right, on, keys, tolerance, max_group_rows)
 
-    left = left.withColumn("_side", F.lit(1))
-    right = right.where(F.col(on).isNotNull()).withColumn("_side", F.lit(0))
-    right = right.withColumns({f"_order_{i}": F.col(c) for i, c in enumerate(right_order)})
-    order = [on, "_side", *(f"_order_{i}" for i in range(len(right_order)))]
     names = left.columns
-
-    width = tolerance * BUCKET_TOLERANCES
-    if strategy == "auto":
-        strategy = _measure(left, right, on, keys, width, max_group_rows)
-    groups = keys
+    places = [f"_order_{i}" for i in range(len(right_order))]
+    entries = right.where(F.col(on).isNotNull()).select(
+        *keys,
+        on,
+        F.lit(0).alias("_side"),
+        *(F.col(c).alias(place) for c, place in zip(right_order, places)),
+        F.struct(F.col(on).alias("at"), *values).alias("_entry"),
+    )
+    asking = left.withColumn("_side", F.lit(1))
+    groups, order = keys, [on, "_side", *places]
     if strategy == "bucket":
+        width = tolerance * BUCKET_TOLERANCES
         groups = [*keys, "_bucket"]
-        left = left.withColumn("_bucket", _bucket(F.col(on), width))
-        right = right.withColumn("_bucket", F.explode(_buckets_in_reach(F.col(on), width, tolerance)))
-
-    if strategy == "ordered":
+        asking = asking.withColumn("_bucket", _bucket(F.col(on), width))
+        entries = entries.withColumn("_bucket", F.explode(_buckets_in_reach(F.col(on), width, tolerance)))
+    elif strategy == "ordered":
         # Lets the range partitioner split left rows that share a timestamp.
-        left = left.withColumn("_spread", F.xxhash64(*names))
+        asking = asking.withColumn("_spread", F.xxhash64(*names))
         order = [*order, "_spread"]
-    rows = left.unionByName(right, allowMissingColumns=True)
-    entry = F.when(F.col("_side") == 0, F.struct(F.col(on).alias("at"), *values))
+
+    entry = F.col("_entry")
     carried = carry(
-        rows,
+        asking.unionByName(entries, allowMissingColumns=True),
         groups,
         order,
         forward={"_before": entry},
@@ -77,22 +77,41 @@ def nearest_join(
         chunk_rows=chunk_rows,
     ).where(F.col("_side") == 1)
 
+    limit = F.lit(_as_micros(tolerance))
     behind = _micros(F.col(on)) - _micros(F.col("_before.at"))
     ahead = _micros(F.col("_after.at")) - _micros(F.col(on))
-    limit = F.lit(_as_micros(tolerance))
-    near_before = F.when(behind <= limit, behind)
-    near_after = F.when(ahead <= limit, ahead)
-    match = (
-        F.when(near_before.isNotNull() & (near_after.isNull() | (behind <= ahead)), F.col("_before"))
-        .when(near_after.isNotNull(), F.col("_after"))
-    )
-    kept = [c for c in names if c != "_side"]
-    return (
-        carried.withColumn("_match", match)
-        .select(*kept, *(F.col("_match").getField(c).alias(c) for c in values))
+    nearer_after = (ahead <= limit) & (F.col("_before").isNull() | (ahead < behind))
+    match = F.when(nearer_after, F.col("_after")).when(behind <= limit, F.col("_before"))
+    return carried.withColumn("_match", match).select(
+        *names, *(F.col("_match").getField(c).alias(c) for c in values)
     )
 
 
+def pick_join_strategy(
+    left: DataFrame,
+    right: DataFrame,
+    on: str = "datetime",
+    keys: Sequence[str] = (),
+    tolerance: timedelta = HALF_HOUR,
+    max_group_rows: int = MAX_GROUP_ROWS,
+) -> str:
+    """Measure both sides, from their key and time columns only, and choose
+
+    * `series`: one group per key, whose partitioning later per-series windows can reuse;
+    * `bucket`: one group per key and stretch of time, right rows within the tolerance of an
+      edge being copied across it, when a series is too long for one group;
+    * `ordered`: equal chunks of a range-partitioned order, when even one stretch is too full.
+    """
+    columns = [*keys, _bucket(F.col(on), tolerance * BUCKET_TOLERANCES).alias("_bucket")]
+    both = left.select(*columns).unionAll(right.select(*columns))
+    stretches = both.groupBy(*keys, "_bucket").count()
+    series = stretches.groupBy(*keys).agg(F.sum("count").alias("rows"), F.max("count").alias("full"))
+    largest = series.agg(F.max("rows").alias("rows"), F.max("full").alias("full")).first()
+    if (largest["rows"] or 0) <= max_group_rows:
+        return "series"
+    return "bucket" if largest["full"] <= max_group_rows else "ordered"
+
+
 def _as_micros(span: timedelta) -> int:
     return span // timedelta(microseconds=1)
 
@@ -108,13 +127,3 @@ def _bucket(ts: Column, width: timedelta) -> Column:
 def _buckets_in_reach(ts: Column, width: timedelta, tolerance: timedelta) -> Column:
     reach = F.expr(f"INTERVAL {_as_micros(tolerance) / 1e6:f} SECOND")
     return F.sequence(_bucket(ts - reach, width), _bucket(ts + reach, width))
-
-
-def _measure(left, right, on, keys, width, max_group_rows) -> str:
-    columns = [*keys, _bucket(F.col(on), width).alias("_bucket")]
-    per_bucket = left.select(*columns).unionAll(right.select(*columns)).groupBy(*keys, "_bucket").count()
-    per_series = per_bucket.groupBy(*keys).agg(F.sum("count").alias("rows"), F.max("count").alias("full"))
-    largest = per_series.agg(F.max("rows").alias("rows"), F.max("full").alias("full")).first()
-    if (largest["rows"] or 0) <= max_group_rows:
-        return "series"
-    return "bucket" if largest["full"] <= max_group_rows else "ordered"

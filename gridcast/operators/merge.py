@@ -16,12 +16,15 @@ def outer_merge(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFra
 
 def override(base: DataFrame, newer: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of `base` whose key `newer` does not hold, and all rows of `newer`."""
-    return base.join(newer.select(*on), list(on), "left_anti").unionByName(newer)
+    return unseen(base, newer, on).unionByName(newer)
 
 
 def unseen(batch: DataFrame, seen: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of `batch` with a key that `seen` lacks. Repeats inside the batch stay."""
-    return batch.join(seen.select(*on), list(on), "left_anti")
+    """Rows of `batch` with a key that `seen` lacks. Repeats inside the batch stay.
+
+    The keys are made distinct first, so that a key seen very often is combined before the shuffle.
+    """
+    return batch.join(seen.select(*on).distinct(), list(on), "left_anti")
 
 
 def append_unseen(seen: DataFrame, batch: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 
 from gridcast.session import materialize
 
-MAX_GROUP_ROWS = 2_000_000
+MAX_GROUP_ROWS = 1_000_000
 CHUNK_ROWS = 500_000
 
 # monotonically_increasing_id: partition number in the upper bits, position in the lower 33.
 _POSITION_BITS = 33
 
+# Positions of rows that stand before and after all rows of a chunk.
+_BEFORE_ALL, _AFTER_ALL = -1, (1 << 63) - 1
+
 
 @dataclass(frozen=True)
 class OrderedRows:
@@ -44,7 +47,8 @@ def ordered_rows(df: DataFrame, order: Sequence[str], out: str = "row") -> Order
     placed = materialize(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_place", F.monotonically_increasing_id())
+        .withColumn("_place", F.monotonically_increasing_id()),
+        "ordered",
     )
     part = F.shiftright("_place", _POSITION_BITS)
     sizes = placed.groupBy(part.alias("_part")).count().collect()
@@ -140,20 +144,11 @@ def carry(
     """
     forward, backward = dict(forward or {}), dict(backward or {})
     if pick_strategy(df, keys, strategy, max_group_rows) == "series":
-        return df.withColumns(_carried(keys, order, forward, backward))
+        return _carried(df, keys, order, forward, backward)
 
     values = {f"_value_{name}": column for name, column in {**forward, **backward}.items()}
-    rows = (
-        ordered_index(df.withColumns(values), [*keys, *order], "_row")
-        .withColumn("_chunk", F.expr(f"_row DIV {chunk_rows}"))
-    )
-    inside = rows.withColumns(
-        _carried(
-            [*keys, "_chunk"],
-            ["_row"],
-            {name: F.col(f"_value_{name}") for name in forward},
-            {name: F.col(f"_value_{name}") for name in backward},
-        )
+    rows = ordered_index(df.withColumns(values), [*keys, *order], "_row").withColumn(
+        "_chunk", F.expr(f"_row DIV {chunk_rows}")
     )
     # What each chunk hands on: its last (first) value. One row per chunk and series from here.
     edges = rows.groupBy(*keys, "_chunk").agg(
@@ -164,30 +159,43 @@ def carry(
     since = (
         Window.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     )
-    handed = edges.select(
-        *(F.col(key).alias(f"_key_{key}") for key in keys),
-        F.col("_chunk").alias("_key_chunk"),
-        *(F.last(f"_edge_{n}", True).over(until).alias(f"_carry_{n}") for n in forward),
-        *(F.last(f"_edge_{n}", True).over(since).alias(f"_carry_{n}") for n in backward),
+    # It enters the neighbouring chunks as a row before their first or after their last one.
+    opening = edges.select(
+        *keys,
+        "_chunk",
+        F.lit(_BEFORE_ALL).alias("_row"),
+        *(F.last(f"_edge_{n}", True).over(until).alias(f"_value_{n}") for n in forward),
+    )
+    closing = edges.select(
+        *keys,
+        "_chunk",
+        F.lit(_AFTER_ALL).alias("_row"),
+        *(F.last(f"_edge_{n}", True).over(since).alias(f"_value_{n}") for n in backward),
     )
-    match = F.col("_chunk") == F.col("_key_chunk")
-    for key in keys:
-        match &= F.col(key).eqNullSafe(F.col(f"_key_{key}"))
-    names = [*forward, *backward]
-    joined = inside.join(handed, match, "left").withColumns(
-        {name: F.coalesce(name, f"_carry_{name}") for name in names}
+    for names, handed in ((forward, opening), (backward, closing)):
+        if names:
+            rows = rows.unionByName(handed, allowMissingColumns=True)
+    carried = _carried(
+        rows,
+        [*keys, "_chunk"],
+        ["_row"],
+        {name: F.col(f"_value_{name}") for name in forward},
+        {name: F.col(f"_value_{name}") for name in backward},
     )
-    return joined.select(*df.columns, *names)
+    real = (F.col("_row") > _BEFORE_ALL) & (F.col("_row") < _AFTER_ALL)
+    return carried.where(real).select(*df.columns, *forward, *backward)
 
 
-def _carried(keys, order, forward, backward) -> dict[str, Column]:
+def _carried(df, keys, order, forward, backward) -> DataFrame:
     start = Window.unboundedPreceding
-    ahead = Window.partitionBy(*keys).orderBy(*order).rowsBetween(start, 0)
-    back = Window.partitionBy(*keys).orderBy(*map(F.desc, order)).rowsBetween(start, 0)
-    return {
-        **{name: F.last(column, True).over(ahead) for name, column in forward.items()},
-        **{name: F.last(column, True).over(back) for name, column in backward.items()},
-    }
+    # The ascending sort comes last: a later window over the same order can reuse it.
+    if backward:
+        back = Window.partitionBy(*keys).orderBy(*map(F.desc, order)).rowsBetween(start, 0)
+        df = df.withColumns({name: F.last(c, True).over(back) for name, c in backward.items()})
+    if forward:
+        ahead = Window.partitionBy(*keys).orderBy(*order).rowsBetween(start, 0)
+        df = df.withColumns({name: F.last(c, True).over(ahead) for name, c in forward.items()})
+    return df
 
 
 def _edge(pick, name: str) -> Column:

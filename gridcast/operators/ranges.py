@@ -30,9 +30,14 @@ def until_end_of_day(df: DataFrame, ts: str, day: date) -> DataFrame:
     return df.where(F.col(ts) <= F.lit(_midnight(day) + timedelta(hours=23, minutes=59, seconds=59)))
 
 
+def days_around(as_of: date, before: int = 3, after: int = 2) -> tuple[date, date]:
+    """First and last day of the stretch from `before` days ahead of `as_of` to `after` past it."""
+    return as_of - timedelta(days=before), as_of + timedelta(days=after)
+
+
 def around(df: DataFrame, ts: str, as_of: date, before: int = 3, after: int = 2) -> DataFrame:
-    """The days from `before` days ahead of `as_of` to `after` days past it."""
-    return closed_days(df, ts, as_of - timedelta(days=before), as_of + timedelta(days=after))
+    """The rows of `days_around`."""
+    return closed_days(df, ts, *days_around(as_of, before, after))
 
 
 def preset_days(preset: str, as_of: date, bounds: tuple[date, date] | None = None) -> tuple[date, date]:

@@ -21,14 +21,26 @@ from gridcast.functions.scalars import (
 from gridcast.operators.columns import ensure_columns, newest
 from gridcast.operators.folds import stride_sample
 from gridcast.operators.merge import outer_merge, override
-from gridcast.operators.ranges import around, closed_days, every_hours, trailing
+from gridcast.operators.ranges import closed_days, days_around, every_hours, trailing
 from gridcast.schemas import BASELINE, PREDICTION, TARGET, TIME
 
 SERIES = (TARGET, BASELINE, PREDICTION)
 
 
-def analysis_table(history: DataFrame, full: DataFrame, latest: DataFrame, on: Sequence[str] = (TIME,)) -> DataFrame:
-    """Actual, baseline and prediction per timestamp; latest predictions replace older ones."""
+def analysis_table(
+    history: DataFrame,
+    full: DataFrame,
+    latest: DataFrame,
+    on: Sequence[str] = (TIME,),
+    days: tuple[date, date] | None = None,
+) -> DataFrame:
+    """Actual, baseline and prediction per timestamp; latest predictions replace older ones.
+
+    A filter on the merged key does not pass through an outer join, so a report that needs only
+    some days gives them here, where they reach the scans.
+    """
+    if days is not None:
+        history, full, latest = (closed_days(df, TIME, *days) for df in (history, full, latest))
     merged = outer_merge(history, override(full, latest, on), on)
     return ensure_columns(merged, {c: "double" for c in SERIES}).select(*on, *SERIES)
 
@@ -139,5 +151,5 @@ class ForecastReport:
 
 def forecast_report(table: DataFrame, as_of: date, keys: Sequence[str] = ()) -> ForecastReport:
     """The last three days and the next two around `as_of`."""
-    rows = around(table, TIME, as_of)
+    rows = closed_days(table, TIME, *days_around(as_of))
     return ForecastReport(rows, error_series(rows, keys), value_table(rows, keys), trend(rows, keys))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions.scalars import calendar_columns, power_curve
-from gridcast.operators.asof import nearest_join
+from gridcast.operators.asof import nearest_join, pick_join_strategy
 from gridcast.operators.columns import complete_rows, ensure_columns
 from gridcast.operators.merge import flag_members
 from gridcast.operators.ordered import CHUNK_ROWS, MAX_GROUP_ROWS, pick_strategy, with_windows
@@ -32,21 +32,25 @@ def engineer_features(
     that lack only the target or its lags stay, since those are the ones to forecast.
 
     With series of moderate length the join and all windows run on one hash partitioning by
-    series. The join keeps the weather rows as they are, so their largest series, measured on
-    the narrow input, also bounds the window groups.
+    series. The join keeps the weather rows as they are, so the sizes measured on the narrow
+    inputs also bound the window groups.
     """
     keys = list(spec.keys)
-    windows = pick_strategy(weather, keys, strategy, max_group_rows)
+    weather = ensure_columns(weather, {c: "double" for c in spec.weather})
+    windows = strategy
+    if strategy == "auto":
+        strategy = pick_join_strategy(weather, generation, spec.time, keys, max_group_rows=max_group_rows)
+        windows = "series" if strategy == "series" else pick_strategy(weather, keys, "auto", max_group_rows)
     aligned = nearest_join(
-        ensure_columns(weather, {c: "double" for c in spec.weather}),
-        generation.select(*keys, spec.time, spec.target, *generation_order),
+        weather,
+        generation,
         on=spec.time,
         keys=keys,
         right_order=generation_order,
+        values=[spec.target],
         strategy=strategy,
-        max_group_rows=max_group_rows,
         chunk_rows=chunk_rows,
-    ).drop(*generation_order)
+    )
     powered = aligned.withColumns(power_curve(F.col(spec.speed), spec.rated_speed))
     shifted = with_windows(
         powered,

@@ -13,7 +13,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 # Local masters without a configured folder get one temporary folder per application.
@@ -58,13 +57,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/gridcast/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` once to reliable storage and cut its lineage.
+def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write `df` once to the shared folder and go on from the written table.
 
-    Needed where two passes must see identical partitions (range partitioning samples its
-    boundaries anew on every run), also after an executor is lost.
+    Needed where two passes must see the same values of a computed row position, also after an
+    executor is lost: range partitioning samples its boundaries anew on every run. A parquet
+    table, unlike a row checkpoint, lets each later pass read only its columns.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,6 +13,7 @@ from gridcast.plans.history import upsert_table
 
 # How late a reading may come: as deep as the nightly run reaches back.
 LATENESS = "3 days"
+SPREAD = 16
 
 
 def read_stream(
@@ -52,9 +54,24 @@ def stream_upsert(
     )
 
 
-def unique_readings(stream: DataFrame, keys: Sequence[str], ts: str = "datetime", lateness: str = LATENESS) -> DataFrame:
-    """The first reading per key; the state of a key is dropped `lateness` after its time."""
-    return stream.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(list(keys))
+def unique_readings(
+    stream: DataFrame,
+    keys: Sequence[str],
+    ts: str = "datetime",
+    lateness: str = LATENESS,
+    spread: int = SPREAD,
+) -> DataFrame:
+    """The first reading per key; the state of a key is dropped `lateness` after its time.
+
+    A key that fills much of the stream is first reduced in up to `spread` tasks, apart by input
+    partition, of which each passes one reading on. The input partition of a row stays the same
+    when a task is repeated, which a random number would not.
+    """
+    timed = stream.withWatermark(ts, lateness)
+    if spread > 1:
+        salted = timed.withColumn("_salt", F.spark_partition_id() % spread)
+        timed = salted.dropDuplicatesWithinWatermark([*keys, "_salt"]).drop("_salt")
+    return timed.dropDuplicatesWithinWatermark(list(keys))
 
 
 def append_unique(

@@ -73,9 +73,9 @@ def guarded_kpi(spark, sf_dir):
 @query(
     "fold_summary",
     f"""WITH {FORECASTS}, known AS (SELECT * FROM forecasts WHERE baseline IS NOT NULL),
-          numbered AS (SELECT *, row_number() OVER (ORDER BY datetime, event_type) - 1 AS r, count(*) OVER () AS n FROM known),
-          sized AS (SELECT *, CAST(floor(n * 0.15) AS BIGINT) AS t FROM numbered),
-          tested AS (SELECT *, (r - (n - 5 * t)) // nullif(t, 0) + 1 AS fold FROM sized WHERE r >= n - 5 * t),
+          numbered AS (SELECT *, row_number() OVER (ORDER BY datetime, event_type) - 1 AS r, count(*) OVER () AS total FROM known),
+          sized AS (SELECT *, CAST(floor(total * 0.15) AS BIGINT) AS t FROM numbered),
+          tested AS (SELECT *, (r - (total - 5 * t)) // t + 1 AS fold FROM sized WHERE r >= total - 5 * t),
           folds AS (SELECT fold, {RMSE.format(p='baseline')} AS rmse, {MAPE.format(p='baseline')} AS mape FROM tested GROUP BY 1)
         SELECT {r6('avg(mape)')} AS mean_mape, {r6('stddev_pop(mape)')} AS std_mape,
                {r6('avg(rmse)')} AS mean_rmse, {r6('stddev_pop(rmse)')} AS std_rmse FROM folds""",

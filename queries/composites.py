@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from gridcast.operators.ranges import days_around
 from gridcast.plans import analysis, history
 from gridcast.plans.features import engineer_features
 from gridcast.schemas import LAG_ROWS, ROLLING_ROWS
@@ -149,8 +150,8 @@ def analysis_inputs(spark, sf_dir):
     return known, full, latest.withColumn("wind_perc_pred", F.col("wind_perc_pred") + 0.25)
 
 
-def analysis_rows(spark, sf_dir):
-    return analysis.analysis_table(*analysis_inputs(spark, sf_dir), on=SLOT)
+def analysis_rows(spark, sf_dir, days=None):
+    return analysis.analysis_table(*analysis_inputs(spark, sf_dir), on=SLOT, days=days)
 
 
 ANALYSIS = f"""{FORECASTS}, analysis AS (SELECT event_type, datetime,
@@ -170,6 +171,7 @@ def analysis_table(spark, sf_dir):
 
 
 FIRST_DAY, LAST_DAY, AS_OF = date(2024, 1, 8), date(2024, 1, 24), date(2024, 1, 23)
+RANGE = (FIRST_DAY, LAST_DAY)
 
 
 def kpi_sql(metric: str, column: str) -> str:
@@ -206,7 +208,7 @@ def _status(name: str) -> str:
           {_status('rmse')}, {_status('mape')} FROM kpi""",
 )
 def range_report(spark, sf_dir):
-    return analysis.range_report(analysis_rows(spark, sf_dir), FIRST_DAY, LAST_DAY, KEYS).kpis
+    return analysis.range_report(analysis_rows(spark, sf_dir, RANGE), *RANGE, KEYS).kpis
 
 
 @query(
@@ -215,7 +217,7 @@ def range_report(spark, sf_dir):
         WHERE datetime::DATE BETWEEN DATE '{FIRST_DAY}' AND DATE '{LAST_DAY}' AND wind_perc_pred - wind_perc IS NOT NULL""",
 )
 def range_report_errors(spark, sf_dir):
-    return analysis.range_report(analysis_rows(spark, sf_dir), FIRST_DAY, LAST_DAY, KEYS).errors
+    return analysis.range_report(analysis_rows(spark, sf_dir, RANGE), *RANGE, KEYS).errors
 
 
 @query(
@@ -227,7 +229,7 @@ def range_report_errors(spark, sf_dir):
         FROM numbered WHERE r % greatest(1, n // 8) = 0 AND r < 8 * greatest(1, n // 8)""",
 )
 def range_report_sample(spark, sf_dir):
-    return analysis.range_report(analysis_rows(spark, sf_dir), FIRST_DAY, LAST_DAY, KEYS).sample
+    return analysis.range_report(analysis_rows(spark, sf_dir, RANGE), *RANGE, KEYS).sample
 
 
 RECENT = f"recent AS (SELECT * FROM analysis WHERE datetime::DATE BETWEEN DATE '{AS_OF}' - 3 AND DATE '{AS_OF}' + 2)"
@@ -241,7 +243,7 @@ RECENT = f"recent AS (SELECT * FROM analysis WHERE datetime::DATE BETWEEN DATE '
         FROM recent WHERE hour(datetime) % 6 = 0 ORDER BY datetime DESC, event_type DESC LIMIT 8""",
 )
 def forecast_report(spark, sf_dir):
-    return analysis.forecast_report(analysis_rows(spark, sf_dir), AS_OF, KEYS).values
+    return analysis.forecast_report(analysis_rows(spark, sf_dir, days_around(AS_OF)), AS_OF, KEYS).values
 
 
 @query(
@@ -250,7 +252,7 @@ def forecast_report(spark, sf_dir):
         FROM recent WHERE wind_perc_pred - wind_perc IS NOT NULL""",
 )
 def forecast_report_errors(spark, sf_dir):
-    return analysis.forecast_report(analysis_rows(spark, sf_dir), AS_OF, KEYS).errors
+    return analysis.forecast_report(analysis_rows(spark, sf_dir, days_around(AS_OF)), AS_OF, KEYS).errors
 
 
 @query(
@@ -266,7 +268,7 @@ def forecast_report_errors(spark, sf_dir):
           {r6('round_even(abs(later - earlier) * 10, 0) / 10')} AS gap FROM halves""",
 )
 def forecast_report_trend(spark, sf_dir):
-    return analysis.forecast_report(analysis_rows(spark, sf_dir), AS_OF, KEYS).trend
+    return analysis.forecast_report(analysis_rows(spark, sf_dir, days_around(AS_OF)), AS_OF, KEYS).trend
 
 
 @query(
