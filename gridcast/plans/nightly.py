@@ -59,7 +59,7 @@ def nightly(
     if days is not None:
         past = closed_days(past_weather, spec.time, first, as_of - timedelta(days=1))
         measured = closed_days(generation, spec.time, first, as_of)
-    ahead = until_end_of_day(forecast_weather, spec.time, last)
+    ahead = closed_days(until_end_of_day(forecast_weather, spec.time, last), spec.time, as_of, last)
     weather = assemble_weather(past, ahead, [*spec.keys, spec.time])
     features = engineer_features(measured, weather, holidays, spec, generation_order)
     if days is None:

@@ -81,10 +81,11 @@ def append_unique(
     keys: Sequence[str],
     ts: str = "datetime",
     lateness: str = LATENESS,
+    spread: int = SPREAD,
 ) -> StreamingQuery:
     """Append the first reading per key to a parquet table."""
     return (
-        unique_readings(stream, keys, ts, lateness)
+        unique_readings(stream, keys, ts, lateness, spread)
         .writeStream.outputMode("append")
         .format("parquet")
         .option("path", path)
