@@ -97,33 +97,27 @@ def with_windows(
     keys: Sequence[str],
     order: Sequence[str],
     reach: int,
-    columns: Callable[[WindowSpec], Mapping[str, Column]],
+    add: Callable[[DataFrame, WindowSpec], DataFrame],
     strategy: str = "auto",
     chunk_rows: int = CHUNK_ROWS,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Add window columns that look at no more than `reach` earlier rows of the same series.
 
-    `columns` receives an ordered window without a frame and returns the new columns. In the
-    ordered strategy the last `reach` rows of every chunk are copied into the next one, so each
+    `add` receives the rows and an ordered window without a frame. In the ordered strategy the last `reach` rows of every chunk are copied into the next one, so each
     row finds its predecessors in its own chunk; the copies are dropped afterwards.
     """
     if pick_strategy(df, keys, strategy, max_group_rows) == "series":
-        return df.withColumns(dict(columns(Window.partitionBy(*keys).orderBy(*order))))
+        return add(df, Window.partitionBy(*keys).orderBy(*order))
     if chunk_rows < reach:
         raise ValueError(f"chunk_rows={chunk_rows} is smaller than reach={reach}")
 
     chunk = F.expr(f"_row DIV {chunk_rows}")
     read_by_next = F.col("_row") % chunk_rows >= chunk_rows - reach
     chunks = F.when(read_by_next, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
-    window = Window.partitionBy(*keys, "_chunk").orderBy("_row")
-    return (
-        ordered_index(df, [*keys, *order], "_row")
-        .withColumn("_chunk", F.explode(chunks))
-        .withColumns(dict(columns(window)))
-        .where(F.col("_chunk") == chunk)
-        .drop("_row", "_chunk")
-    )
+    rows = ordered_index(df, [*keys, *order], "_row").withColumn("_chunk", F.explode(chunks))
+    added = add(rows, Window.partitionBy(*keys, "_chunk").orderBy("_row"))
+    return added.where(F.col("_chunk") == chunk).drop("_row", "_chunk")
 
 
 def carry(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -13,21 +13,80 @@ def lag_columns(window: WindowSpec, column: str, prefix: str, rows: Mapping[str,
     return {f"{prefix}_lag_{label}": F.lag(column, n).over(window) for label, n in rows.items()}
 
 
-def rolling_columns(
-    window: WindowSpec, column: str, prefix: str, rows: Mapping[str, int]
-) -> dict[str, Column]:
+def persistence(window: WindowSpec, column: str, rows: int = 48) -> Column:
+    """The baseline forecast: the value observed `rows` rows ago."""
+    return F.lag(column, rows).over(window)
+
+
+def with_rolling(
+    df: DataFrame,
+    window: WindowSpec,
+    column: str,
+    prefix: str,
+    rows: Mapping[str, int],
+    stats: Sequence[str] = ("mean", "std"),
+) -> DataFrame:
     """Mean and sample deviation over the current and the n − 1 rows before it.
 
     NULLs are skipped and one value is enough for a mean; the deviation of one value is NULL.
+
+    A row frame would add up all n values again for every row. Instead, the moments of 2, 4, 8, …
+    rows are merged from two halves, the older one read by a lag, and a length between the powers
+    of two from its binary parts. That takes a few lags per row, of which all share one sort, and
+    merging moments, unlike subtracting running totals, loses no precision.
     """
-    columns = {}
+    value = F.col(column).cast("double")
+    names = {1: "_span1"}
+    df = df.withColumns(
+        {
+            "_span1_n": value.isNotNull().cast("double"),
+            "_span1_mean": F.coalesce(value, F.lit(0.0)),
+            "_span1_m2": F.lit(0.0),
+        }
+    )
+    span = 1
+    while 2 * span <= max(rows.values()):
+        df = _merged(df, window, f"_span{2 * span}", names[span], names[span], span)
+        span *= 2
+        names[span] = f"_span{span}"
+
+    done = {}
+    for n in set(rows.values()):
+        parts = [1 << bit for bit in range(n.bit_length()) if n >> bit & 1]
+        covered = parts.pop()
+        name = names[covered]
+        while parts:
+            part = parts.pop()
+            df = _merged(df, window, f"_rows{n}_{part}", name, names[part], covered)
+            name, covered = f"_rows{n}_{part}", covered + part
+        done[n] = name
+
+    results = {}
     for label, n in rows.items():
-        frame = window.rowsBetween(1 - n, 0)
-        columns[f"{prefix}_roll_mean_{label}"] = F.avg(column).over(frame)
-        columns[f"{prefix}_roll_std_{label}"] = F.stddev_samp(column).over(frame)
-    return columns
+        count, mean, m2 = (F.col(f"{done[n]}_{moment}") for moment in _MOMENTS)
+        if "mean" in stats:
+            results[f"{prefix}_roll_mean_{label}"] = F.when(count > 0, mean)
+        if "std" in stats:
+            results[f"{prefix}_roll_std_{label}"] = F.when(count > 1, F.sqrt(m2 / (count - 1)))
+    kept = [c for c in df.columns if not c.startswith(("_span", "_rows"))]
+    return df.select(*kept, *(c.alias(name) for name, c in results.items()))
 
 
-def persistence(window: WindowSpec, column: str, rows: int = 48) -> Column:
-    """The baseline forecast: the value observed `rows` rows ago."""
-    return F.lag(column, rows).over(window)
+_MOMENTS = ("n", "mean", "m2")
+
+
+def _merged(df: DataFrame, window: WindowSpec, out: str, newer: str, older: str, rows: int) -> DataFrame:
+    """Count, mean and squared deviations of `newer` and, `rows` rows before it, `older`."""
+    df = df.withColumns({f"_old_{m}": F.lag(f"{older}_{m}", rows, 0.0).over(window) for m in _MOMENTS})
+    count, mean, m2 = (F.col(f"{newer}_{m}") for m in _MOMENTS)
+    old_count, old_mean, old_m2 = (F.col(f"_old_{m}") for m in _MOMENTS)
+    total = count + old_count
+    share = old_count / F.greatest(total, F.lit(1.0))
+    gap = old_mean - mean
+    return df.withColumns(
+        {
+            f"{out}_n": total,
+            f"{out}_mean": mean + gap * share,
+            f"{out}_m2": m2 + old_m2 + gap * gap * count * share,
+        }
+    ).drop(*(f"_old_{m}" for m in _MOMENTS))

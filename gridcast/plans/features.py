@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from gridcast.functions.scalars import calendar_columns, power_curve
@@ -12,7 +12,7 @@ from gridcast.operators.asof import nearest_join, pick_join_strategy
 from gridcast.operators.columns import complete_rows, ensure_columns
 from gridcast.operators.merge import flag_members
 from gridcast.operators.ordered import CHUNK_ROWS, MAX_GROUP_ROWS, pick_strategy, with_windows
-from gridcast.operators.windows import lag_columns, rolling_columns
+from gridcast.operators.windows import lag_columns, with_rolling
 from gridcast.schemas import FeatureSpec
 
 
@@ -52,18 +52,16 @@ def engineer_features(
         chunk_rows=chunk_rows,
     )
     powered = aligned.withColumns(power_curve(F.col(spec.speed), spec.rated_speed))
+
+    def add(rows: DataFrame, window: WindowSpec) -> DataFrame:
+        lags = {
+            **lag_columns(window, spec.target, spec.target, spec.lag_rows),
+            **lag_columns(window, spec.speed, "wind_speed", spec.lag_rows),
+        }
+        return with_rolling(rows.withColumns(lags), window, spec.speed, "wind_speed", spec.rolling_rows)
+
     shifted = with_windows(
-        powered,
-        keys,
-        [spec.time],
-        spec.reach,
-        lambda w: {
-            **lag_columns(w, spec.target, spec.target, spec.lag_rows),
-            **lag_columns(w, spec.speed, "wind_speed", spec.lag_rows),
-            **rolling_columns(w, spec.speed, "wind_speed", spec.rolling_rows),
-        },
-        strategy=windows,
-        chunk_rows=chunk_rows,
+        powered, keys, [spec.time], spec.reach, add, strategy=windows, chunk_rows=chunk_rows
     )
     dated = shifted.withColumns(calendar_columns(F.col(spec.time)))
     flagged = flag_members(dated, F.to_date(spec.time), holidays)

@@ -62,9 +62,10 @@ class Checked:
 def parse_documents(df: DataFrame, text: str, schema: T.StructType, required: str) -> DataFrame:
     """Adds `document` and `reason`: NULL for a usable document, else why it is not."""
     tolerant = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    parsed = df.withColumn(
-        "document", F.from_json(text, tolerant, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    )
+    document = F.from_json(text, tolerant, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    # Taken out of a one-element array, the document is parsed once per row; as a plain column it
+    # would be parsed again in every filter that the optimizer moves below the projection.
+    parsed = df.withColumn("document", F.explode_outer(F.array(document)))
     reason = (
         F.when(F.col("document").isNull() | F.col(f"document.{CORRUPT}").isNotNull(), "malformed")
         .when(F.col(f"document.{required}").isNull(), f"missing {required}")

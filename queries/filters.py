@@ -103,7 +103,11 @@ def time_bounds(spark, sf_dir):
 )
 def complete_rows(spark, sf_dir):
     lagged = with_windows(
-        hourly(spark, sf_dir), KEYS, ["datetime"], 48, lambda w: {"baseline": persistence(w, "speed")}
+        hourly(spark, sf_dir),
+        KEYS,
+        ["datetime"],
+        48,
+        lambda df, w: df.withColumn("baseline", persistence(w, "speed")),
     )
     chosen = lagged.select("event_type", "datetime", "speed", "baseline")
     return columns.require_rows(columns.complete_rows(chosen, ["speed", "baseline"]))

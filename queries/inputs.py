@@ -57,7 +57,9 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
         KEYS,
         ["datetime"],
         48,
-        lambda w: {"prediction": F.lag("speed", 1).over(w), "baseline": F.lag("speed", 48).over(w)},
+        lambda df, w: df.withColumns(
+            {"prediction": F.lag("speed", 1).over(w), "baseline": F.lag("speed", 48).over(w)}
+        ),
     )
 
 

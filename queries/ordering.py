@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridcast.operators.folds import holdout_split, stride_sample, walk_forward
 from gridcast.operators.ordered import fill_gaps, ordered_index, with_windows
-from gridcast.operators.windows import lag_columns, rolling_columns
+from gridcast.operators.windows import lag_columns, with_rolling
 from gridcast.schemas import LAG_ROWS, ROLLING_ROWS
 from queries.inputs import EVENTS, HOURLY, KEYS, events, hourly, table
 from queries.registry import query, r6
@@ -38,7 +38,7 @@ def lags(spark, sf_dir, **options):
         KEYS,
         ["datetime"],
         48,
-        lambda w: lag_columns(w, "speed", "wind_speed", LAG_ROWS),
+        lambda df, w: df.withColumns(lag_columns(w, "speed", "wind_speed", LAG_ROWS)),
         **options,
     ).drop("speed", "n")
 
@@ -59,11 +59,7 @@ def rolling(spark, sf_dir, stat, **options):
         KEYS,
         ["datetime"],
         95,
-        lambda w: {
-            name: column
-            for name, column in rolling_columns(w, "speed", "wind_speed", ROLLING_ROWS).items()
-            if f"_{stat}_" in name
-        },
+        lambda df, w: with_rolling(df, w, "speed", "wind_speed", ROLLING_ROWS, [stat]),
         **options,
     )
     return df.drop("speed", "n")

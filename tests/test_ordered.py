@@ -16,7 +16,7 @@ from gridcast.operators.ordered import (
     ordered_rows,
     with_windows,
 )
-from gridcast.operators.windows import lag_columns, rolling_columns
+from gridcast.operators.windows import lag_columns, with_rolling
 
 START = datetime(2024, 1, 1)
 STRATEGIES = [{"strategy": "series"}, {"strategy": "ordered", "chunk_rows": 7}, {"strategy": "ordered", "chunk_rows": 50}]
@@ -40,6 +40,10 @@ def spark_frame(spark, frame: pd.DataFrame):
     return spark.createDataFrame(rows, "key STRING, ts TIMESTAMP, id INT, x DOUBLE").repartition(5)
 
 
+def shifted(df, window):
+    return df.withColumn("y", F.lag("x").over(window))
+
+
 def result(df, *columns) -> pd.DataFrame:
     rows = df.select("id", *columns).orderBy("id").collect()
     return pd.DataFrame([r.asDict() for r in rows], columns=["id", *columns]).astype(float)
@@ -49,20 +53,22 @@ def result(df, *columns) -> pd.DataFrame:
 @pytest.mark.parametrize("seed", [1, 2])
 def test_lag_and_rolling_equal_pandas(spark, options, seed):
     frame = series(seed)
-    steps = {"2": 2, "5": 5}
+    steps = {"1": 1, "2": 2, "5": 5, "6": 6}
     df = with_windows(
         spark_frame(spark, frame),
         ["key"],
         ["ts"],
         5,
-        lambda w: {**lag_columns(w, "x", "x", {"1": 1, "5": 5}), **rolling_columns(w, "x", "x", steps)},
+        lambda df, w: with_rolling(
+            df.withColumns(lag_columns(w, "x", "x", {"1": 1, "5": 5})), w, "x", "x", steps
+        ),
         **options,
     )
     groups = frame.groupby("key")["x"]
     expected = pd.DataFrame({"id": frame["id"]})
     for n in (1, 5):
         expected[f"x_lag_{n}"] = groups.shift(n)
-    for n in (2, 5):
+    for n in (1, 2, 5, 6):
         rolling = groups.rolling(n, min_periods=1)
         expected[f"x_roll_mean_{n}"] = rolling.mean().reset_index(level=0, drop=True)
         expected[f"x_roll_std_{n}"] = rolling.std().reset_index(level=0, drop=True)
@@ -124,30 +130,30 @@ def test_empty_input(spark):
     assert largest_group(df, ["key"]) == 0
     for options in STRATEGIES:
         assert fill_gaps(df, ["key"], ["ts"], ["x"], **options).isEmpty()
-        assert with_windows(df, ["key"], ["ts"], 5, lambda w: {"y": F.lag("x").over(w)}, **options).isEmpty()
+        assert with_windows(df, ["key"], ["ts"], 5, shifted, **options).isEmpty()
 
 
 def test_auto_measures_the_largest_series(spark):
     frame = series(6)
     df = spark_frame(spark, frame)
     assert largest_group(df, ["key"]) == frame.groupby("key").size().max()
-    wide = with_windows(df, ["key"], ["ts"], 1, lambda w: {"y": F.lag("x").over(w)}, max_group_rows=1000)
-    cut = with_windows(df, ["key"], ["ts"], 1, lambda w: {"y": F.lag("x").over(w)}, max_group_rows=10, chunk_rows=20)
+    wide = with_windows(df, ["key"], ["ts"], 1, shifted, max_group_rows=1000)
+    cut = with_windows(df, ["key"], ["ts"], 1, shifted, max_group_rows=10, chunk_rows=20)
     assert "_chunk" not in plan(wide) and "_chunk" in plan(cut)
 
 
 def test_chunk_has_to_hold_the_reach(spark):
     df = spark_frame(spark, series(7, 20))
     with pytest.raises(ValueError, match="smaller than reach"):
-        with_windows(df, [], ["ts"], 9, lambda w: {}, strategy="ordered", chunk_rows=8)
+        with_windows(df, [], ["ts"], 9, shifted, strategy="ordered", chunk_rows=8)
 
 
 def test_ordered_plans_use_no_single_partition(spark):
     df = spark_frame(spark, series(8))
     options = {"strategy": "ordered", "chunk_rows": 20}
     plans = [
-        plan(with_windows(df, [], ["ts", "id"], 5, lambda w: {"y": F.lag("x", 5).over(w)}, **options)),
-        plan(with_windows(df, ["key"], ["ts"], 5, lambda w: {"y": F.lag("x", 5).over(w)}, **options)),
+        plan(with_windows(df, [], ["ts", "id"], 5, shifted, **options)),
+        plan(with_windows(df, ["key"], ["ts"], 5, shifted, **options)),
         plan(ordered_index(df, ["ts", "id"])),
         plan(fill_gaps(df, ["key"], ["ts"], ["x"], **options)),
     ]
