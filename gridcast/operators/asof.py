@@ -66,13 +66,12 @@ def nearest_join(
         asking = asking.withColumn("_spread", F.xxhash64(*names))
         order = [*order, "_spread"]
 
-    entry = F.col("_entry")
     carried = carry(
         asking.unionByName(entries, allowMissingColumns=True),
         groups,
         order,
-        forward={"_before": entry},
-        backward={"_after": entry},
+        forward={"_before": "_entry"},
+        backward={"_after": "_entry"},
         strategy="ordered" if strategy == "ordered" else "series",
         chunk_rows=chunk_rows,
     ).where(F.col("_side") == 1)

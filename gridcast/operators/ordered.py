@@ -124,58 +124,41 @@ def carry(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    forward: Mapping[str, Column] | None = None,
-    backward: Mapping[str, Column] | None = None,
+    forward: Mapping[str, str] | None = None,
+    backward: Mapping[str, str] | None = None,
     strategy: str = "auto",
     chunk_rows: int = CHUNK_ROWS,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Carry the nearest non-NULL value of an expression along the order of a series.
+    """Carry the nearest non-NULL value of a column along the order of a series.
 
-    `forward` looks from each row (itself included) towards the start, `backward` towards the
-    end. Both run as growing frames, the backward one over the reversed order: a frame that
-    shrinks from the current row to the end would be recomputed for every row.
+    Both mappings go from a new column to the column it is taken from. `forward` looks from each
+    row (itself included) towards the start, `backward` towards the end. Both run as growing
+    frames, the backward one over the reversed order: a frame that shrinks from the current row
+    to the end would be recomputed for every row.
     """
     forward, backward = dict(forward or {}), dict(backward or {})
     if pick_strategy(df, keys, strategy, max_group_rows) == "series":
         return _carried(df, keys, order, forward, backward)
 
-    values = {f"_value_{name}": column for name, column in {**forward, **backward}.items()}
-    rows = ordered_index(df.withColumns(values), [*keys, *order], "_row").withColumn(
-        "_chunk", F.expr(f"_row DIV {chunk_rows}")
-    )
+    rows = ordered_index(df, [*keys, *order], "_row").withColumn("_chunk", F.expr(f"_row DIV {chunk_rows}"))
     # What each chunk hands on: its last (first) value. One row per chunk and series from here.
     edges = rows.groupBy(*keys, "_chunk").agg(
-        *(_edge(F.max_by, name) for name in forward),
-        *(_edge(F.min_by, name) for name in backward),
-    )
-    until = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    since = (
-        Window.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+        *(_edge(F.max_by, column, out) for out, column in forward.items()),
+        *(_edge(F.min_by, column, out) for out, column in backward.items()),
     )
     # It enters the neighbouring chunks as a row before their first or after their last one.
-    opening = edges.select(
-        *keys,
-        "_chunk",
-        F.lit(_BEFORE_ALL).alias("_row"),
-        *(F.last(f"_edge_{n}", True).over(until).alias(f"_value_{n}") for n in forward),
-    )
-    closing = edges.select(
-        *keys,
-        "_chunk",
-        F.lit(_AFTER_ALL).alias("_row"),
-        *(F.last(f"_edge_{n}", True).over(since).alias(f"_value_{n}") for n in backward),
-    )
-    for names, handed in ((forward, opening), (backward, closing)):
+    for names, place, toward in ((forward, _BEFORE_ALL, "_chunk"), (backward, _AFTER_ALL, F.desc("_chunk"))):
         if names:
+            earlier = Window.partitionBy(*keys).orderBy(toward).rowsBetween(Window.unboundedPreceding, -1)
+            handed = edges.select(
+                *keys,
+                "_chunk",
+                F.lit(place).alias("_row"),
+                *(F.last(out, True).over(earlier).alias(column) for out, column in names.items()),
+            )
             rows = rows.unionByName(handed, allowMissingColumns=True)
-    carried = _carried(
-        rows,
-        [*keys, "_chunk"],
-        ["_row"],
-        {name: F.col(f"_value_{name}") for name in forward},
-        {name: F.col(f"_value_{name}") for name in backward},
-    )
+    carried = _carried(rows, [*keys, "_chunk"], ["_row"], forward, backward)
     real = (F.col("_row") > _BEFORE_ALL) & (F.col("_row") < _AFTER_ALL)
     return carried.where(real).select(*df.columns, *forward, *backward)
 
@@ -185,17 +168,16 @@ def _carried(df, keys, order, forward, backward) -> DataFrame:
     # The ascending sort comes last: a later window over the same order can reuse it.
     if backward:
         back = Window.partitionBy(*keys).orderBy(*map(F.desc, order)).rowsBetween(start, 0)
-        df = df.withColumns({name: F.last(c, True).over(back) for name, c in backward.items()})
+        df = df.withColumns({out: F.last(column, True).over(back) for out, column in backward.items()})
     if forward:
         ahead = Window.partitionBy(*keys).orderBy(*order).rowsBetween(start, 0)
-        df = df.withColumns({name: F.last(c, True).over(ahead) for name, c in forward.items()})
+        df = df.withColumns({out: F.last(column, True).over(ahead) for out, column in forward.items()})
     return df
 
 
-def _edge(pick, name: str) -> Column:
-    value = F.col(f"_value_{name}")
+def _edge(pick, column: str, out: str) -> Column:
     # The order of an absent value is NULL, which min_by and max_by skip.
-    return pick(value, F.when(value.isNotNull(), F.col("_row"))).alias(f"_edge_{name}")
+    return pick(column, F.when(F.col(column).isNotNull(), F.col("_row"))).alias(out)
 
 
 def fill_gaps(
@@ -210,8 +192,8 @@ def fill_gaps(
         df,
         keys,
         order,
-        forward={f"_ahead_{c}": F.col(c) for c in columns},
-        backward={f"_back_{c}": F.col(c) for c in columns},
+        forward={f"_ahead_{c}": c for c in columns},
+        backward={f"_back_{c}": c for c in columns},
         **options,
     )
     return filled.select(

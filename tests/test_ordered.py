@@ -89,8 +89,7 @@ def test_fill_equals_pandas(spark, options, nulls):
 @pytest.mark.parametrize("options", STRATEGIES)
 def test_carry_looks_both_ways(spark, options):
     frame = series(4, 150, 0.7)
-    x = F.col("x")
-    df = carry(spark_frame(spark, frame), ["key"], ["ts"], {"before": x}, {"after": x}, **options)
+    df = carry(spark_frame(spark, frame), ["key"], ["ts"], {"before": "x"}, {"after": "x"}, **options)
     groups = frame.groupby("key")["x"]
     expected = pd.DataFrame(
         {"id": frame["id"], "before": groups.ffill(), "after": groups.bfill()}
