@@ -51,8 +51,12 @@ def walk_forward(
     test_size: int | None = None,
     fraction: float | None = None,
     gap: int = 0,
+    roles: Sequence[str] = ("train", "test"),
 ) -> DataFrame:
-    """One row per fold and row that takes part in it: `fold`, `role`, `row` and the columns."""
+    """One row per fold and row with one of the `roles` in it: `fold`, `role`, `row` and the columns.
+
+    Training rows recur in every later fold; `roles=["test"]` alone keeps each row at most once.
+    """
     indexed = ordered_rows(df, order, "row")
     size = test_size if test_size is not None else fraction_rows(indexed.total, fraction or 0.15)
     folds = walk_forward_folds(indexed.total, n_splits, size, gap)
@@ -61,7 +65,7 @@ def walk_forward(
         *(F.struct(F.lit(f.fold).alias("fold"), f.role(row).alias("role")) for f in folds)
     )
     return (
-        indexed.df.withColumn("_part", F.explode(F.filter(parts, lambda p: p.role.isNotNull())))
+        indexed.df.withColumn("_part", F.explode(F.filter(parts, lambda p: p.role.isin(*roles))))
         .select("_part.fold", "_part.role", *indexed.df.columns)
     )
 

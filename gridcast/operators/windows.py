@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -36,7 +37,6 @@ def with_rolling(
     merging moments, unlike subtracting running totals, loses no precision.
     """
     value = F.col(column).cast("double")
-    names = {1: "_span1"}
     df = df.withColumns(
         {
             "_span1_n": value.isNotNull().cast("double"),
@@ -44,49 +44,72 @@ def with_rolling(
             "_span1_m2": F.lit(0.0),
         }
     )
-    span = 1
-    while 2 * span <= max(rows.values()):
-        df = _merged(df, window, f"_span{2 * span}", names[span], names[span], span)
-        span *= 2
-        names[span] = f"_span{span}"
-
-    done = {}
-    for n in set(rows.values()):
-        parts = [1 << bit for bit in range(n.bit_length()) if n >> bit & 1]
-        covered = parts.pop()
-        name = names[covered]
-        while parts:
-            part = parts.pop()
-            df = _merged(df, window, f"_rows{n}_{part}", name, names[part], covered)
-            name, covered = f"_rows{n}_{part}", covered + part
-        done[n] = name
-
-    results = {}
+    merges, results = _merges(set(rows.values()))
+    ready = {"_span1"}
+    while merges:
+        # Merges that do not wait for each other read their lags in one window.
+        now = [m for m in merges if {m.newer, m.older} <= ready]
+        merges = [m for m in merges if m not in now]
+        ready |= {m.out for m in now}
+        df = _merge(df, window, now)
+
+    columns = {}
     for label, n in rows.items():
-        count, mean, m2 = (F.col(f"{done[n]}_{moment}") for moment in _MOMENTS)
+        count, mean, m2 = _moments(results[n])
         if "mean" in stats:
-            results[f"{prefix}_roll_mean_{label}"] = F.when(count > 0, mean)
+            columns[f"{prefix}_roll_mean_{label}"] = F.when(count > 0, mean)
         if "std" in stats:
-            results[f"{prefix}_roll_std_{label}"] = F.when(count > 1, F.sqrt(m2 / (count - 1)))
-    kept = [c for c in df.columns if not c.startswith(("_span", "_rows"))]
-    return df.select(*kept, *(c.alias(name) for name, c in results.items()))
+            columns[f"{prefix}_roll_std_{label}"] = F.when(count > 1, F.sqrt(m2 / (count - 1)))
+    kept = [c for c in df.columns if not c.startswith(("_span", "_old"))]
+    return df.select(*kept, *(c.alias(name) for name, c in columns.items()))
 
 
-_MOMENTS = ("n", "mean", "m2")
+@dataclass(frozen=True)
+class _Merge:
+    """The moments `out` cover those of `newer` and, that many `rows` before it, those of `older`."""
 
+    out: str
+    newer: str
+    older: str
+    rows: int
 
-def _merged(df: DataFrame, window: WindowSpec, out: str, newer: str, older: str, rows: int) -> DataFrame:
-    """Count, mean and squared deviations of `newer` and, `rows` rows before it, `older`."""
-    df = df.withColumns({f"_old_{m}": F.lag(f"{older}_{m}", rows, 0.0).over(window) for m in _MOMENTS})
-    count, mean, m2 = (F.col(f"{newer}_{m}") for m in _MOMENTS)
-    old_count, old_mean, old_m2 = (F.col(f"_old_{m}") for m in _MOMENTS)
-    total = count + old_count
-    share = old_count / F.greatest(total, F.lit(1.0))
-    gap = old_mean - mean
-    return df.withColumns(
-        {
-            f"{out}_n": total,
-            f"{out}_mean": mean + gap * share,
-            f"{out}_m2": m2 + old_m2 + gap * gap * count * share,
-        }
-    ).drop(*(f"_old_{m}" for m in _MOMENTS))
+
+def _merges(lengths: set[int]) -> tuple[list[_Merge], dict[int, str]]:
+    """The merges that lead from single rows to all lengths, and the name of each length."""
+    merges, names = [], {}
+    span = 1
+    while 2 * span <= max(lengths):
+        merges.append(_Merge(f"_span{2 * span}", f"_span{span}", f"_span{span}", span))
+        span *= 2
+    for n in lengths:
+        parts = [1 << bit for bit in range(n.bit_length()) if n >> bit & 1]
+        covered = parts.pop()
+        name = f"_span{covered}"
+        while parts:
+            part = parts.pop()
+            longer = f"_span{n}_{covered + part}"
+            merges.append(_Merge(longer, name, f"_span{part}", covered))
+            name, covered = longer, covered + part
+        names[n] = name
+    return merges, names
+
+
+def _moments(name: str) -> list[Column]:
+    """Count, mean and sum of squared deviations."""
+    return [F.col(f"{name}_{moment}") for moment in ("n", "mean", "m2")]
+
+
+def _merge(df: DataFrame, window: WindowSpec, merges: Sequence[_Merge]) -> DataFrame:
+    lags, merged = {}, {}
+    for m in merges:
+        for moment in ("n", "mean", "m2"):
+            lags[f"_old{m.out}_{moment}"] = F.lag(f"{m.older}_{moment}", m.rows, 0.0).over(window)
+        count, mean, m2 = _moments(m.newer)
+        old_count, old_mean, old_m2 = _moments(f"_old{m.out}")
+        total = count + old_count
+        share = old_count / F.greatest(total, F.lit(1.0))
+        gap = old_mean - mean
+        merged[f"{m.out}_n"] = total
+        merged[f"{m.out}_mean"] = mean + gap * share
+        merged[f"{m.out}_m2"] = m2 + old_m2 + gap * gap * count * share
+    return df.withColumns(lags).withColumns(merged)

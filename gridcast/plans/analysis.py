@@ -120,7 +120,9 @@ def value_table(table: DataFrame, keys: Sequence[str] = (), rows: int = 8, step:
 
 def sampled_values(table: DataFrame, keys: Sequence[str] = (), points: int = 8) -> DataFrame:
     """Evenly spaced rows of the whole range, formatted for display."""
-    return stride_sample(table, [TIME, *keys], points).select(
+    # Positions need an order over all rows, so only the columns shown take part in it.
+    shown = table.select(*keys, TIME, TARGET, PREDICTION)
+    return stride_sample(shown, [TIME, *keys], points).select(
         *keys,
         minute_text(F.col(TIME)).alias("timestamp"),
         round_half_even(F.col(TARGET)).alias("actual"),

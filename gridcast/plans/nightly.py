@@ -50,21 +50,11 @@ def nightly(
 ) -> DataFrame:
     """Build the features of the run, lay them over the history, score them.
 
-    With `days` set only that much history feeds the windows, which truncates the longer ones;
-    `None` lets them see everything and keeps only the recent feature rows afterwards. Returns
-    the predictions, which are also stored.
+    Returns the predictions, which are also stored.
     """
-    first, last = as_of - timedelta(days=days or HISTORY_DAYS), as_of + timedelta(days=1)
-    past, measured = past_weather, generation
-    if days is not None:
-        past = closed_days(past_weather, spec.time, first, as_of - timedelta(days=1))
-        measured = closed_days(generation, spec.time, first, as_of)
-    ahead = closed_days(until_end_of_day(forecast_weather, spec.time, last), spec.time, as_of, last)
-    weather = assemble_weather(past, ahead, [*spec.keys, spec.time])
-    features = engineer_features(measured, weather, holidays, spec, generation_order)
-    if days is None:
-        features = closed_days(features, spec.time, first, last)
-
+    features = run_features(
+        as_of, generation, past_weather, forecast_weather, holidays, spec, generation_order, days
+    )
     write_table(features, tables.features)
     features = spark.read.parquet(tables.features)
     extend_history(spark, tables, features, spec)
@@ -73,6 +63,32 @@ def nightly(
     return spark.read.parquet(tables.predictions)
 
 
+def run_features(
+    as_of: date,
+    generation: DataFrame,
+    past_weather: DataFrame,
+    forecast_weather: DataFrame,
+    holidays: DataFrame,
+    spec: FeatureSpec = FeatureSpec(),
+    generation_order: Sequence[str] = (),
+    days: int | None = HISTORY_DAYS,
+) -> DataFrame:
+    """Feature rows from some days before `as_of` to the end of the day after it.
+
+    Past weather ends before `as_of`, measured generation with that day, and the forecast covers
+    it and the next. With `days` set only that much history feeds the windows, which truncates
+    the longer ones; `None` lets them see everything and keeps the recent rows afterwards.
+    """
+    first, last = as_of - timedelta(days=days or HISTORY_DAYS), as_of + timedelta(days=1)
+    start = first if days is not None else date.min
+    past = closed_days(past_weather, spec.time, start, as_of - timedelta(days=1))
+    measured = closed_days(generation, spec.time, start, as_of)
+    ahead = closed_days(until_end_of_day(forecast_weather, spec.time, last), spec.time, as_of, last)
+    weather = assemble_weather(past, ahead, [*spec.keys, spec.time])
+    features = engineer_features(measured, weather, holidays, spec, generation_order)
+    return features if days is not None else closed_days(features, spec.time, first, last)
+
+
 def extend_history(spark: SparkSession, tables: Tables, features: DataFrame, spec: FeatureSpec = FeatureSpec()) -> None:
     """Start the history from the snapshot if there is none or it is shorter, then lay `features` over it."""
     keys = [*spec.keys, spec.time]

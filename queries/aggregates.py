@@ -82,7 +82,8 @@ def guarded_kpi(spark, sf_dir):
 )
 def fold_metrics(spark, sf_dir):
     known = forecasts(spark, sf_dir).where("baseline IS NOT NULL")
-    tested = walk_forward(known, ["datetime", "event_type"], n_splits=5, fraction=0.15).where("role = 'test'")
+    order = ["datetime", "event_type"]
+    tested = walk_forward(known, order, n_splits=5, fraction=0.15, roles=["test"])
     actual, baseline = F.col("speed"), F.col("baseline")
     metrics = tested.groupBy("fold").agg(
         rmse(actual, baseline).alias("rmse"), mape(actual, baseline).alias("mape")

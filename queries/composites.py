@@ -7,20 +7,23 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from gridcast.operators.ranges import days_around
-from gridcast.plans import analysis, history
+from gridcast.plans import analysis, history, nightly
 from gridcast.plans.features import engineer_features
 from gridcast.schemas import LAG_ROWS, ROLLING_ROWS
+from gridcast.session import scratch_path
+from gridcast.sources.tables import PARTITIONS, snapshot_once, write_table
 from queries.inputs import EVENTS, FORECASTS, HOURLY, IS_HOLIDAY, KEYS, SPEC, events, feature_inputs, forecasts, hourly
 from queries.registry import query, r6
 from queries.scalars import CALENDAR_SQL
 
 
-def aligned_sql(prefix: str, where: str) -> str:
+def aligned_sql(prefix: str, where: str, weather_where: str | None = None) -> str:
     """CTEs up to `{prefix}aligned`: hourly weather with the nearest generation value."""
     p = prefix
+    weather_where = where if weather_where is None else weather_where
     return f"""{p}gen AS (SELECT event_type, ts AS at, value + 0.0 AS wind_perc FROM events {where}),
     {p}met AS (SELECT event_type, date_trunc('hour', ts) AS datetime, CAST(count(*) AS DOUBLE) AS temperature_2m,
-        avg(value + 0.0) AS wind_speed_10m FROM events {where} GROUP BY 1, 2),
+        avg(value + 0.0) AS wind_speed_10m FROM events {weather_where} GROUP BY 1, 2),
     {p}before AS (SELECT m.*, g.at AS b_at, g.wind_perc AS b_perc FROM {p}met m ASOF LEFT JOIN {p}gen g
         ON m.event_type = g.event_type AND m.datetime >= g.at),
     {p}near AS (SELECT b.*, g.wind_perc AS a_perc, epoch_us(b.datetime) - epoch_us(b_at) AS behind,
@@ -70,6 +73,31 @@ def engineer_features_ordered(spark, sf_dir):
     return features(spark, sf_dir, strategy="ordered", chunk_rows=2000)
 
 
+RUN_DAY = date(2024, 1, 20)
+RUN_GENERATION = "WHERE ts < TIMESTAMP '2024-01-21'"
+RUN_WEATHER = "WHERE ts < TIMESTAMP '2024-01-22'"
+
+
+@query(
+    "nightly_history",
+    f"""WITH {aligned_sql('run_', RUN_GENERATION, RUN_WEATHER)}, {features_sql('run_')},
+             {aligned_sql('', '')}, {features_sql('')},
+        kept AS (SELECT * FROM features WHERE datetime < TIMESTAMP '2024-01-18'
+                 UNION ALL SELECT * FROM run_features WHERE datetime >= TIMESTAMP '2024-01-17')
+        SELECT DISTINCT event_type, datetime, {FEATURE_COLUMNS} FROM kept""",
+)
+def nightly_history(spark, sf_dir):
+    generation, weather, holidays = feature_inputs(spark, sf_dir)
+    tables = nightly.Tables.under(scratch_path(spark, "nightly"))
+    snapshot_once(features(spark, sf_dir).where("datetime < timestamp'2024-01-18'"), tables.snapshot)
+    rows = nightly.run_features(
+        RUN_DAY, generation, weather, weather, holidays, SPEC, ["event_id"], days=None
+    )
+    write_table(rows, tables.features)
+    nightly.extend_history(spark, tables, spark.read.parquet(tables.features), SPEC)
+    return spark.read.parquet(tables.history).drop(*PARTITIONS)
+
+
 # --- history ------------------------------------------------------------------------------
 
 SLOT = ["event_type", "datetime"]
