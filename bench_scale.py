@@ -32,7 +32,7 @@ def replicated(spark, sf_dir: str, factor: int, skew: bool):
         (F.lit("all") if skew else F.col("event_type")).alias("event_type"),
         (F.col("ts").cast("timestamp") + F.make_dt_interval(days=F.col("copy") * 30)).alias("datetime"),
         F.col("value"),
-        (F.col("copy") * 100_000_000 + F.col("event_id")).alias("event_id"),
+        (F.col("copy").cast("long") * 100_000_000 + F.col("event_id")).alias("event_id"),
     )
 
 
