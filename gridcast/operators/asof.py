@@ -61,10 +61,6 @@ def nearest_join(
         groups = [*keys, "_bucket"]
         asking = asking.withColumn("_bucket", _bucket(F.col(on), width))
         entries = entries.withColumn("_bucket", F.explode(_buckets_in_reach(F.col(on), width, tolerance)))
-    elif strategy == "ordered":
-        # Lets the range partitioner split left rows that share a timestamp.
-        asking = asking.withColumn("_spread", F.xxhash64(*names))
-        order = [*order, "_spread"]
 
     carried = carry(
         asking.unionByName(entries, allowMissingColumns=True),

@@ -16,7 +16,7 @@ def outer_merge(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFra
 
 def override(base: DataFrame, newer: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of `base` whose key `newer` does not hold, and all rows of `newer`."""
-    return unseen(base, newer, on).unionByName(newer)
+    return unseen(base, newer, on).unionByName(newer, allowMissingColumns=True)
 
 
 def unseen(batch: DataFrame, seen: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridcast.session import materialize
 
@@ -39,14 +40,17 @@ class OrderedRows:
 def ordered_rows(df: DataFrame, order: Sequence[str], out: str = "row") -> OrderedRows:
     """Number all rows 0, 1, 2, … in ascending `order` without a single-partition sort.
 
-    `order` should end in a unique column: it makes the numbering deterministic and lets the
-    range partitioner split runs of equal timestamps. Only one row per partition (its size)
-    reaches the driver.
+    Rows equal in `order` follow a hash of their content: it makes the numbering deterministic
+    and lets the range partitioner split a timestamp that very many rows share. Only one row
+    per partition (its size) reaches the driver.
     """
     spark = df.sparkSession
+    hashed = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
     placed = materialize(
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        df.withColumn("_tie", F.xxhash64(*hashed))
+        .repartitionByRange(*order, "_tie")
+        .sortWithinPartitions(*order, "_tie")
+        .drop("_tie")
         .withColumn("_place", F.monotonically_increasing_id()),
         "ordered",
     )
@@ -148,9 +152,11 @@ def carry(
         *(_edge(F.min_by, column, out) for out, column in backward.items()),
     )
     # It enters the neighbouring chunks as a row before their first or after their last one.
-    for names, place, toward in ((forward, _BEFORE_ALL, "_chunk"), (backward, _AFTER_ALL, F.desc("_chunk"))):
+    ends = ((forward, _BEFORE_ALL, F.asc("_chunk")), (backward, _AFTER_ALL, F.desc("_chunk")))
+    for names, place, toward in ends:
         if names:
-            earlier = Window.partitionBy(*keys).orderBy(toward).rowsBetween(Window.unboundedPreceding, -1)
+            passed = Window.partitionBy(*keys).orderBy(toward)
+            earlier = passed.rowsBetween(Window.unboundedPreceding, -1)
             handed = edges.select(
                 *keys,
                 "_chunk",

@@ -14,6 +14,7 @@ from gridcast.operators.merge import flag_members
 from gridcast.operators.ordered import CHUNK_ROWS, MAX_GROUP_ROWS, pick_strategy, with_windows
 from gridcast.operators.windows import lag_columns, with_rolling
 from gridcast.schemas import FeatureSpec
+from gridcast.sources.tables import snapshot_once, write_table
 
 
 def engineer_features(
@@ -68,6 +69,18 @@ def engineer_features(
     return complete_rows(flagged, spec.predictors).select(*keys, spec.time, spec.target, *spec.inputs)
 
 
+def store_features(generation: DataFrame, weather: DataFrame, holidays: DataFrame, path: str, **options) -> None:
+    """Replace the feature table at `path`.
+
+    Without any input an existing table is left alone, and an absent one is created empty.
+    """
+    features = engineer_features(generation, weather, holidays, **options)
+    if weather.isEmpty() and generation.isEmpty():
+        snapshot_once(features, path)
+    else:
+        write_table(features, path)
+
+
 def features_for(mode: str, tables: dict[str, tuple[DataFrame, DataFrame]], holidays: DataFrame, **options):
     """The same plan over the inputs of one mode, such as `training` or `inference`."""
     if mode not in tables:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridcast.operators.dedupe import keep_last_of
+from gridcast.operators.merge import override
 from gridcast.schemas import struct
 from gridcast.session import scratch_path
 from gridcast.sources.tables import (
@@ -61,14 +62,17 @@ def upsert_table(
     while it is read, and copied into place from there. A caller that passes a fixed `staging`
     path and one `token` per batch can repeat a call that failed at any point: a finished
     staging table of that token is used as it is, so a half-replaced history is never merged.
+
+    The stored history holds each key once, as every call leaves it. So only the new rows are
+    reduced to one per key, and a batch small enough to be broadcast shuffles no stored row.
     """
     staging = staging or scratch_path(spark, "upsert")
     done = f"{staging}.done"
     if not _finished(spark, done, token):
-        parts = [new]
+        merged = keep_last_of([new], keys, order)
         if table_exists(spark, path):
-            parts.insert(0, _touched(spark, path, new, ts))
-        write_series(keep_last_of(parts, keys, order), staging, ts, order=keys, replace=True)
+            merged = override(_touched(spark, path, new, ts), merged, keys)
+        write_series(merged, staging, ts, order=keys, replace=True)
         write_table(spark.createDataFrame([(token,)], DONE), done)
     if table_exists(spark, staging):
         write_series(spark.read.parquet(staging).drop(*PARTITIONS), path, ts, order=keys)

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from conftest import plan
 
-from gridcast.plans.features import engineer_features, features_for
+from gridcast.plans.features import engineer_features, features_for, store_features
 from gridcast.schemas import FeatureSpec
 
 START = datetime(2024, 2, 26)
@@ -131,6 +131,19 @@ def test_modes_share_the_plan(spark):
         features_for("other", {"training": inputs}, calendar(spark))
 
 
+def test_stored_features_survive_a_run_without_input(spark, tmp_path):
+    shares, weather = raw(6, 60, 0)
+    ci, met = spark.createDataFrame(shares, GENERATION), spark.createDataFrame(weather, WEATHER)
+    path, holidays = str(tmp_path / "features"), calendar(spark)
+    nothing = (ci.limit(0), met.limit(0), holidays, path)
+    store_features(*nothing, spec=SPEC)
+    assert spark.read.parquet(path).count() == 0
+    store_features(ci, met, holidays, path, spec=SPEC)
+    rows = spark.read.parquet(path).count()
+    store_features(*nothing, spec=SPEC)
+    assert spark.read.parquet(path).count() == rows > 0
+
+
 def test_series_plan_has_one_shuffle_and_two_sorts(spark):
     shares, weather = raw(4, 60, 0)
     df = engineer_features(

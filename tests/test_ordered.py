@@ -123,6 +123,12 @@ def test_index_splits_a_timestamp_that_holds_all_rows(spark):
     assert spread.groupBy("part").count().count() == 4
 
 
+def test_ties_are_numbered_the_same_every_time(spark):
+    df = spark.range(500).select(F.lit(START).alias("ts"), (F.col("id") * 7919 % 500).alias("x"))
+    runs = [ordered_index(df.repartition(n), ["ts"]).orderBy("row").collect() for n in (2, 7)]
+    assert runs[0] == runs[1]
+
+
 def test_empty_input(spark):
     df = spark.createDataFrame([], "key STRING, ts TIMESTAMP, id INT, x DOUBLE")
     assert ordered_rows(df, ["ts"]).total == 0
