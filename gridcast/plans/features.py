@@ -14,6 +14,7 @@ from gridcast.operators.merge import flag_members
 from gridcast.operators.ordered import CHUNK_ROWS, MAX_GROUP_ROWS, pick_strategy, with_windows
 from gridcast.operators.windows import lag_columns, with_rolling
 from gridcast.schemas import FeatureSpec
+from gridcast.session import require_utc
 from gridcast.sources.tables import snapshot_once, write_table
 
 
@@ -36,6 +37,7 @@ def engineer_features(
     series. The join keeps the weather rows as they are, so the sizes measured on the narrow
     inputs also bound the window groups.
     """
+    require_utc(weather.sparkSession)
     keys = list(spec.keys)
     weather = ensure_columns(weather, {c: "double" for c in spec.weather})
     windows = strategy

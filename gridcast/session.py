@@ -35,6 +35,13 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def require_utc(spark: SparkSession) -> None:
+    """Refuse a session whose zone would shift hours, days and holidays."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"spark.sql.session.timeZone is {zone}; calendar features need UTC")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach, as the cluster names it in `spark.checkpoint.dir`.
 

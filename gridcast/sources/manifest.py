@@ -24,9 +24,8 @@ def month_tiles(ranges: DataFrame) -> DataFrame:
     """Whole calendar months the range touches."""
     firsts = F.sequence(F.trunc("start", "MONTH"), F.trunc("end", "MONTH"), F.expr("INTERVAL 1 MONTH"))
     rest = [c for c in ranges.columns if c not in ("start", "end")]
-    return ranges.select(*rest, F.explode(firsts).alias("first_day")).withColumn(
-        "last_day", F.last_day("first_day")
-    )
+    months = ranges.where("start <= end").select(*rest, F.explode(firsts).alias("first_day"))
+    return months.withColumn("last_day", F.last_day("first_day"))
 
 
 def year_tiles(ranges: DataFrame) -> DataFrame:

@@ -131,6 +131,18 @@ def test_modes_share_the_plan(spark):
         features_for("other", {"training": inputs}, calendar(spark))
 
 
+def test_another_session_zone_is_refused(spark):
+    shares, weather = raw(5, 10, 0)
+    spark.conf.set("spark.sql.session.timeZone", "Europe/London")
+    try:
+        with pytest.raises(ValueError, match="need UTC"):
+            engineer_features(
+                spark.createDataFrame(shares, GENERATION), spark.createDataFrame(weather, WEATHER), calendar(spark)
+            )
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_stored_features_survive_a_run_without_input(spark, tmp_path):
     shares, weather = raw(6, 60, 0)
     ci, met = spark.createDataFrame(shares, GENERATION), spark.createDataFrame(weather, WEATHER)
