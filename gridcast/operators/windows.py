@@ -36,14 +36,9 @@ def with_rolling(
     of two from its binary parts. That takes a few lags per row, of which all share one sort, and
     merging moments, unlike subtracting running totals, loses no precision.
     """
-    value = F.col(column).cast("double")
-    df = df.withColumns(
-        {
-            "_span1_n": value.isNotNull().cast("double"),
-            "_span1_mean": F.coalesce(value, F.lit(0.0)),
-            "_span1_m2": F.lit(0.0),
-        }
-    )
+    x = f"double(`{column}`)"
+    single = f"named_struct('n', double(isnotnull({x})), 'mean', coalesce({x}, 0D), 'm2', 0D)"
+    df = df.withColumn("_span1", F.expr(single))
     merges, results = _merges(set(rows.values()))
     ready = {"_span1"}
     while merges:
@@ -55,11 +50,12 @@ def with_rolling(
 
     columns = {}
     for label, n in rows.items():
-        count, mean, m2 = _moments(results[n])
+        span = results[n]
         if "mean" in stats:
-            columns[f"{prefix}_roll_mean_{label}"] = F.when(count > 0, mean)
+            columns[f"{prefix}_roll_mean_{label}"] = F.expr(f"if({span}.n > 0, {span}.mean, NULL)")
         if "std" in stats:
-            columns[f"{prefix}_roll_std_{label}"] = F.when(count > 1, F.sqrt(m2 / (count - 1)))
+            deviation = f"if({span}.n > 1, sqrt({span}.m2 / ({span}.n - 1)), NULL)"
+            columns[f"{prefix}_roll_std_{label}"] = F.expr(deviation)
     kept = [c for c in df.columns if not c.startswith(("_span", "_old"))]
     return df.select(*kept, *(c.alias(name) for name, c in columns.items()))
 
@@ -94,22 +90,20 @@ def _merges(lengths: set[int]) -> tuple[list[_Merge], dict[int, str]]:
     return merges, names
 
 
-def _moments(name: str) -> list[Column]:
-    """Count, mean and sum of squared deviations."""
-    return [F.col(f"{name}_{moment}") for moment in ("n", "mean", "m2")]
-
-
 def _merge(df: DataFrame, window: WindowSpec, merges: Sequence[_Merge]) -> DataFrame:
-    lags, merged = {}, {}
-    for m in merges:
-        for moment in ("n", "mean", "m2"):
-            lags[f"_old{m.out}_{moment}"] = F.lag(f"{m.older}_{moment}", m.rows, 0.0).over(window)
-        count, mean, m2 = _moments(m.newer)
-        old_count, old_mean, old_m2 = _moments(f"_old{m.out}")
-        total = count + old_count
-        share = old_count / F.greatest(total, F.lit(1.0))
-        gap = old_mean - mean
-        merged[f"{m.out}_n"] = total
-        merged[f"{m.out}_mean"] = mean + gap * share
-        merged[f"{m.out}_m2"] = m2 + old_m2 + gap * gap * count * share
+    """Moments are structs of count, mean and sum of squared deviations from the mean."""
+    lags = {f"_old{m.out}": F.lag(m.older, m.rows).over(window) for m in merges}
+    merged = {m.out: F.expr(_merged(m.newer, f"_old{m.out}")) for m in merges}
     return df.withColumns(lags).withColumns(merged)
+
+
+def _merged(a: str, b: str) -> str:
+    """SQL for the moments of `a` and `b` together; `b` is NULL before the start of the series."""
+    b_n, b_mean, b_m2 = (f"coalesce({b}.{moment}, 0D)" for moment in ("n", "mean", "m2"))
+    total = f"({a}.n + {b_n})"
+    share = f"{b_n} / greatest({total}, 1D)"
+    gap = f"({b_mean} - {a}.mean)"
+    return (
+        f"named_struct('n', {total}, 'mean', {a}.mean + {gap} * {share}, "
+        f"'m2', {a}.m2 + {b_m2} + {gap} * {gap} * {a}.n * {share})"
+    )
