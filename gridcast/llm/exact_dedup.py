@@ -182,11 +182,11 @@ def _differing(docs: DataFrame, groups: DataFrame, text: str) -> DataFrame:
     Least and greatest text of a digest are found in salted parts and combined on the map side, so
     that the copies of one text, however many, never meet in one task.
     """
-    texts = docs.select(folded(text).alias("body")).withColumn("sha", F.sha2("body", 256))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
+    texts = docs.select(folded(text).alias("body"), salt).withColumn("sha", F.sha2("body", 256))
     repeated = groups.where("n > 1").select("sha")
     parts = (
         texts.join(repeated, "sha", "left_semi")
-        .withColumn("salt", F.floor(F.rand(7) * SALTS))
         .groupBy("sha", "salt")
         .agg(F.min("body").alias("low"), F.max("body").alias("high"))
     )
