@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from gridcast.llm import exact_dedup  # noqa: F401
+from gridcast.llm import (  # noqa: F401
+    bpe,
+    exact_dedup,
+    token_counts,
+)
 from gridcast.llm.registry import RUNS, SQL
 
 __all__ = ["RUNS", "SQL"]
