@@ -22,7 +22,7 @@ from gridcast.llm.registry import register, table
 #: Digests of one filter; the number of buckets follows from it and the rows of the snapshot.
 BUCKET_KEYS = 50_000
 #: Parts that the copies of one text are dealt into for the byte check.
-SALTS = 32
+SALTS = 16
 _MAX_SEEDS = 64
 
 
@@ -184,9 +184,10 @@ def _differing(docs: DataFrame, groups: DataFrame, text: str) -> DataFrame:
     """
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
     texts = docs.select(folded(text).alias("body"), salt).withColumn("sha", F.sha2("body", 256))
-    repeated = groups.where("n > 1").select("sha")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("salt")
+    repeated = groups.where("n > 1").select("sha", salts)
     parts = (
-        texts.join(repeated, "sha", "left_semi")
+        texts.join(repeated, ["sha", "salt"], "left_semi")
         .groupBy("sha", "salt")
         .agg(F.min("body").alias("low"), F.max("body").alias("high"))
     )
