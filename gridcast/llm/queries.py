@@ -5,6 +5,8 @@ from __future__ import annotations
 from gridcast.llm import (  # noqa: F401
     bpe,
     exact_dedup,
+    language_id,
+    simhash,
     token_counts,
 )
 from gridcast.llm.registry import RUNS, SQL
