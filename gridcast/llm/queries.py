@@ -6,6 +6,7 @@ from gridcast.llm import (  # noqa: F401
     bpe,
     exact_dedup,
     language_id,
+    mixing,
     simhash,
     token_counts,
 )
