@@ -10,6 +10,7 @@ from gridcast.llm import (  # noqa: F401
     secret_scan,
     simhash,
     token_counts,
+    topk_search,
 )
 from gridcast.llm.registry import RUNS, SQL
 
