@@ -1,24 +1,59 @@
-"""A corpus pipeline over the training-data operators."""
+"""A corpus pipeline over the training-data operators.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a
+DataFrame. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridcast.llm import exact_dedup
+from gridcast.llm import bpe, exact_dedup, language_id, mixing, simhash
+from gridcast.llm.common import materialize
+
+
+def name_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told (no letter in them) go; trained on the labelled rows of `docs`."""
+    return language_id.identified(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """Of documents with equal texts, the one with the largest id stays."""
     return exact_dedup.deduplicate(docs)
 
 
-STAGES = [("exact dedup", drop_exact_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by near fingerprints, the one with the least id stays."""
+    return simhash.representatives(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of every document, with what they decode to."""
+    path = bpe.word_vocabulary()
+    kept = ("doc_id", "lang", "source")
+    return bpe.decode(bpe.encode(docs, path, keep=kept), path)
+
+
+STAGES = [
+    ("language ID", name_languages),
+    ("exact dedup", drop_exact_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("BPE encoding and decoding", tokenise),
+]
 
+#: A learned language model, fingerprints and BPE have no SQL; run() is tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents, each written to the shared folder and reread by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

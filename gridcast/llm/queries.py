@@ -7,6 +7,7 @@ from gridcast.llm import (  # noqa: F401
     exact_dedup,
     language_id,
     mixing,
+    quality,
     secret_scan,
     simhash,
     token_counts,
