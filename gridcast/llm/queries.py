@@ -10,6 +10,7 @@ from gridcast.llm import (  # noqa: F401
     quality,
     secret_scan,
     simhash,
+    suffix_dedup,
     token_counts,
     topk_search,
 )
