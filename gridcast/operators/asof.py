@@ -8,6 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridcast.operators.columns import content_hash
 from gridcast.operators.ordered import CHUNK_ROWS, MAX_GROUP_ROWS, carry
 
 HALF_HOUR = timedelta(minutes=30)
@@ -29,8 +30,8 @@ def nearest_join(
     """Every left row with `values` of the right row nearest in time, NULL if none is near.
 
     The tolerance is inclusive. Equal distances take the earlier row. Among right rows with the
-    same timestamp the last one (by `right_order`) counts when they lie at or before the left
-    row, the first one when they lie after it.
+    same timestamp the last one (by `right_order`, then by a hash of the row) counts when they lie
+    at or before the left row, the first one when they lie after it.
 
     Both sides are laid into one ordered sequence in which each left row reads the last right
     row before it and the first one after it, so the work is linear in the rows: no pair of
@@ -51,10 +52,11 @@ def nearest_join(
         *keys,
         on,
         F.lit(0).alias("_side"),
+        content_hash(right).alias("_tie"),
         *(F.col(c).alias(place) for c, place in zip(right_order, places)),
         F.struct(F.col(on).alias("at"), *values).alias("_entry"),
     )
-    asking = left.withColumn("_side", F.lit(1))
+    asking = left.withColumns({"_side": F.lit(1), "_tie": content_hash(left)})
     groups, order = keys, [on, "_side", *places]
     if strategy == "bucket":
         width = tolerance * BUCKET_TOLERANCES

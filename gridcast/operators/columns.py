@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,28 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
+def content_hash(df: DataFrame, names: Iterable[str] | None = None) -> Column:
+    """A hash of a row's content, the last resort where an order leaves rows equal.
+
+    Spark does not hash maps, so whatever holds one is hashed as its JSON text.
+    """
+    chosen = set(df.columns if names is None else names)
+    parts = [
+        F.to_json(F.struct(F.col(f"`{f.name}`"))) if _holds_map(f.dataType) else F.col(f"`{f.name}`")
+        for f in df.schema
+        if f.name in chosen
+    ]
+    return F.xxhash64(*parts) if parts else F.lit(0).cast("long")
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType)
+
+
 def matching(df: DataFrame, pattern: str, keep: bool = True) -> list[str]:
     """Names that contain the pattern, or with `keep=False` those that do not."""
     return [c for c in df.columns if bool(re.search(pattern, c)) == keep]

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridcast.operators.columns import content_hash
+
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Per key the row that comes first in `order`."""
@@ -27,7 +29,9 @@ def _keep(df, keys, order, pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.dropDuplicates(list(keys))
-    kept = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("_kept"))
+    # Rows that `order` leaves equal follow a hash of their content, so that reruns agree.
+    place = F.struct(*order, content_hash(df, rest))
+    kept = df.groupBy(*keys).agg(pick(F.struct(*rest), place).alias("_kept"))
     return kept.select(*(c if c in keys else F.col("_kept").getField(c).alias(c) for c in df.columns))
 
 

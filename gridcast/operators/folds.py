@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridcast.operators.columns import content_hash
 from gridcast.operators.ordered import ordered_rows
 
 
@@ -74,13 +75,18 @@ def holdout_split(df: DataFrame, order: Sequence[str], test_size: int = 48) -> D
     """Column `role`: `holdout` for the last `test_size` rows of the order, `train` before them.
 
     Only the position of one row matters, so a top-n finds it and every row is then compared
-    with that literal: no sort and no shuffle of the data. `order` has to be unique.
+    with that literal: no sort and no shuffle of the data. Rows equal in `order` follow a hash of
+    their content, so that exactly `test_size` rows are held out; only exact copies of the row at
+    the edge stay together.
     """
+    names, order = df.columns, [*order, "_tie"]
+    df = df.withColumn("_tie", content_hash(df))
     last = df.select(*order).orderBy(*map(F.desc, order)).limit(test_size)
     first = last.orderBy(*order).first()
     if first is None:
-        return df.withColumn("role", F.lit("train"))
-    return df.withColumn("role", F.when(_at_or_after(order, first), "holdout").otherwise("train"))
+        return df.withColumn("role", F.lit("train")).select(*names, "role")
+    held = F.when(_at_or_after(order, first), "holdout").otherwise("train")
+    return df.withColumn("role", held).select(*names, "role")
 
 
 def _at_or_after(order: Sequence[str], row) -> Column:

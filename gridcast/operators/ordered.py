@@ -6,6 +6,9 @@ Two physical strategies stand behind every function here:
   series ends up in one task, so it is taken only after the largest series was measured.
 * `ordered`: rows are range partitioned over (keys, order), numbered, and cut into chunks of
   equal row count. No key, however hot, makes a chunk larger than the others.
+
+Rows that are equal in the given order follow a hash of their content in both, so the strategy, and
+with it the size of the input, never changes a result.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from gridcast.operators.columns import content_hash
 from gridcast.session import materialize
 
 MAX_GROUP_ROWS = 1_000_000
@@ -45,9 +48,8 @@ def ordered_rows(df: DataFrame, order: Sequence[str], out: str = "row") -> Order
     per partition (its size) reaches the driver.
     """
     spark = df.sparkSession
-    hashed = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
     placed = materialize(
-        df.withColumn("_tie", F.xxhash64(*hashed))
+        _with_tie(df)
         .repartitionByRange(*order, "_tie")
         .sortWithinPartitions(*order, "_tie")
         .drop("_tie")
@@ -73,6 +75,11 @@ def ordered_rows(df: DataFrame, order: Sequence[str], out: str = "row") -> Order
     return OrderedRows(numbered, total)
 
 
+def _with_tie(df: DataFrame) -> DataFrame:
+    """`df` with the tie breaker `_tie`, unless a caller has set it already."""
+    return df if "_tie" in df.columns else df.withColumn("_tie", content_hash(df))
+
+
 def ordered_index(df: DataFrame, order: Sequence[str], out: str = "row") -> DataFrame:
     """`df` with its 0-based position in ascending `order` as column `out`."""
     return ordered_rows(df, order, out).df
@@ -112,7 +119,7 @@ def with_windows(
     row finds its predecessors in its own chunk; the copies are dropped afterwards.
     """
     if pick_strategy(df, keys, strategy, max_group_rows) == "series":
-        return add(df, Window.partitionBy(*keys).orderBy(*order))
+        return add(_with_tie(df), Window.partitionBy(*keys).orderBy(*order, "_tie")).drop("_tie")
     if chunk_rows < reach:
         raise ValueError(f"chunk_rows={chunk_rows} is smaller than reach={reach}")
 
@@ -143,8 +150,9 @@ def carry(
     """
     forward, backward = dict(forward or {}), dict(backward or {})
     if pick_strategy(df, keys, strategy, max_group_rows) == "series":
-        return _carried(df, keys, order, forward, backward)
+        return _carried(_with_tie(df), keys, [*order, "_tie"], forward, backward).drop("_tie")
 
+    own = [c for c in df.columns if c != "_tie"]
     rows = ordered_index(df, [*keys, *order], "_row").withColumn("_chunk", F.expr(f"_row DIV {chunk_rows}"))
     # What each chunk hands on: its last (first) value. One row per chunk and series from here.
     edges = rows.groupBy(*keys, "_chunk").agg(
@@ -166,7 +174,7 @@ def carry(
             rows = rows.unionByName(handed, allowMissingColumns=True)
     carried = _carried(rows, [*keys, "_chunk"], ["_row"], forward, backward)
     real = (F.col("_row") > _BEFORE_ALL) & (F.col("_row") < _AFTER_ALL)
-    return carried.where(real).select(*df.columns, *forward, *backward)
+    return carried.where(real).select(*own, *forward, *backward)
 
 
 def _carried(df, keys, order, forward, backward) -> DataFrame:

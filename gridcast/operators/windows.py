@@ -37,10 +37,11 @@ def with_rolling(
     merging moments, unlike subtracting running totals, loses no precision.
     """
     x = f"double(`{column}`)"
+    columns_before = df.columns
     single = f"named_struct('n', double(isnotnull({x})), 'mean', coalesce({x}, 0D), 'm2', 0D)"
-    df = df.withColumn("_span1", F.expr(single))
+    df = df.withColumn("__span1", F.expr(single))
     merges, results = _merges(set(rows.values()))
-    ready = {"_span1"}
+    ready = {"__span1"}
     while merges:
         # Merges that do not wait for each other read their lags in one window.
         now = [m for m in merges if {m.newer, m.older} <= ready]
@@ -56,8 +57,7 @@ def with_rolling(
         if "std" in stats:
             deviation = f"if({span}.n > 1, sqrt({span}.m2 / ({span}.n - 1)), NULL)"
             columns[f"{prefix}_roll_std_{label}"] = F.expr(deviation)
-    kept = [c for c in df.columns if not c.startswith(("_span", "_old"))]
-    return df.select(*kept, *(c.alias(name) for name, c in columns.items()))
+    return df.select(*columns_before, *(c.alias(name) for name, c in columns.items()))
 
 
 @dataclass(frozen=True)
@@ -75,16 +75,16 @@ def _merges(lengths: set[int]) -> tuple[list[_Merge], dict[int, str]]:
     merges, names = [], {}
     span = 1
     while 2 * span <= max(lengths):
-        merges.append(_Merge(f"_span{2 * span}", f"_span{span}", f"_span{span}", span))
+        merges.append(_Merge(f"__span{2 * span}", f"__span{span}", f"__span{span}", span))
         span *= 2
     for n in lengths:
         parts = [1 << bit for bit in range(n.bit_length()) if n >> bit & 1]
         covered = parts.pop()
-        name = f"_span{covered}"
+        name = f"__span{covered}"
         while parts:
             part = parts.pop()
-            longer = f"_span{n}_{covered + part}"
-            merges.append(_Merge(longer, name, f"_span{part}", covered))
+            longer = f"__span{n}_{covered + part}"
+            merges.append(_Merge(longer, name, f"__span{part}", covered))
             name, covered = longer, covered + part
         names[n] = name
     return merges, names
@@ -92,8 +92,8 @@ def _merges(lengths: set[int]) -> tuple[list[_Merge], dict[int, str]]:
 
 def _merge(df: DataFrame, window: WindowSpec, merges: Sequence[_Merge]) -> DataFrame:
     """Moments are structs of count, mean and sum of squared deviations from the mean."""
-    lags = {f"_old{m.out}": F.lag(m.older, m.rows).over(window) for m in merges}
-    merged = {m.out: F.expr(_merged(m.newer, f"_old{m.out}")) for m in merges}
+    lags = {f"__old{m.out}": F.lag(m.older, m.rows).over(window) for m in merges}
+    merged = {m.out: F.expr(_merged(m.newer, f"__old{m.out}")) for m in merges}
     return df.withColumns(lags).withColumns(merged)
 
 

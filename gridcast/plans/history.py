@@ -71,7 +71,7 @@ def upsert_table(
     if not _finished(spark, done, token):
         merged = keep_last_of([new], keys, order)
         if table_exists(spark, path):
-            merged = override(_touched(spark, path, new, ts), merged, keys)
+            merged = override(touched(spark, path, new, ts), merged, keys)
         write_series(merged, staging, ts, order=keys, replace=True)
         write_table(spark.createDataFrame([(token,)], DONE), done)
     if table_exists(spark, staging):
@@ -82,7 +82,7 @@ def _finished(spark: SparkSession, done: str, token: str) -> bool:
     return not read_table(spark, done, DONE).where(F.col("token") == token).isEmpty()
 
 
-def _touched(spark: SparkSession, path: str, new: DataFrame, ts: str) -> DataFrame:
+def touched(spark: SparkSession, path: str, new: DataFrame, ts: str) -> DataFrame:
     """Stored rows of the months that occur in `new`, by partition pruning."""
     months = [tuple(row) for row in with_months(new, ts).select(*PARTITIONS).distinct().collect()]
     touched = F.lit(False)

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from gridcast.plans.history import upsert_table
-
-# How late a reading may come: as deep as the nightly run reaches back.
-LATENESS = "3 days"
-SPREAD = 16
+from gridcast.operators.dedupe import keep_first
+from gridcast.operators.merge import unseen
+from gridcast.plans.history import touched, upsert_table
+from gridcast.sources.tables import PARTITIONS, table_exists, with_months
 
 
 def read_stream(
@@ -54,41 +53,41 @@ def stream_upsert(
     )
 
 
-def unique_readings(
-    stream: DataFrame,
-    keys: Sequence[str],
-    ts: str = "datetime",
-    lateness: str = LATENESS,
-    spread: int = SPREAD,
-) -> DataFrame:
-    """The first reading per key; the state of a key is dropped `lateness` after its time.
-
-    A key that fills much of the stream is first reduced in up to `spread` tasks, apart by input
-    partition, of which each passes one reading on. The input partition of a row stays the same
-    when a task is repeated, which a random number would not.
-    """
-    timed = stream.withWatermark(ts, lateness)
-    if spread > 1:
-        salted = timed.withColumn("_salt", F.spark_partition_id() % spread)
-        timed = salted.dropDuplicatesWithinWatermark([*keys, "_salt"]).drop("_salt")
-    return timed.dropDuplicatesWithinWatermark(list(keys))
-
-
 def append_unique(
     stream: DataFrame,
     path: str,
     checkpoint: str,
     keys: Sequence[str],
     ts: str = "datetime",
-    lateness: str = LATENESS,
-    spread: int = SPREAD,
+    order: Sequence[str] = (),
 ) -> StreamingQuery:
-    """Append the first reading per key to a parquet table."""
+    """Append readings whose key the table at `path` lacks, the first one (by `order`) of each key.
+
+    A key is compared with everything stored, however late it comes; since `ts` is one of the keys,
+    only the months of the batch are read for that. A batch's rows go into a partition of its own,
+    which a replay after a failure overwrites and does not compare itself with. Rows without a time
+    have no key and are left out.
+    """
+    if ts not in keys:
+        raise ValueError(f"{ts} has to be one of the keys {list(keys)}")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = keep_first(batch.where(F.col(ts).isNotNull()), keys, order)
+        if table_exists(spark, path):
+            stored = touched(spark, path, batch, ts).where(F.col("batch") != batch_id)
+            fresh = unseen(fresh, stored, keys)
+        (
+            with_months(fresh, ts)
+            .withColumn("batch", F.lit(batch_id).cast("long"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*PARTITIONS, "batch")
+            .parquet(path)
+        )
+
     return (
-        unique_readings(stream, keys, ts, lateness, spread)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", path)
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

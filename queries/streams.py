@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from gridcast.session import scratch_path
 from gridcast.sources.tables import PARTITIONS
 from gridcast.streaming.history import append_unique, read_stream, stream_upsert
@@ -24,7 +26,8 @@ def stream_upsert_batches(spark, sf_dir):
 def stream_dedupe(spark, sf_dir):
     root = scratch_path(spark, "stream")
     readings = slots(events(spark, sf_dir))
-    readings.write.parquet(f"{root}/landed")
-    stream = read_stream(spark, f"{root}/landed", readings.schema)
+    # Six files in no order of time, one of them per batch.
+    readings.repartition(6, F.xxhash64("event_id")).write.parquet(f"{root}/landed")
+    stream = read_stream(spark, f"{root}/landed", readings.schema, files_per_batch=1)
     append_unique(stream, f"{root}/unique", f"{root}/state", SLOT).awaitTermination()
     return spark.read.parquet(f"{root}/unique").select(*SLOT)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -129,12 +130,16 @@ def test_stream_upsert_equals_batch(spark, tmp_path):
     assert len(content(stored(spark, path))) == 4
 
 
-@pytest.mark.parametrize("spread", [1, 4])
-def test_stream_dedupe_across_batches(spark, tmp_path, spread):
+def test_stream_dedupe_across_batches(spark, tmp_path):
+    """Thirty days of hours in random order, every hour twice, one file per batch."""
     landing, path, state = (str(tmp_path / n) for n in ("landed", "unique", "state"))
-    for rows in ([(0, 1), (0, 1), (1, 2)], [(1, 2), (2, 3)], [(2, 3), (2, 3), (0, 1)]):
-        batch = frame(spark, *rows).repartition(3)
-        batch.write.mode("append").parquet(landing)
-        stream = read_stream(spark, landing, batch.schema)
-        append_unique(stream, path, state, ["datetime"], spread=spread).awaitTermination()
-    assert content(spark.read.parquet(path)) == {0: 1.0, 1: 2.0, 2: 3.0}
+    hours = [*range(24 * 30), *range(24 * 30)]
+    random.Random(3).shuffle(hours)
+    for at in range(0, len(hours), 240):
+        frame(spark, *((h, h) for h in hours[at : at + 240])).coalesce(1).write.mode("append").parquet(landing)
+    stream = read_stream(spark, landing, spark.read.parquet(landing).schema, files_per_batch=1)
+    append_unique(stream, path, state, ["datetime"]).awaitTermination()
+    stored = spark.read.parquet(path)
+    assert stored.count() == 24 * 30
+    assert content(stored) == {h: float(h) for h in range(24 * 30)}
+    assert stored.select("batch").distinct().count() == 6
