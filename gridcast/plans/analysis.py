@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 from datetime import date
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,28 +130,60 @@ def sampled_values(table: DataFrame, keys: Sequence[str] = (), points: int = 8)
     )
 
 
-@dataclass(frozen=True)
 class RangeReport:
-    kpis: DataFrame
-    errors: DataFrame
-    sample: DataFrame
+    """KPIs, error series and sample of some rows. Each part is planned when it is first asked for."""
+
+    def __init__(self, rows: DataFrame, keys: Sequence[str] = ()):
+        self.rows, self.keys = rows, keys
+
+    @cached_property
+    def kpis(self) -> DataFrame:
+        return skill(self.rows, self.keys)
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        return error_series(self.rows, self.keys)
+
+    @cached_property
+    def sample(self) -> DataFrame:
+        return sampled_values(self.rows, self.keys)
 
 
 def range_report(table: DataFrame, start: date, end: date, keys: Sequence[str] = ()) -> RangeReport:
-    """KPIs, error series and sample of the days `start` to `end`."""
-    rows = closed_days(table, TIME, start, end)
-    return RangeReport(skill(rows, keys), error_series(rows, keys), sampled_values(rows, keys))
+    """The report of the days `start` to `end`."""
+    return RangeReport(closed_days(table, TIME, start, end), keys)
 
 
-@dataclass(frozen=True)
 class ForecastReport:
-    rows: DataFrame
-    errors: DataFrame
-    values: DataFrame
-    trend: DataFrame
+    """Rows, error series, value table and trend. Each part is planned when it is first asked for."""
+
+    def __init__(self, rows: DataFrame, keys: Sequence[str] = ()):
+        self.rows, self.keys = rows, keys
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        return error_series(self.rows, self.keys)
+
+    @cached_property
+    def values(self) -> DataFrame:
+        return value_table(self.rows, self.keys)
+
+    @cached_property
+    def trend(self) -> DataFrame:
+        return trend(self.rows, self.keys)
 
 
 def forecast_report(table: DataFrame, as_of: date, keys: Sequence[str] = ()) -> ForecastReport:
     """The last three days and the next two around `as_of`."""
-    rows = closed_days(table, TIME, *days_around(as_of))
-    return ForecastReport(rows, error_series(rows, keys), value_table(rows, keys), trend(rows, keys))
+    return ForecastReport(closed_days(table, TIME, *days_around(as_of)), keys)
+
+
+def forecast_kpis(stored: DataFrame, history: DataFrame) -> DataFrame:
+    """Cards of the forecast: the stored holdout metrics of the model against the recent baseline.
+
+    `stored` is the metrics document, of one row, or of none when no model was evaluated yet; then
+    the cards cannot be compared. One row with status, arrow and change.
+    """
+    found = stored.select("holdout_rmse_perc", "holdout_mape_perc").first() or (None, None)
+    model = {f"model_{name}": F.lit(v).cast("double") for name, v in zip(("rmse", "mape"), found)}
+    return with_skill(recent_baseline(history).withColumns(model))

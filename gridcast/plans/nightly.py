@@ -15,11 +15,28 @@ from gridcast.plans.features import engineer_features
 from gridcast.plans.history import assemble_weather, resolve_history, upsert_table
 from gridcast.plans.training import score
 from gridcast.schemas import FeatureSpec
-from gridcast.sources.tables import PARTITIONS, table_exists, write_series, write_table
+from gridcast.session import materialize
+from gridcast.sources.documents import filled_weather, history_of_share
+from gridcast.sources.tables import PARTITIONS, snapshot_once, table_exists, write_series, write_table
 
 HISTORY_DAYS = 3
 
 
+class EmptySource(ValueError):
+    """A source of the run has no rows."""
+
+
+@dataclass(frozen=True)
+class Landed:
+    """Documents as they landed: frames with the spec's keys, a text column and the order they came in."""
+
+    generation: DataFrame
+    past_weather: DataFrame
+    forecast_weather: DataFrame
+    text: str = "text"
+    order: tuple[str, ...] = ("id",)
+
+
 @dataclass(frozen=True)
 class Tables:
     """Where a run keeps its tables."""
@@ -46,23 +63,53 @@ def nightly(
     model: PipelineModel,
     spec: FeatureSpec = FeatureSpec(),
     generation_order: Sequence[str] = (),
-    days: int | None = HISTORY_DAYS,
+    days: int | None = None,
 ) -> DataFrame:
     """Build the features of the run, lay them over the history, score them.
 
-    Returns the predictions, which are also stored.
+    Returns the predictions, which are also stored. Stops with `EmptySource`, all tables untouched,
+    when a source has no rows. The features that a first run finds are kept as the snapshot before
+    it overwrites them. A run without feature rows leaves history and predictions as they are.
     """
+    sources = {"generation": generation, "past weather": past_weather, "forecast weather": forecast_weather}
+    for name, source in sources.items():
+        if source.isEmpty():
+            raise EmptySource(f"no rows of {name}")
+    if not table_exists(spark, tables.snapshot) and table_exists(spark, tables.features):
+        snapshot_once(spark.read.parquet(tables.features), tables.snapshot)
+
     features = run_features(
         as_of, generation, past_weather, forecast_weather, holidays, spec, generation_order, days
     )
+    features = materialize(features, "run-features")
+    scored = score(model, features, spec)
+    if features.isEmpty():
+        return scored
     write_table(features, tables.features)
-    features = spark.read.parquet(tables.features)
     extend_history(spark, tables, features, spec)
-
-    write_table(score(model, features, spec), tables.predictions)
+    write_table(scored, tables.predictions)
     return spark.read.parquet(tables.predictions)
 
 
+def nightly_from_documents(
+    spark: SparkSession,
+    as_of: date,
+    tables: Tables,
+    documents: Landed,
+    holidays: DataFrame,
+    model: PipelineModel,
+    spec: FeatureSpec = FeatureSpec(),
+    days: int | None = None,
+) -> DataFrame:
+    """The nightly run from landed documents: parse, check, fill, then `nightly`."""
+    keys = list(spec.keys)
+    generation = history_of_share(documents.generation, documents.text, documents.order, keys)
+    past = filled_weather(documents.past_weather, documents.text, keys)
+    ahead = filled_weather(documents.forecast_weather, documents.text, keys, until=as_of + timedelta(days=1))
+    parts = (materialize(part, "landed") for part in (generation, past, ahead))
+    return nightly(spark, as_of, tables, *parts, holidays, model, spec, days=days)
+
+
 def run_features(
     as_of: date,
     generation: DataFrame,
@@ -71,7 +118,7 @@ def run_features(
     holidays: DataFrame,
     spec: FeatureSpec = FeatureSpec(),
     generation_order: Sequence[str] = (),
-    days: int | None = HISTORY_DAYS,
+    days: int | None = None,
 ) -> DataFrame:
     """Feature rows from some days before `as_of` to the end of the day after it.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -26,7 +26,7 @@ MISSING = -1.0e6
 
 @dataclass(frozen=True)
 class TreeParams:
-    """Boosting parameters; `patience_tolerance` ends boosting when validation stops improving."""
+    """Boosting parameters. Validation keeps the best round, looking no further than `patience` rounds past it."""
 
     iterations: int = 100
     depth: int = 6
@@ -34,7 +34,7 @@ class TreeParams:
     subsample: float = 1.0
     bins: int = 128
     seed: int = 42
-    patience_tolerance: float = 0.01
+    patience: int = 50
 
 
 @dataclass(frozen=True)
@@ -69,9 +69,8 @@ def fit(
     inputs: Sequence[str],
     target: str,
     params: TreeParams = TreeParams(),
-    validation: str | None = None,
 ) -> PipelineModel:
-    """Fit boosted trees. `validation` names a flag column of the rows held out for early stopping."""
+    """Fit boosted trees, all rounds of them."""
     trees = GBTRegressor(
         featuresCol="features",
         labelCol=target,
@@ -82,13 +81,37 @@ def fit(
         subsamplingRate=params.subsample,
         maxBins=params.bins,
         seed=params.seed,
-        validationTol=params.patience_tolerance,
     )
-    if validation:
-        trees = trees.setValidationIndicatorCol(validation)
     assembler = VectorAssembler(inputCols=[f"_in_{c}" for c in inputs], outputCol="features")
-    model = Pipeline(stages=[assembler, trees]).fit(_inputs(rows, inputs))
-    return model
+    return Pipeline(stages=[assembler, trees]).fit(_inputs(rows, inputs))
+
+
+def best_round(errors: Sequence[float], patience: int) -> int:
+    """Number of rounds with the least error, the first of equals, before `patience` rounds without a better one."""
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def fit_best(
+    train_rows: DataFrame, test_rows: DataFrame, inputs: Sequence[str], target: str, params: TreeParams
+) -> tuple[PipelineModel, float]:
+    """The model with the best number of rounds on the test rows, and its RMSE there.
+
+    One pass over the test rows gives the error after every round. Boosting with the same seed
+    repeats itself, so the refit with fewer rounds is the beginning of the first fit.
+    """
+    model = fit(train_rows, inputs, target, params)
+    shaped = model.stages[0].transform(_inputs(test_rows, inputs))
+    errors = model.stages[-1].evaluateEachIteration(shaped, "squared")
+    rounds = best_round(errors, params.patience)
+    if rounds < len(errors):
+        model = fit(train_rows, inputs, target, replace(params, iterations=rounds))
+    return model, math.sqrt(errors[rounds - 1])
 
 
 def predict(model: PipelineModel, rows: DataFrame, inputs: Sequence[str]) -> DataFrame:
@@ -123,11 +146,11 @@ class CrossValidation:
 
 
 def _fit_fold(indexed: DataFrame, fold: Fold, spec: FeatureSpec, params: TreeParams):
-    """Fit on the fold's training rows, stop early on its test rows, score the test rows."""
-    rows = indexed.withColumn("_role", fold.role(F.col("row"))).where("_role IS NOT NULL")
-    rows = rows.withColumn("_validation", F.col("_role") == "test")
-    model = fit(rows, spec.inputs, spec.target, params, validation="_validation")
-    return model, predict(model, rows.where("_validation"), spec.inputs)
+    """Fit on the fold's training rows, keep the best round on its test rows, score the test rows."""
+    role = fold.role(F.col("row"))
+    test = indexed.where(role == "test")
+    model, _ = fit_best(indexed.where(role == "train"), test, spec.inputs, spec.target, params)
+    return model, predict(model, test, spec.inputs)
 
 
 def _fold_metrics(scored: DataFrame, spec: FeatureSpec) -> tuple[float, float]:
@@ -165,6 +188,7 @@ def cross_validate(
 def _indexed(features: DataFrame, spec: FeatureSpec) -> OrderedRows:
     rows = training_rows(features, spec).select(*spec.keys, spec.time, spec.target, *spec.inputs)
     indexed = ordered_rows(rows, _order(spec), "row")
+    # Written already; what is kept here is the numbering and the columns as trees read them.
     return OrderedRows(indexed.df.persist(StorageLevel.MEMORY_AND_DISK), indexed.total)
 
 
@@ -215,7 +239,7 @@ def search(
     table = spark.createDataFrame(
         results,
         "trial INT, mean_rmse DOUBLE, iterations INT, depth INT, learning_rate DOUBLE, "
-        "subsample DOUBLE, bins INT, seed INT, patience_tolerance DOUBLE",
+        "subsample DOUBLE, bins INT, seed INT, patience INT",
     )
     return table.orderBy("mean_rmse", "trial")
 
@@ -224,13 +248,22 @@ def _objective(indexed: DataFrame, folds: Sequence[Fold], spec: FeatureSpec, par
     errors = []
     for fold in folds:
         try:
-            _, scored = _fit_fold(indexed, fold, spec, params)
-            errors.append(_fold_metrics(scored, spec)[0])
+            role = fold.role(F.col("row"))
+            parts = indexed.where(role == "train"), indexed.where(role == "test")
+            errors.append(best_error(*parts, spec, params))
         except Exception:  # any failure of a fit only disqualifies its parameters
             return math.inf
     return sum(errors) / len(errors)
 
 
+def best_error(train_rows: DataFrame, test_rows: DataFrame, spec: FeatureSpec, params: TreeParams) -> float:
+    """RMSE of the best round: the search needs no refit and no prediction."""
+    model = fit(train_rows, spec.inputs, spec.target, params)
+    shaped = model.stages[0].transform(_inputs(test_rows, spec.inputs))
+    errors = model.stages[-1].evaluateEachIteration(shaped, "squared")
+    return math.sqrt(errors[best_round(errors, params.patience) - 1])
+
+
 def best_params(results: DataFrame) -> TreeParams:
     best = results.orderBy("mean_rmse", "trial").first().asDict()
     return TreeParams(**{name: best[name] for name in asdict(TreeParams())})

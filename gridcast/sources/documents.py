@@ -17,6 +17,7 @@ from gridcast.operators.ranges import until_end_of_day
 from gridcast.schemas import GENERATION_DOCUMENT, WEATHER_DOCUMENT
 
 CORRUPT = "_corrupt_record"
+WEATHER_REQUIRED = ("hourly", "hourly.time")
 
 
 # --- extraction from one document ---------------------------------------------------------
@@ -59,21 +60,23 @@ class Checked:
     quarantine: DataFrame
 
 
-def parse_documents(df: DataFrame, text: str, schema: T.StructType, required: str) -> DataFrame:
-    """Adds `document` and `reason`: NULL for a usable document, else why it is not."""
+def parse_documents(df: DataFrame, text: str, schema: T.StructType, required: str | Sequence[str]) -> DataFrame:
+    """Adds `document` and `reason`: NULL for a usable document, else why it is not.
+
+    `required` names the field, or the fields in the order they are looked at, that must be there.
+    """
     tolerant = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     document = F.from_json(text, tolerant, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     # Taken out of a one-element array, the document is parsed once per row; as a plain column it
     # would be parsed again in every filter that the optimizer moves below the projection.
     parsed = df.withColumn("document", F.explode_outer(F.array(document)))
-    reason = (
-        F.when(F.col("document").isNull() | F.col(f"document.{CORRUPT}").isNotNull(), "malformed")
-        .when(F.col(f"document.{required}").isNull(), f"missing {required}")
-    )
+    reason = F.when(F.col("document").isNull() | F.col(f"document.{CORRUPT}").isNotNull(), "malformed")
+    for path in [required] if isinstance(required, str) else required:
+        reason = reason.when(F.col(f"document.{path}").isNull(), f"missing {path}")
     return parsed.withColumn("reason", reason).withColumn("document", F.col("document").dropFields(CORRUPT))
 
 
-def check_documents(df: DataFrame, text: str, schema: T.StructType, required: str) -> Checked:
+def check_documents(df: DataFrame, text: str, schema: T.StructType, required: str | Sequence[str]) -> Checked:
     """Split documents into usable ones and a quarantine that keeps text and reason."""
     parsed = parse_documents(df, text, schema, required)
     return Checked(
@@ -86,18 +89,27 @@ def check_documents(df: DataFrame, text: str, schema: T.StructType, required: st
 
 
 def generation_intervals(documents: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per interval of the parsed documents."""
-    return documents.select(*keys, F.inline("document.data")).withColumnRenamed("from", "_from")
+    """One row per interval of the parsed documents, with its place in the document as `_place`."""
+    placed = documents.select(*keys, F.posexplode("document.data").alias("_place", "_interval"))
+    return placed.select(*keys, "_place", "_interval.*").withColumnRenamed("from", "_from")
 
 
-def share_series(documents: DataFrame, keys: Sequence[str] = (), fuel: str = "wind") -> DataFrame:
-    """`datetime, wind_perc`: intervals without start or mix are skipped, a missing fuel is NULL."""
-    intervals = generation_intervals(documents, keys).where(
-        (F.length("_from") > 0) & (F.size("generationmix") > 0)
-    )
+def share_series(
+    documents: DataFrame, keys: Sequence[str] = (), fuel: str = "wind", need_mix: bool = True, place: bool = False
+) -> DataFrame:
+    """`datetime, wind_perc`: intervals without a start are skipped, a missing fuel is NULL.
+
+    Intervals without a mix are skipped by the nightly reader (`need_mix`); the training reader
+    keeps them as NULL. With `place` the position in the document stays as `_place`.
+    """
+    wanted = F.length("_from") > 0
+    if need_mix:
+        wanted &= F.size("generationmix") > 0
+    intervals = generation_intervals(documents, keys).where(wanted)
     return nan_to_null(
         intervals.select(
             *keys,
+            *(["_place"] if place else []),
             parse_utc(F.col("_from")).alias("datetime"),
             fuel_share(F.col("generationmix"), fuel).alias(f"{fuel}_perc"),
         )
@@ -125,17 +137,26 @@ def weather_series(
     )
 
 
-def history_of_share(df: DataFrame, text: str, keys: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
-    """Raw generation documents to a series with one row per timestamp, the first one kept."""
+def history_of_share(
+    df: DataFrame, text: str, order: Sequence[str], keys: Sequence[str] = (), need_mix: bool = True
+) -> DataFrame:
+    """Raw generation documents to a series with one row per timestamp.
+
+    The first reading is kept: by `order` of the documents, then by place in the document.
+    """
+    if not order:
+        raise ValueError("the order in which documents came has to be named")
     good = check_documents(df, text, GENERATION_DOCUMENT, "data").good
-    series = share_series(good, [*keys, *(c for c in order if c not in keys)])
-    return keep_first(series, [*keys, "datetime"], order or ["wind_perc"]).select(
+    named = [*keys, *(c for c in order if c not in keys)]
+    series = share_series(good, named, need_mix=need_mix, place=True)
+    return keep_first(series, [*keys, "datetime"], [*order, "_place"]).select(
         *keys, "datetime", "wind_perc"
     )
 
 
 def filled_weather(df: DataFrame, text: str, keys: Sequence[str] = (), until=None, **options) -> DataFrame:
     """Raw weather documents of one source to a series without gaps in its variables."""
-    series = weather_series(check_documents(df, text, WEATHER_DOCUMENT, "hourly").good, keys)
+    good = check_documents(df, text, WEATHER_DOCUMENT, WEATHER_REQUIRED).good
+    series = weather_series(good, keys)
     filled = fill_gaps(series, keys, ["datetime"], ["temperature_2m", "wind_speed_10m"], **options)
     return filled if until is None else until_end_of_day(filled, "datetime", until)

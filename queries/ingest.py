@@ -293,8 +293,8 @@ def export_range(spark, sf_dir):
     return tables.read_csv(spark, path, orders.schema)
 
 
-LOGS = """learn AS (SELECT user_id AS iter, sqrt(avg(value * value)) AS rmse FROM events WHERE event_type = 'view' GROUP BY 1),
-    test AS (SELECT user_id AS iter, sqrt(avg(value * value)) AS rmse FROM events WHERE event_type = 'click' GROUP BY 1),
+LOGS = """learn AS (SELECT user_id AS iter, sqrt(avg(value * value)) AS rmse FROM events GROUP BY 1),
+    test AS (SELECT user_id + 1 AS iter, sqrt(avg((value - 1.0) * (value - 1.0))) AS rmse FROM events GROUP BY 1),
     log AS (SELECT CAST(coalesce(l.iter, t.iter) AS INTEGER) AS iter, l.rmse AS learn_rmse, t.rmse AS test_rmse
             FROM learn l FULL JOIN test t ON l.iter = t.iter)"""
 
@@ -302,9 +302,9 @@ LOGS = """learn AS (SELECT user_id AS iter, sqrt(avg(value * value)) AS rmse FRO
 def curves(spark, sf_dir):
     """Two learning curves with one point per user, written and read back as training logs."""
     root = scratch_path(spark, "curves")
-    for part, kind in (("learn", "view"), ("test", "click")):
-        curve = events(spark, sf_dir).where(F.col("event_type") == kind).groupBy(F.col("user_id").alias("iter"))
-        points = curve.agg(rmse(F.lit(0.0), F.col("value")).alias("RMSE"))
+    for part, shift in (("learn", 0), ("test", 1)):
+        curve = events(spark, sf_dir).groupBy((F.col("user_id") + shift).alias("iter"))
+        points = curve.agg(rmse(F.lit(float(shift)), F.col("value")).alias("RMSE"))
         points.write.option("header", True).option("sep", "\t").csv(f"{root}/{part}")
     return metrics.training_log(spark, f"{root}/learn", f"{root}/test")
 

@@ -47,16 +47,16 @@ def asof_nearest_ordered(spark, sf_dir):
 
 @query(
     "outer_merge",
-    f"""WITH {HOURLY}, v AS (SELECT datetime, speed FROM hourly WHERE event_type = 'view'),
-          c AS (SELECT datetime, speed FROM hourly WHERE event_type = 'click')
-        SELECT coalesce(v.datetime, c.datetime) AS datetime, {r6('v.speed')} AS actual, {r6('c.speed')} AS prediction
-        FROM v FULL JOIN c ON v.datetime = c.datetime""",
+    f"""WITH {HOURLY}, p AS (SELECT event_type, datetime + INTERVAL 1 HOUR AS datetime, speed FROM hourly)
+        SELECT event_type, datetime, {r6('h.speed')} AS actual, {r6('p.speed')} AS prediction
+        FROM hourly h FULL JOIN p USING (event_type, datetime)""",
 )
 def outer_merge(spark, sf_dir):
     series = hourly(spark, sf_dir)
-    actual = series.where("event_type = 'view'").select("datetime", F.col("speed").alias("actual"))
-    predicted = series.where("event_type = 'click'").select("datetime", F.col("speed").alias("prediction"))
-    return merge.outer_merge(actual, predicted, ["datetime"])
+    actual = series.select("event_type", "datetime", F.col("speed").alias("actual"))
+    later = (F.col("datetime") + F.expr("INTERVAL 1 HOUR")).alias("datetime")
+    predicted = series.select("event_type", later, F.col("speed").alias("prediction"))
+    return merge.outer_merge(actual, predicted, ["event_type", "datetime"])
 
 
 @query(

@@ -1,22 +1,36 @@
-"""Model training, validation and scoring. Tree fits have no SQL equivalent."""
+"""Model training, validation and scoring. The SQL gives everything but the fitted numbers."""
 
 from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridcast.plans import nightly, training
+from gridcast.schemas import PREDICTION
 from gridcast.session import scratch_path
 from gridcast.sources.metrics import cv_document
 from gridcast.sources.tables import snapshot_once, write_table
-from queries.composites import features
+from queries.composites import FEATURES, features
 from queries.inputs import SPEC, feature_inputs
 from queries.registry import query
 
-# Small trees: enough to exercise every step.
-QUICK = training.TreeParams(iterations=4, depth=3, bins=32)
-NARROW = training.SearchSpace(iterations=(2, 4), depth=(2, 3), bins=(32, 48))
+MODEL = training.TreeParams(iterations=15, depth=4, bins=32, patience=5)
+SPACE = training.SearchSpace(iterations=(8, 15), depth=(3, 5), bins=(32, 64))
+
+# What a fit predicts is its own; which rows it scores, and that it scores them, SQL can tell.
+KNOWN = f"known AS (SELECT event_type, datetime, wind_perc FROM ({FEATURES}) WHERE wind_perc IS NOT NULL)"
+
+
+def scored(df):
+    """Predictions replaced by whether there is a finite one."""
+    good = F.col(PREDICTION).isNotNull() & (F.abs(PREDICTION) < float("inf"))
+    return df.withColumn("scored", good).drop(PREDICTION)
+
+
+def finite(column: str):
+    return (F.col(column) < float("inf")) & (F.col(column) >= 0)
 
 
 def stored_features(spark, sf_dir):
@@ -26,43 +40,59 @@ def stored_features(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query("train_score")
+@query("train_score", f"WITH {KNOWN} SELECT event_type, datetime, true AS scored FROM known")
 def train_score(spark, sf_dir):
-    return training.train(stored_features(spark, sf_dir), SPEC, QUICK).full_predictions
+    return scored(training.train(stored_features(spark, sf_dir), SPEC, MODEL).full_predictions)
 
 
-@query("holdout_eval")
+@query(
+    "holdout_eval",
+    f"""WITH {KNOWN} SELECT event_type, datetime, wind_perc AS wind_perc_actual, true AS scored FROM known
+        ORDER BY datetime DESC, event_type DESC LIMIT 48""",
+)
 def holdout_eval(spark, sf_dir):
-    return training.train(stored_features(spark, sf_dir), SPEC, QUICK).holdout
+    return scored(training.train(stored_features(spark, sf_dir), SPEC, MODEL).holdout)
 
 
-@query("cv_metrics")
+@query("cv_metrics", "SELECT 5 AS folds, true AS finite, true AS mean_of_folds")
 def cv_metrics(spark, sf_dir):
-    result = training.cross_validate(stored_features(spark, sf_dir), SPEC, QUICK)
-    return cv_document(result.metrics).select(
-        "mean_mape_perc", "std_mape_perc", "mean_rmse_perc", "std_rmse_perc", F.size("folds.rmse_perc").alias("folds")
+    result = training.cross_validate(stored_features(spark, sf_dir), SPEC, MODEL)
+    document = cv_document(result.metrics)
+    total = F.aggregate("folds.rmse_perc", F.lit(0.0), lambda s, x: s + x)
+    return document.select(
+        F.size("folds.rmse_perc").alias("folds"),
+        (finite("mean_mape_perc") & finite("mean_rmse_perc") & finite("std_rmse_perc")).alias("finite"),
+        (F.abs(total / 5 - F.col("mean_rmse_perc")) < 1e-9).alias("mean_of_folds"),
     )
 
 
-@query("importance_rank")
+@query("importance_rank", f"SELECT unnest({list(SPEC.inputs)!r}) AS feature, true AS whole")
 def importance_rank(spark, sf_dir):
-    result = training.cross_validate(stored_features(spark, sf_dir), SPEC, QUICK, n_splits=2)
-    return training.rank_importance(result.importance)
+    result = training.cross_validate(stored_features(spark, sf_dir), SPEC, MODEL, fraction=0.1)
+    ranked = training.rank_importance(result.importance, top=len(SPEC.inputs))
+    whole = F.abs(F.sum("mean_importance").over(Window.partitionBy()) - 1.0) < 1e-6  # one row per input
+    return ranked.select("feature", whole.alias("whole"))
 
 
-@query("param_search")
+@query("param_search", "SELECT unnest(range(2))::INTEGER AS trial, true AS finite, true AS within")
 def param_search(spark, sf_dir):
-    return training.search(stored_features(spark, sf_dir), SPEC, NARROW, trials=2, n_splits=2)
+    found = training.search(stored_features(spark, sf_dir), SPEC, SPACE, trials=2)
+    within = F.col("iterations").between(*SPACE.iterations) & F.col("depth").between(*SPACE.depth)
+    return found.select("trial", finite("mean_rmse").alias("finite"), within.alias("within"))
 
 
-@query("nightly_run")
+@query(
+    "nightly_run",
+    f"""WITH f AS ({FEATURES}) SELECT event_type, datetime, true AS scored FROM f
+        WHERE datetime >= TIMESTAMP '2024-01-17' AND datetime < TIMESTAMP '2024-01-22'""",
+)
 def nightly_run(spark, sf_dir):
     as_of = date(2024, 1, 20)
     generation, weather, holidays = feature_inputs(spark, sf_dir)
     table = stored_features(spark, sf_dir)
-    model = training.train(table.where(F.col("datetime") < F.lit(as_of)), SPEC, QUICK).model
+    model = training.train(table.where(F.col("datetime") < F.lit(as_of)), SPEC, MODEL).model
     tables = nightly.Tables.under(scratch_path(spark, "nightly"))
     snapshot_once(table.where("datetime < timestamp'2024-01-10'"), tables.snapshot)
-    return nightly.nightly(
-        spark, as_of, tables, generation, weather, weather, holidays, model, SPEC, ["event_id"], days=None
+    return scored(
+        nightly.nightly(spark, as_of, tables, generation, weather, weather, holidays, model, SPEC, ["event_id"])
     )

@@ -104,6 +104,28 @@ def test_first_reading_per_timestamp_is_kept(spark):
     assert [r.wind_perc for r in rows] == [20.0, 20.0]
 
 
+def test_first_reading_inside_a_document_is_kept(spark):
+    readings = ({"fuel": "wind", "perc": p} for p in (30.0, 10.0, 20.0))
+    df = landed(spark, generation(*(interval("2024-01-01T00:00Z", r) for r in readings)))
+    assert [r.wind_perc for r in documents.history_of_share(df, "text", ["id"]).collect()] == [30.0]
+    with pytest.raises(ValueError, match="order"):
+        documents.history_of_share(df, "text", [])
+
+
+def test_training_reader_keeps_intervals_without_mix(spark):
+    df = landed(spark, generation(interval("2024-01-01T00:00Z"), interval("2024-01-01T00:30Z", WIND)))
+    kept = documents.history_of_share(df, "text", ["id"], need_mix=False).orderBy("datetime").collect()
+    assert [r.wind_perc for r in kept] == [None, 20.0]
+    assert documents.history_of_share(df, "text", ["id"]).count() == 1
+
+
+def test_weather_without_times_is_quarantined(spark):
+    df = landed(spark, *map(json.dumps, ({"hourly": {"temperature_2m": [1.0]}}, {"hourly": {"time": []}}, {})))
+    checked = documents.check_documents(df, "text", WEATHER_DOCUMENT, documents.WEATHER_REQUIRED)
+    assert sorted(r.reason for r in checked.quarantine.collect()) == ["missing hourly", "missing hourly.time"]
+    assert checked.good.count() == 1
+
+
 @pytest.mark.parametrize(
     ("text", "expected"),
     [

@@ -26,6 +26,5 @@ def test_entry_has_rows(spark):
     assert not entry.entry(spark).isEmpty()
 
 
-def test_every_query_without_sql_is_a_model_fit():
-    without = {name for name, q in REGISTRY.items() if not q.sql}
-    assert without == {"train_score", "holdout_eval", "cv_metrics", "importance_rank", "param_search", "nightly_run"}
+def test_every_query_has_sql():
+    assert not {name for name, q in REGISTRY.items() if not q.sql}

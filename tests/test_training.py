@@ -8,9 +8,9 @@ import pytest
 
 from gridcast.plans import training
 from gridcast.plans.features import engineer_features
-from gridcast.plans.nightly import Tables, nightly
+from gridcast.plans.nightly import EmptySource, Tables, nightly
 from gridcast.schemas import HOLDOUT_METRICS, FeatureSpec
-from gridcast.sources.tables import write_table
+from gridcast.sources.tables import table_exists, write_table
 
 START = datetime(2024, 1, 1)
 QUICK = training.TreeParams(iterations=3, depth=2, bins=16)
@@ -84,10 +84,53 @@ def test_search_ranks_trials_and_survives_failures(features, monkeypatch):
     def broken(*args):
         raise RuntimeError("no fit")
 
-    monkeypatch.setattr(training, "_fit_fold", broken)
+    monkeypatch.setattr(training, "fit", broken)
     assert [r.mean_rmse for r in training.search(features, SPEC, space, trials=1, n_splits=2).collect()] == [math.inf]
 
 
+def test_best_round_waits_for_its_patience():
+    errors = [5.0, 4.0, 4.5, 4.2, 3.9, 4.0, 4.0, 4.0, 1.0]
+    assert training.best_round(errors, 2) == 2
+    assert training.best_round(errors, 3) == 5
+    assert training.best_round(errors, 50) == 9
+    assert training.best_round([1.0, 1.0], 50) == 1
+
+
+def test_slow_learning_keeps_many_rounds(features):
+    rows = features.where("wind_perc IS NOT NULL")
+    first = rows.where("datetime < timestamp'2024-01-13'")
+    last = rows.where("datetime >= timestamp'2024-01-13'")
+    params = training.TreeParams(iterations=25, depth=3, learning_rate=0.01, bins=32)
+    model, error = training.fit_best(first, last, SPEC.inputs, SPEC.target, params)
+    full = training.fit(first, SPEC.inputs, SPEC.target, params)
+    shaped = full.stages[0].transform(training._inputs(last, SPEC.inputs))
+    errors = full.stages[-1].evaluateEachIteration(shaped, "squared")
+    assert model.stages[-1].getNumTrees > 15
+    assert error == pytest.approx(math.sqrt(min(errors)))
+    scored = training.predict(model, last, SPEC.inputs)
+    squared = scored.selectExpr("sqrt(avg(pow(wind_perc_pred - wind_perc, 2))) AS e").first().e
+    assert squared == pytest.approx(error)
+
+
+def test_nightly_run_keeps_its_tables_safe(spark, raw, features, tmp_path):
+    shares, weather, holidays = raw
+    model = training.train(features, SPEC, QUICK).model
+    tables = Tables.under(str(tmp_path))
+    write_table(features, tables.features)
+    for emptied in range(3):
+        sources = [shares, weather, weather]
+        sources[emptied] = sources[emptied].limit(0)
+        with pytest.raises(EmptySource):
+            nightly(spark, date(2024, 1, 16), tables, *sources, holidays, model)
+    assert spark.read.parquet(tables.features).count() == features.count()
+    assert not table_exists(spark, tables.snapshot) and not table_exists(spark, tables.history)
+    # No rows of the run's days: nothing is overwritten, and what was there is the snapshot now.
+    nightly(spark, date(2030, 1, 1), tables, shares, weather, weather, holidays, model)
+    assert spark.read.parquet(tables.features).count() == features.count()
+    assert spark.read.parquet(tables.snapshot).count() == features.count()
+    assert not table_exists(spark, tables.predictions)
+
+
 def test_search_space_is_seeded_and_within_bounds():
     space = training.SearchSpace()
     draws = [space.draw(random.Random(1)) for _ in range(2)]
