@@ -10,6 +10,7 @@ import pytest
 from gridcast.llm import language_id as g
 from gridcast.llm import quality as q
 from gridcast.llm.registry import RUNS
+from pyspark.sql import functions as F
 
 
 def prose(rng, syllables, n):
@@ -111,10 +112,24 @@ def test_probabilities_equal_the_definition(spark, docs_of):
     texts = ["the then there", "that thing", "other", "", None, "ththth the"]
     model = q.train(docs_of(list(enumerate(texts))))
     p = plain_probability(texts)
-    for text in ("the", "another thing", "zzz", "é ж 五", "thethe", ""):
+    asked = ["the", "another thing", "zzz", "é ж 五", "thethe", "", None]
+    rows = docs_of(list(enumerate(asked))).withColumn("trusted", F.lit(False))
+    got = {r.doc_id: (r.n, r.log_loss) for r in q.score(rows, model).collect()}
+    for i, text in enumerate(asked):
         signs = [0] * (q.ORDER - 2) + q.signs_of(text).tolist()
         expected = [math.log(p(tuple(signs[i : i + q.ORDER]))) for i in range(len(signs) - q.ORDER + 1)]
-        assert model.logs(q.signs_of(text)).tolist() == pytest.approx(expected, abs=1e-4)
+        assert got[i] == (len(expected), pytest.approx(-sum(expected)))
+
+
+def test_own_ngrams_of_a_trusted_text_count_as_unseen(spark, docs_of):
+    docs = docs_of([(1, "the then there"), (2, "that zebra")])
+    model = q.train(docs)
+    loss = {
+        (r.doc_id, r.trusted): r.log_loss
+        for own in (True, False)
+        for r in q.score(docs.withColumn("trusted", F.lit(own)), model).collect()
+    }
+    assert all(loss[i, True] > loss[i, False] for i in (1, 2))
 
 
 def test_quality_keeps_prose_and_drops_noise(spark, docs_of, written):
@@ -139,10 +154,12 @@ def test_quality_without_trusted_or_without_rows(spark, docs_of, written):
     assert q.classify(docs_of([]), none.select("doc_id")).count() == 0
 
 
-def test_counts_of_long_texts_come_in_stretches(spark, docs_of, monkeypatch):
-    rows = corpus(20)
-    signs = q.signs_of(" ".join(t for _, t, _ in rows))
-    model = q.train(docs_of(rows))
-    whole = model.logs(signs).sum()
-    parts = [model.logs(signs[max(0, at - q.ORDER + 1) : at + 50]) for at in range(0, len(signs), 50)]
-    assert sum(p[q.ORDER - 2 :].sum() if i else p.sum() for i, p in enumerate(parts)) == pytest.approx(whole, rel=1e-3)
+def test_long_texts_come_in_stretches(monkeypatch):
+    texts = [" ".join(t for _, t, _ in corpus(20)), "the", None]
+    whole = q.batch_entries(texts)
+    summed = lambda e: Counter({(c, d): 0 for c, d in zip(e["code"].tolist(), e["doc"].tolist())}) + sum(
+        (Counter({(c, d): n}) for c, d, n in e.tolist()), Counter()
+    )
+    monkeypatch.setattr(q, "STRETCH", 50)
+    parts = q.batch_entries(texts)
+    assert summed(parts[0]) == summed(whole[0]) and (parts[1] == whole[1]).all()
