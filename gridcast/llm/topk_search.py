@@ -149,8 +149,11 @@ def top_k(
     all_rows = materialize(quantised(rows, vec_id, vector).withColumn("row", F.monotonically_increasing_id()), "vectors")
 
     # Cells, fitted per dimension on a bounded sample; salts by the measured size of each cell.
-    sample = all_rows.orderBy(F.xxhash64("vec_id"), "row").limit(SAMPLE_ROWS).select("dim", "v").toPandas()
+    # Few more rows than the sample's pass the draw, however many there are, so a task sorts few of them.
     total = all_rows.count()
+    drawn = F.pmod(F.xxhash64("vec_id", "row"), F.lit(1 << 40))
+    candidate_rows = all_rows.where(drawn < int((1 << 40) * min(1.0, 2 * SAMPLE_ROWS / max(1, total))))
+    sample = candidate_rows.orderBy(drawn, "row").limit(SAMPLE_ROWS).select("dim", "v").toPandas()
     wanted = max(1, min(MAX_CELLS, -(-total // SHARD_ROWS)))
     fitted = {int(d): Cells(_matrix(part["v"]), wanted) for d, part in sample.groupby("dim") if d}
     cells = spark.sparkContext.broadcast(fitted)
