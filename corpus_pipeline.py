@@ -34,9 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of every document, with what they decode to."""
-    path = bpe.word_vocabulary()
-    kept = ("doc_id", "lang", "source")
-    return bpe.decode(bpe.encode(docs, path, keep=kept), path)
+    return bpe.recode(docs, bpe.word_vocabulary(), keep=("doc_id", "lang", "source"))
 
 
 STAGES = [

@@ -165,9 +165,36 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for start in range(0, batch.num_rows, BATCH_ROWS):
-        yield batch.slice(start, BATCH_ROWS)
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(start, BATCH_ROWS)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], known: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """The text, the last column, replaced by `ids` and `n_tokens`."""
+    for part in _slices(batches):
+        *rest, texts = part.columns
+        found = [known.encode(t or "") for t in texts.to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        offsets = np.zeros(len(found) + 1, np.int32)
+        np.cumsum(sizes, out=offsets[1:])
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        yield pa.RecordBatch.from_arrays([*rest, ids, pa.array(sizes)], [*part.schema.names[:-1], "ids", "n_tokens"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], known: Vocabulary, ids: str, out: str) -> Iterator[pa.RecordBatch]:
+    """With the text of `ids` as column `out`."""
+    for part in _slices(batches):
+        texts = [known.decode(one.values.to_pylist()) if one.is_valid else "" for one in part.column(ids)]
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out])
+
+
+def _chosen(docs: DataFrame, text: str, keep: tuple[str, ...]) -> tuple[DataFrame, T.StructType]:
+    """The `keep` columns and the text, and the schema of the encoded rows."""
+    kept = docs.select(*(docs[c] for c in keep))
+    schema = T.StructType([*kept.schema, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
+    return docs.select(*(docs[c] for c in keep), docs[text].alias("_text")), schema
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -177,43 +204,31 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     repeated results, no rows give none. A text of any length is encoded whole, and `path` is read
     where the task runs.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(path)
-        for batch in batches:
-            for part in _slices(batch):
-                found = [known.encode(t or "") for t in part.column("_text").to_pylist()]
-                sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-                offsets = np.zeros(len(found) + 1, np.int32)
-                np.cumsum(sizes, out=offsets[1:])
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                rest = [part.column(c) for c in keep]
-                yield pa.RecordBatch.from_arrays([*rest, ids, pa.array(sizes)], [*keep, "ids", "n_tokens"])
-
-    kept = docs.select(*(docs[c] for c in keep))
-    schema = T.StructType([*kept.schema, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
-    return docs.select(*(docs[c] for c in keep), docs[text].alias("_text")).mapInArrow(run, schema)
+    rows, schema = _chosen(docs, text, keep)
+    return rows.mapInArrow(lambda batches: _encoded(batches, vocabulary(path)), schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """`encoded` with the text of its ids as column `out`. Null ids count as none and give an empty text."""
+    schema = T.StructType([*encoded.schema, T.StructField(out, T.StringType())])
+    return encoded.mapInArrow(lambda batches: _decoded(batches, vocabulary(path), ids, out), schema)
+
+
+def recode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """What `decode` makes of what `encode` makes of `docs`, in one worker: the ids don't leave it in between."""
+    rows, schema = _chosen(docs, text, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)
-        for batch in batches:
-            for part in _slices(batch):
-                lists = part.column(ids)
-                texts = [known.decode(one.values.to_pylist()) if one.is_valid else "" for one in lists]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out])
+        return _decoded(_encoded(batches, known), known, "ids", "decoded")
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema, T.StructField(out, T.StringType())]))
+    return rows.mapInArrow(run, T.StructType([*schema, T.StructField("decoded", T.StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Encoded and decoded again, with digests: the `keep` columns, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs, path, keep=keep), path)
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return both.select(
+    return recode(docs, path, keep=keep).select(
         *keep, "n_tokens", F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
