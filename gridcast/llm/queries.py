@@ -5,9 +5,11 @@ from __future__ import annotations
 from gridcast.llm import (  # noqa: F401
     bpe,
     exact_dedup,
+    importance,
     language_id,
     mixing,
     quality,
+    recompression,
     secret_scan,
     simhash,
     suffix_dedup,
