@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridcast.session import materialize, scratch_path
 
-__all__ = ["folded", "partitions_for", "materialize", "scratch_path", "uniform", "WORD"]
+__all__ = ["folded", "lookup", "partitions_for", "materialize", "scratch_path", "uniform", "WORD"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,3 +32,25 @@ def partitions_for(df: DataFrame, rows: int, per_partition: int) -> int:
     """Shuffle partitions that hold about `per_partition` rows, at least as many as the session sets."""
     configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(configured, -(-rows // per_partition))
+
+
+#: Keys that may count as heavy (each holds more than this share of the rows), and rows below which none does.
+HEAVY_KEYS = 1000
+HEAVY_ROWS = 100_000
+
+
+def lookup(rows: DataFrame, found: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`rows` joined with the one row of `found` for their `key`, also where few keys hold most rows.
+
+    Heavy keys are counted first. There are at most HEAVY_KEYS of them, so their rows of `found` are
+    broadcast and the rows of such a key stay where they are; all others meet by shuffle.
+    """
+    limit = max(HEAVY_ROWS, rows.count() // HEAVY_KEYS)
+    heavy = rows.groupBy(key).count().where(F.col("count") > limit).select(key).collect()
+    if not heavy:
+        return rows.join(found, key, how)
+    spark = rows.sparkSession
+    keys = F.broadcast(spark.createDataFrame(heavy, rows.select(key).schema).withColumn("_heavy", F.lit(True)))
+    marked, known = rows.join(keys, key, "left"), found.join(keys, key).drop("_heavy")
+    light = marked.where(F.col("_heavy").isNull()).drop("_heavy").join(found, key, how)
+    return light.unionByName(marked.where("_heavy").drop("_heavy").join(F.broadcast(known), key, how))

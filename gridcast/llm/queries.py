@@ -8,6 +8,7 @@ from gridcast.llm import (  # noqa: F401
     importance,
     language_id,
     mixing,
+    prefix_trie,
     quality,
     recompression,
     secret_scan,
