@@ -7,8 +7,11 @@ sharded aggregations and joins over the whole of the trusted text: the counts gr
 Scoring joins counts as well. A batch of documents is turned into (n-gram, document, count) entries,
 which go packed to the shards of their n-grams; there they meet the probabilities of the shard and
 come back as one partial sum per document. Neither texts nor single n-grams are rows of a shuffle.
+The shards are few, since a model has a proven bound; batches are dealt into groups that grow with the
+documents, and each group has the shards' probabilities once.
 A trusted document is part of what it is scored with: n-grams of full order that it alone holds
-count as unseen for it, or else its perplexity, and the quantiles with it, would be too low.
+count as unseen for it, or else its perplexity, and the quantiles with it, would be too low. Scoring
+gives both sums, so that it need not know which documents are trusted.
 
 A character is one of 64 signs: the commonest letters by themselves, all others by a hash. So the
 tables of the orders below the highest have a proven bound, 64 ** 3 numbers, whatever the corpus;
@@ -39,9 +42,13 @@ SIGN_BITS = 6
 SIGNS = 1 << SIGN_BITS
 #: Different n-grams of full order there can be.
 CODES = SIGNS**ORDER
-#: Documents whose counts are packed together; their numbers leave room for one flag in 16 bits.
+#: Documents whose counts are packed together, and batches that meet one copy of the probabilities.
 BATCH_DOCS = 4096
-OWN = 1 << 15
+GROUP_BATCHES = 64
+#: Parts of the probabilities: 2 ** 20 n-grams at most in one.
+SHARDS = 16
+#: Trusted ids up to which texts stay where they are and ids are sent to them (8 bytes each).
+SENT_IDS = 1 << 22
 #: Quantiles of the trusted documents of a language between which a perplexity is good.
 LOW, HIGH = 0.001, 0.999
 #: Both are moved outwards by this much of a perplexity: trusted texts look a little too good to lower orders.
@@ -186,16 +193,19 @@ _PROBABILITY, _COUNTS, _DOCUMENTS = range(3)
 
 
 def _packed(entries: np.ndarray) -> bytes:
-    """Field by field, codes as steps, so that little is left to move."""
+    """Field by field, codes and documents as steps, so that little is left to move."""
     steps = np.diff(entries["code"], prepend=np.uint32(0))
-    return zstandard.compress(steps.tobytes() + entries["doc"].tobytes() + entries["n"].tobytes(), 1)
+    docs = np.diff(entries["doc"], prepend=np.uint16(0))  # modulo 2 ** 16
+    return zstandard.compress(steps.tobytes() + docs.view("u1").reshape(-1, 2).T.tobytes() + entries["n"].tobytes(), 1)
 
 
 def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = zstandard.decompress(body)
     n = len(data) // _ENTRY.itemsize
     code = np.cumsum(np.frombuffer(data, "u4", n), dtype=np.int64)
-    return code, np.frombuffer(data, "u2", n, 4 * n), np.frombuffer(data, "u4", n, 6 * n)
+    halves = np.frombuffer(data, "u1", 2 * n, 4 * n).reshape(2, n)
+    doc = np.cumsum(halves[0].astype("u2") | halves[1].astype("u2") << 8, dtype=np.uint16)
+    return code, doc, np.frombuffer(data, "u4", n, 6 * n)
 
 
 def batch_entries(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -217,93 +227,116 @@ def batch_entries(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return entries, sizes
 
 
+class _Shard:
+    """Probabilities and counts of the n-grams of a shard, by code."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], lower: Lower):
+        code, p, c = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        order = np.argsort(code)
+        self.code, self.log, self.count = np.append(code[order], CODES), np.append(np.log(p[order]), 0.0), np.append(c[order], 0)
+        self.lower = lower
+
+    def sums(self, body: bytes, docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per document of a batch the log probability, and what is to be added if the model was trained on it."""
+        code, doc, n = _unpacked(body)
+        place = np.searchsorted(self.code, code)
+        seen = self.code[place] == code
+        logs = np.where(seen, self.log[place], 0.0)
+        logs[~seen] = self.lower.logs(code[~seen])
+        alone = seen & (self.count[place] <= n)
+        more = self.lower.logs(code[alone]) - logs[alone]
+        return np.bincount(doc, logs * n, docs), np.bincount(doc[alone], more * n[alone], docs)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, trusted, n (characters scored), log_loss (sum of negative log probabilities), one row per row of `docs`.
+    """doc_id, lang, n (characters scored), log_loss and own_loss (sums of negative log probabilities), one row per row of `docs`.
 
-    `trusted` says whether the model was trained on the row.
+    `own_loss` holds for a document that the model was trained on. Batches are known by the place of
+    their first row: `docs` has to be a written table, whose rows stand in one order whenever it is read.
     """
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lower = docs.sparkSession.sparkContext.broadcast(model.lower)
-    names = ["shard", "kind", "batch", "value", "times", "body"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.binary()]
+    groups = -(-docs.count() // (BATCH_DOCS * GROUP_BATCHES)) or 1
+    names = ["shard", "part", "kind", "number", "value", "times", "body"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.binary()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_DOCS):
                 part = batch.slice(at, BATCH_DOCS)
                 number = part.column("row")[0].as_py()
+                group = ((number >> 33) + (number & ((1 << 33) - 1)) // BATCH_DOCS) % groups
                 entries, sizes = batch_entries(part.column("text").to_pylist())
-                flags = np.array(part.column("trusted").to_pylist(), bool) * np.uint16(OWN)
-                entries["doc"] |= flags[entries["doc"]]
-                shard = entries["code"] % shards
+                shard = entries["code"] % SHARDS
                 order = np.argsort(shard, kind="stable")
-                entries, ends = entries[order], np.searchsorted(shard[order], np.arange(shards + 1))
+                entries, ends = entries[order], np.searchsorted(shard[order], np.arange(SHARDS + 1))
                 rows = [
-                    (k, _COUNTS, number, 0.0, len(sizes), _packed(entries[a:b]))
+                    (k, group, _COUNTS, number, 0.0, len(sizes), _packed(entries[a:b]))
                     for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))
                     if b > a
                 ]
-                own = part.select(["doc_id", "lang", "trusted"]).append_column("n", pa.array(sizes))
+                own = part.select(["doc_id", "lang"]).append_column("n", pa.array(sizes))
                 stream = pa.BufferOutputStream()
                 with pa.ipc.new_stream(stream, own.schema) as writer:
                     writer.write_batch(own)
-                rows.append((number % shards, _DOCUMENTS, number, 0.0, 0, stream.getvalue().to_pybytes()))
+                rows.append((number % SHARDS, group, _DOCUMENTS, number, 0.0, 0, stream.getvalue().to_pybytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by shard and kind: a shard's probabilities come before the counts that look them up."""
-        shard, codes, values, counts = None, [], [], []
-        table_codes = table_logs = table_counts = None
+        """Rows by shard, group and kind: the probabilities come before the counts that look them up."""
+        current, parts, known = None, [], None
         for batch in batches:
+            shard, group, kind, number, value, times = (batch.column(c).to_numpy() for c in names[:-1])
+            new = (shard[1:] != shard[:-1]) | (group[1:] != group[:-1]) | (kind[1:] != kind[:-1])
+            edges = [0, *(np.flatnonzero(new) + 1), batch.num_rows] if batch.num_rows else [0]
             out = []
-            columns = [batch.column(c).to_pylist() for c in names]
-            for own, kind, number, value, times, body in zip(*columns, strict=True):
-                if own != shard:
-                    shard, codes, values, counts = own, [], [], []
-                    table_codes = None
-                if kind == _PROBABILITY:
-                    codes.append(number)
-                    values.append(value)
-                    counts.append(times)
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if current != (shard[a], group[a]):
+                    current, parts, known = (shard[a], group[a]), [], None
+                if kind[a] == _PROBABILITY:
+                    parts.append((number[a:b], value[a:b], times[a:b]))
                     continue
-                if kind == _DOCUMENTS:
-                    out.append((number, kind, own, body))
+                bodies = batch.column("body").slice(a, b - a)
+                if kind[a] == _DOCUMENTS:
+                    out += [(n, _DOCUMENTS, shard[a], body.as_py(), b"") for n, body in zip(number[a:b], bodies, strict=True)]
                     continue
-                if table_codes is None:
-                    order = np.argsort(np.array(codes, np.int64))
-                    table_codes = np.append(np.array(codes, np.int64)[order], CODES)
-                    table_logs = np.append(np.log(np.array(values, np.float64)[order]), 0.0)
-                    table_counts = np.append(np.array(counts, np.int64)[order], 0)
-                code, doc, n = _unpacked(body)
-                place = np.searchsorted(table_codes, code)
-                alone = (doc >= OWN) & (table_counts[place] <= n)
-                seen = (table_codes[place] == code) & ~alone
-                logs = np.where(seen, table_logs[place], 0.0)
-                logs[~seen] = lower.value.logs(code[~seen])
-                out.append((number, kind, own, np.bincount(doc % OWN, logs * n, times).tobytes()))
+                known = known or _Shard(parts, lower.value)
+                parts = []
+                for n, size, body in zip(number[a:b], times[a:b], bodies, strict=True):
+                    logs, more = known.sums(body.as_py(), size)
+                    out.append((n, _COUNTS, shard[a], logs.tobytes(), zstandard.compress(more.tobytes(), 1)))
             if out:
-                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["batch", "kind", "shard", "body"])
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["number", "kind", "shard", "body", "more"])
 
     def gather(parts: pd.DataFrame) -> pd.DataFrame:
         """Partial sums of one batch of documents, one per shard."""
         found = pa.ipc.open_stream(parts.loc[parts["kind"] == _DOCUMENTS, "body"].iloc[0]).read_pandas()
-        total = np.zeros(len(found))
-        for body in parts.loc[parts["kind"] == _COUNTS].sort_values("shard")["body"]:
+        total, own = np.zeros(len(found)), np.zeros(len(found))
+        sums = parts.loc[parts["kind"] == _COUNTS].sort_values("shard")
+        for body, more in zip(sums["body"], sums["more"], strict=True):
             total -= np.frombuffer(body)
-        return found.assign(log_loss=total)
+            own -= np.frombuffer(zstandard.decompress(more))
+        return found.assign(log_loss=total, own_loss=total + own)
 
-    rows = docs.select("doc_id", "text", "lang", "trusted").withColumn("row", F.monotonically_increasing_id())
-    schema = "shard long, kind long, batch long, value double, times long, body binary"
-    shard = (F.col("code") % shards).alias("shard")
+    rows = docs.select("doc_id", "text", "lang").withColumn("row", F.monotonically_increasing_id())
+    schema = "shard long, part long, kind long, number long, value double, times long, body binary"
     table = model.top.select(
-        shard, F.lit(_PROBABILITY).cast("long").alias("kind"), F.col("code").alias("batch"), F.col("p").alias("value"),
+        (F.col("code") % SHARDS).alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("part"),
+        F.lit(_PROBABILITY).cast("long").alias("kind"), F.col("code").alias("number"), F.col("p").alias("value"),
         F.col("c").alias("times"), F.lit(None).cast("binary").alias("body"),
     )
-    dealt = rows.mapInArrow(scan, schema).unionByName(table).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-    sums = dealt.mapInArrow(join, "batch long, kind long, shard long, body binary")
+    dealt = rows.mapInArrow(scan, schema).unionByName(table).repartition(SHARDS * groups, "shard", "part")
+    sums = dealt.sortWithinPartitions("shard", "part", "kind")
+    sums = sums.mapInArrow(join, "number long, kind long, shard long, body binary, more binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return sums.groupBy("batch").applyInPandas(gather, f"doc_id {kind}, lang string, trusted boolean, n long, log_loss double")
+    return sums.groupBy("number").applyInPandas(gather, f"doc_id {kind}, lang string, n long, log_loss double, own_loss double")
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` whose id is among `ids`: texts stay in place unless the ids are too many to be sent."""
+    few = ids.count() <= SENT_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
@@ -315,11 +348,12 @@ def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     own. A language without trusted documents is judged by the quantiles of all of them; with no
     trusted documents at all everything is kept. No rows give none.
     """
-    ids = trusted_ids.select(F.col("doc_id").alias("_trusted")).distinct()
-    known = docs.select("doc_id", "text", "lang").join(ids, docs["doc_id"] == ids["_trusted"], "left")
-    known = known.withColumn("trusted", F.col("_trusted").isNotNull())
-    model = train(known.where("trusted"))
-    marked = materialize(score(known, model), "scored")
+    ids = trusted_ids.select("doc_id").distinct()
+    model = train(_only(docs.select("doc_id", "text"), ids))
+    scored = score(docs, model).join(ids.withColumn("_trusted", F.lit(True)), "doc_id", "left")
+    trusted = F.coalesce("_trusted", F.lit(False))
+    loss = F.when(trusted, F.col("own_loss")).otherwise(F.col("log_loss")).alias("log_loss")
+    marked = materialize(scored.select("doc_id", "lang", "n", loss, trusted.alias("trusted")), "scored")
     n, loss = marked.where("trusted").agg(F.sum("n"), F.sum("log_loss")).first()
     common = loss / n if n else 0.0
     mean = (F.col("log_loss") + PRIOR_CHARS * common) / (F.col("n") + PRIOR_CHARS)

@@ -123,13 +123,61 @@ def test_probabilities_equal_the_definition(spark, docs_of):
 
 def test_own_ngrams_of_a_trusted_text_count_as_unseen(spark, docs_of):
     docs = docs_of([(1, "the then there"), (2, "that zebra")])
-    model = q.train(docs)
-    loss = {
-        (r.doc_id, r.trusted): r.log_loss
-        for own in (True, False)
-        for r in q.score(docs.withColumn("trusted", F.lit(own)), model).collect()
-    }
-    assert all(loss[i, True] > loss[i, False] for i in (1, 2))
+    loss = {r.doc_id: (r.log_loss, r.own_loss) for r in q.score(docs, q.train(docs)).collect()}
+    assert all(own > plain for plain, own in loss.values())
+
+
+def plain_classes(rows, trusted):
+    """(doc_id, kept) with the model, leave-one-out, shrinkage and quantiles written with dictionaries and numpy."""
+    p = plain_probability([t for d, t, _ in rows if d in trusted])
+    grams = Counter()
+    for d, t, _ in rows:
+        s = [0] * (q.ORDER - 2) + q.signs_of(t).tolist()
+        if d in trusted:
+            grams.update(tuple(s[i : i + q.ORDER]) for i in range(len(s) - q.ORDER + 1))
+    contexts = {g_[:-1] for g_ in grams}
+    cut_counts = Counter(grams.values())
+    y = cut_counts[1] / (cut_counts[1] + 2 * cut_counts[2]) if cut_counts[1] else 0.0
+    cuts = [min(float(c), max(0.0, c - (c + 1) * y * cut_counts[c + 1] / cut_counts[c])) if cut_counts[c] else 0.5 for c in (1, 2, 3)]
+
+    def unseen(gram):
+        if gram[:-1] not in contexts:
+            return p(gram[1:])
+        same = [c for g_, c in grams.items() if g_[:-1] == gram[:-1]]
+        return sum(cuts[min(c, 3) - 1] for c in same) / sum(same) * p(gram[1:])
+
+    sums = []
+    for d, t, _ in rows:
+        s = [0] * (q.ORDER - 2) + q.signs_of(t).tolist()
+        own = Counter(tuple(s[i : i + q.ORDER]) for i in range(len(s) - q.ORDER + 1))
+        loss = -sum(n * math.log(unseen(g_) if d in trusted and 0 < grams[g_] <= n else p(g_)) for g_, n in own.items())
+        sums.append((sum(own.values()), loss))
+    good = [i for i, (d, *_) in enumerate(rows) if d in trusted]
+    common = sum(sums[i][1] for i in good) / sum(sums[i][0] for i in good)
+    steps = [int(math.floor((loss + q.PRIOR_CHARS * common) / (n + q.PRIOR_CHARS) * q.STEPS + 0.5)) for n, loss in sums]
+    out = {}
+    for i, (d, _, lang) in enumerate(rows):
+        own = [steps[j] for j in good if rows[j][2] == lang] or [steps[j] for j in good]
+        low, high = (np.percentile(own, 100 * share) for share in (q.LOW, q.HIGH))
+        out[d] = math.floor(low - q.MARGIN * q.STEPS) <= steps[i] <= math.ceil(high + q.MARGIN * q.STEPS)
+    return out
+
+
+def test_classes_equal_the_definition(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(q, "BATCH_DOCS", 5)
+    monkeypatch.setattr(q, "GROUP_BATCHES", 2)
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["the", "then", "there", "".join(rng.choices("etaonz", k=4))]) for _ in range(rng.randint(3, 40))), rng.choice(["a", "b", None])) for i in range(30)]
+    rows += [(30 + i, "".join(rng.choice("qxzjk") for _ in range(300)), "a") for i in range(3)]
+    rows += [(40, "zebra " * 60, "c"), (41, None, "a"), (42, "", "b"), (43, rows[0][1], rows[0][2])]  # a tie at a quantile
+    trusted = {*range(0, 20), 43}
+    ids = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
+    docs = docs_of(rows).withColumn("n", F.lit("clash")).withColumn("low", F.lit(1)).withColumn("trusted", F.lit(2))
+    want = plain_classes(rows, trusted)
+    assert {r.doc_id: r.kept for r in q.classify(docs, ids).collect()} == want
+    assert len(set(want.values())) == 2
+    monkeypatch.setattr(q, "SENT_IDS", 1)  # too many ids to be sent to the texts
+    assert {r.doc_id: r.kept for r in q.classify(docs, ids).collect()} == want
 
 
 def test_quality_keeps_prose_and_drops_noise(spark, docs_of, written):
