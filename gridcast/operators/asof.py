@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.operators.columns import content_hash
+from gridcast.operators.columns import content_hash, spare
 from gridcast.operators.ordered import CHUNK_ROWS, MAX_GROUP_ROWS, carry
 
 HALF_HOUR = timedelta(minutes=30)
@@ -26,6 +26,9 @@ def nearest_join(
     strategy: str = "auto",
     max_group_rows: int = MAX_GROUP_ROWS,
     chunk_rows: int = CHUNK_ROWS,
+    unique: bool = False,
+    place: str | None = None,
+    row: str | None = None,
 ) -> DataFrame:
     """Every left row with `values` of the right row nearest in time, NULL if none is near.
 
@@ -36,6 +39,11 @@ def nearest_join(
     Both sides are laid into one ordered sequence in which each left row reads the last right
     row before it and the first one after it, so the work is linear in the rows: no pair of
     rows is ever formed. The strategies are those of `pick_join_strategy`.
+
+    With `unique` the caller states that no two left rows, nor two right rows by `right_order`, have
+    the same keys and time: nothing is hashed. A name in `place` keeps a column by which left rows of
+    one time follow each other, so that later windows ordered by (on, place) find the rows sorted; one
+    in `row` numbers the left rows of all series in that order, in the ordered strategy only.
     """
     keys = list(keys)
     if values is None:
@@ -47,40 +55,52 @@ def nearest_join(
         strategy = pick_join_strategy(left, right, on, keys, tolerance, max_group_rows)
 
     names = left.columns
-    places = [f"_order_{i}" for i in range(len(right_order))]
+    taken = {*names, *right.columns}
+    own_place, entry, before, after, matched, bucket = spare(
+        taken, place or "_place", "_entry", "_before", "_after", "_match", "_bucket"
+    )
+    if place in taken or row in taken:
+        raise ValueError(f"{place!r} or {row!r} is a column already")
+    # Rows of one time: right before left, those by their order, all of them last by a hash.
+    kinds = {f.name: f.dataType for f in right.schema}
+    last = lambda df: [] if unique else [content_hash(df).alias("hash")]
+    ranks = lambda of: [of(c).alias(f"order{i}") for i, c in enumerate(right_order)]
     entries = right.where(F.col(on).isNotNull()).select(
         *keys,
         on,
-        F.lit(0).alias("_side"),
-        content_hash(right).alias("_tie"),
-        *(F.col(c).alias(place) for c, place in zip(right_order, places)),
-        F.struct(F.col(on).alias("at"), *values).alias("_entry"),
+        F.struct(F.lit(0).alias("side"), *ranks(F.col), *last(right)).alias(own_place),
+        F.struct(F.col(on).alias("at"), *values).alias(entry),
     )
-    asking = left.withColumns({"_side": F.lit(1), "_tie": content_hash(left)})
-    groups, order = keys, [on, "_side", *places]
+    nothing = ranks(lambda c: F.lit(None).cast(kinds[c]))
+    asking = left.withColumn(own_place, F.struct(F.lit(1).alias("side"), *nothing, *last(left)))
+    groups = keys
     if strategy == "bucket":
         width = tolerance * BUCKET_TOLERANCES
-        groups = [*keys, "_bucket"]
-        asking = asking.withColumn("_bucket", _bucket(F.col(on), width))
-        entries = entries.withColumn("_bucket", F.explode(_buckets_in_reach(F.col(on), width, tolerance)))
+        groups = [*keys, bucket]
+        asking = asking.withColumn(bucket, _bucket(F.col(on), width))
+        entries = entries.withColumn(bucket, F.explode(_buckets_in_reach(F.col(on), width, tolerance)))
 
+    asks = F.col(own_place).getField("side") == 1
     carried = carry(
         asking.unionByName(entries, allowMissingColumns=True),
         groups,
-        order,
-        forward={"_before": "_entry"},
-        backward={"_after": "_entry"},
+        [on],
+        forward={before: entry},
+        backward={after: entry},
         strategy="ordered" if strategy == "ordered" else "series",
         chunk_rows=chunk_rows,
-    ).where(F.col("_side") == 1)
+        tie=own_place,
+        counted=(row, asks) if row and strategy == "ordered" else None,
+    ).where(asks)
 
     limit = F.lit(_as_micros(tolerance))
-    behind = _micros(F.col(on)) - _micros(F.col("_before.at"))
-    ahead = _micros(F.col("_after.at")) - _micros(F.col(on))
-    nearer_after = (ahead <= limit) & (F.col("_before").isNull() | (ahead < behind))
-    match = F.when(nearer_after, F.col("_after")).when(behind <= limit, F.col("_before"))
-    return carried.withColumn("_match", match).select(
-        *names, *(F.col("_match").getField(c).alias(c) for c in values)
+    behind = _micros(F.col(on)) - _micros(F.col(before).getField("at"))
+    ahead = _micros(F.col(after).getField("at")) - _micros(F.col(on))
+    nearer_after = (ahead <= limit) & (F.col(before).isNull() | (ahead < behind))
+    match = F.when(nearer_after, F.col(after)).when(behind <= limit, F.col(before))
+    kept = [*([own_place] if place else []), *([row] if row and strategy == "ordered" else [])]
+    return carried.withColumn(matched, match).select(
+        *(f"`{c}`" for c in names), *kept, *(F.col(matched).getField(c).alias(c) for c in values)
     )
 
 

@@ -37,6 +37,17 @@ def _holds_map(kind: T.DataType) -> bool:
     return isinstance(kind, T.MapType)
 
 
+def spare(names: Iterable[str], *wanted: str) -> list[str]:
+    """For each wanted name one that is not among `names`: helper columns must not meet a caller's."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def matching(df: DataFrame, pattern: str, keep: bool = True) -> list[str]:
     """Names that contain the pattern, or with `keep=False` those that do not."""
     return [c for c in df.columns if bool(re.search(pattern, c)) == keep]

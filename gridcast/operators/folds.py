@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridcast.operators.columns import content_hash
+from gridcast.operators.columns import content_hash, spare
 from gridcast.operators.ordered import ordered_rows
 
+#: Bins of a histogram, and rows of one bin that one task ranks.
+BINS = 4096
+RANKED_ROWS = 100_000
+
 
 @dataclass(frozen=True)
 class Fold:
@@ -79,14 +84,15 @@ def holdout_split(df: DataFrame, order: Sequence[str], test_size: int = 48) -> D
     their content, so that exactly `test_size` rows are held out; only exact copies of the row at
     the edge stay together.
     """
-    names, order = df.columns, [*order, "_tie"]
-    df = df.withColumn("_tie", content_hash(df))
+    (tie,) = spare(df.columns, "_tie")
+    order = [*order, tie]
+    df = df.withColumn(tie, content_hash(df))
     last = df.select(*order).orderBy(*map(F.desc, order)).limit(test_size)
     first = last.orderBy(*order).first()
     if first is None:
-        return df.withColumn("role", F.lit("train")).select(*names, "role")
+        return df.withColumn("role", F.lit("train")).drop(tie)
     held = F.when(_at_or_after(order, first), "holdout").otherwise("train")
-    return df.withColumn("role", held).select(*names, "role")
+    return df.withColumn("role", held).drop(tie)
 
 
 def _at_or_after(order: Sequence[str], row) -> Column:
@@ -102,8 +108,69 @@ def _at_or_after(order: Sequence[str], row) -> Column:
 def stride_sample(df: DataFrame, order: Sequence[str], points: int = 8) -> DataFrame:
     """Every k-th row of the order, k = max(1, rows // points), up to `points` of them.
 
-    Keeps the position as `row`.
+    Keeps the position as `row`. Only few positions are asked for, so the rows are counted and not
+    sorted; see `rows_at`.
     """
-    indexed = ordered_rows(df, order, "row")
-    step = max(1, indexed.total // points)
-    return indexed.df.where((F.col("row") % step == 0) & (F.col("row") < step * points))
+    total = df.count()
+    step = max(1, total // points)
+    return rows_at(df, order, [k * step for k in range(points) if k * step < total])
+
+
+def rows_at(df: DataFrame, order: Sequence[str], positions: Sequence[int], most: int = RANKED_ROWS) -> DataFrame:
+    """The rows at the given positions of ascending `order` (NULL first), with the position as `row`.
+
+    Histograms over the first order column, a time or a whole number, lead to the stretches of values
+    that the positions lie in: a stretch is divided into bins, and a bin with more than `most` rows is a
+    stretch again. Only rows of the last stretches are shuffled, and each is ranked by itself. One value
+    with more than `most` rows is sorted by the rest of the order, over several tasks. Rows equal in
+    `order` follow a hash of their content. Orders that begin with anything else are sorted as a whole.
+    """
+    first = order[0]
+    tie, bin_, before_ = spare([*df.columns, "row"], "_tie", "_bin", "_before")
+    tied = df.withColumn(tie, content_hash(df))
+    scale = _scale(df.schema[first].dataType, F.col(first))
+    if scale is None:
+        return ordered_rows(tied, order, "row", tie=tie).df.where(F.col("row").isin(list(positions))).drop(tie)
+
+    missing = df.where(F.col(first).isNull()).count() if positions else 0
+    low, high = df.agg(F.min(scale), F.max(scale)).first() if positions else (None, None)
+    # Values from low to high (both None: NULL), how many rows precede them, how many they are, what is asked.
+    todo = [(None, None, 0, missing, [p for p in positions if p < missing])]
+    if low is not None:
+        todo.append((low, high, missing, None, [p for p in positions if p >= missing]))
+    small, large = [], []
+    while todo:
+        low, high, before, size, asked = todo.pop()
+        within = F.col(first).isNull() if low is None else scale.between(low, high)
+        if not asked:
+            continue
+        if size is not None and size <= most:
+            small.append((within, before))
+        elif low == high:
+            large.append((within, before))
+        else:
+            bins = df.where(within).groupBy(F.floor((scale - F.lit(low)) / -(-(high - low + 1) // BINS)).alias(bin_))
+            counts = bins.agg(F.min(scale).alias("low"), F.max(scale).alias("high"), F.count(F.lit(1)).alias("n"))
+            for own in sorted(counts.drop(bin_).collect()):  # a few more than BINS at most
+                todo.append((*own[:2], before, own["n"], [p for p in asked if before <= p < before + own["n"]]))
+                before += own["n"]
+
+    start = F.lit(None).cast("long")
+    for within, before in small:
+        start = F.when(within, F.lit(before).cast("long")).otherwise(start)
+    ranked = tied.withColumn(before_, start).where(F.col(before_).isNotNull())
+    place = F.row_number().over(Window.partitionBy(before_).orderBy(*order, tie)) - 1
+    out = ranked.withColumn("row", F.col(before_) + place).drop(before_, tie)
+    for within, before in large:
+        own = ordered_rows(tied.where(within), order, "row", tie=tie).df.drop(tie)
+        out = out.unionByName(own.withColumn("row", F.col("row") + before))
+    return out.where(F.col("row").isin(list(positions)))
+
+
+def _scale(kind: T.DataType, column: Column) -> Column | None:
+    """The column as a whole number of the same order, if it can be."""
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(column.cast("timestamp"))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("long")
+    return column.cast("long") if isinstance(kind, T.IntegralType) else None

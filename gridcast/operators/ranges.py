@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRESETS = {"24h": 1, "7d": 7, "30d": 30}
@@ -54,6 +55,29 @@ def bounds(df: DataFrame, ts: str) -> tuple[datetime | None, datetime | None]:
     return tuple(df.agg(F.min(ts), F.max(ts)).first())
 
 
+def in_ranges(df: DataFrame, ts: str, spans: Mapping[str, tuple[date, date] | None], out: str = "preset") -> DataFrame:
+    """Each row once for every span of days (both included) that it lies in, with the span's name as `out`.
+
+    One pass over the rows, however many spans there are and however they overlap; None stands for all
+    rows that have a time. Rows outside all spans are left to the scan to skip.
+    """
+    def within(days: tuple[date, date] | None) -> Column:
+        if days is None:
+            return F.col(ts).isNotNull()
+        return (F.col(ts) >= F.lit(_midnight(days[0]))) & (F.col(ts) < F.lit(_midnight(days[1] + timedelta(days=1))))
+
+    if None not in spans.values() and spans:
+        df = closed_days(df, ts, min(s[0] for s in spans.values()), max(s[1] for s in spans.values()))
+    names = F.array(*(F.when(within(days), F.lit(name)) for name, days in spans.items())).cast("array<string>")
+    return df.withColumn(out, F.explode(F.array_compact(names)))
+
+
+def years(df: DataFrame, ts: str) -> range:
+    """The years from the earliest to the latest time: from the bounds alone, not from the distinct days."""
+    first, last = bounds(df, ts)
+    return range(first.year, last.year + 1) if first is not None else range(0)
+
+
 def trailing(df: DataFrame, ts: str, observed: str, span: timedelta = timedelta(days=1)) -> DataFrame:
     """The `span` up to and including the latest row in which `observed` is not NULL.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridcast.functions.scalars import calendar_columns, power_curve
 from gridcast.operators.asof import nearest_join, pick_join_strategy
-from gridcast.operators.columns import complete_rows, ensure_columns
+from gridcast.operators.columns import complete_rows, ensure_columns, spare
 from gridcast.operators.merge import flag_members
 from gridcast.operators.ordered import CHUNK_ROWS, MAX_GROUP_ROWS, pick_strategy, with_windows
 from gridcast.operators.windows import lag_columns, with_rolling
@@ -27,6 +27,7 @@ def engineer_features(
     strategy: str = "auto",
     max_group_rows: int = MAX_GROUP_ROWS,
     chunk_rows: int = CHUNK_ROWS,
+    unique: bool = False,
 ) -> DataFrame:
     """Weather rows with the nearest generation value and all model inputs.
 
@@ -35,7 +36,10 @@ def engineer_features(
 
     With series of moderate length the join and all windows run on one hash partitioning by
     series. The join keeps the weather rows as they are, so the sizes measured on the narrow
-    inputs also bound the window groups.
+    inputs also bound the window groups. With longer ones the rows are numbered once, for the join;
+    the windows go on from the numbers that the join gives the weather rows.
+
+    `unique` is that of `nearest_join`: stated, no row has to be hashed.
     """
     require_utc(weather.sparkSession)
     keys = list(spec.keys)
@@ -44,6 +48,7 @@ def engineer_features(
     if strategy == "auto":
         strategy = pick_join_strategy(weather, generation, spec.time, keys, max_group_rows=max_group_rows)
         windows = "series" if strategy == "series" else pick_strategy(weather, keys, "auto", max_group_rows)
+    place, row = spare({*weather.columns, *generation.columns}, "_place", "_row")
     aligned = nearest_join(
         weather,
         generation,
@@ -53,6 +58,9 @@ def engineer_features(
         values=[spec.target],
         strategy=strategy,
         chunk_rows=chunk_rows,
+        unique=unique,
+        place=place,
+        row=row,
     )
     powered = aligned.withColumns(power_curve(F.col(spec.speed), spec.rated_speed))
 
@@ -64,7 +72,15 @@ def engineer_features(
         return with_rolling(rows.withColumns(lags), window, spec.speed, "wind_speed", spec.rolling_rows)
 
     shifted = with_windows(
-        powered, keys, [spec.time], spec.reach, add, strategy=windows, chunk_rows=chunk_rows
+        powered,
+        keys,
+        [spec.time],
+        spec.reach,
+        add,
+        strategy=windows,
+        chunk_rows=chunk_rows,
+        tie=place,
+        row=row if strategy == "ordered" else None,
     )
     dated = shifted.withColumns(calendar_columns(F.col(spec.time)))
     flagged = flag_members(dated, F.to_date(spec.time), holidays)

@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridcast.operators.dedupe import keep_last_of
-from gridcast.operators.merge import override
-from gridcast.schemas import struct
-from gridcast.session import scratch_path
-from gridcast.sources.tables import (
-    PARTITIONS,
-    read_table,
-    table_exists,
-    with_months,
-    write_series,
-    write_table,
-)
+from gridcast.sources.store import Change, Store
 
-DONE = struct({"token": T.StringType()})
+#: Name of the one table in the store of a history.
+ROWS = "rows"
 
 
 def upsert(history: DataFrame, new: DataFrame, keys: Sequence[str] = ("datetime",), order: Sequence[str] = ()) -> DataFrame:
@@ -53,39 +43,28 @@ def upsert_table(
     keys: Sequence[str] = ("datetime",),
     ts: str = "datetime",
     order: Sequence[str] = (),
-    staging: str | None = None,
-    token: str = "once",
+    token: str | None = None,
 ) -> None:
-    """Lay `new` over the stored history, rewriting only the months it touches.
+    """Lay `new` over the history stored at `path`, in the months it touches.
 
-    The merged months are written to a staging table first, since a table cannot be overwritten
-    while it is read, and copied into place from there. A caller that passes a fixed `staging`
-    path and one `token` per batch can repeat a call that failed at any point: a finished
-    staging table of that token is used as it is, so a half-replaced history is never merged.
+    Merged months are written once, as new versions, and published in place of the old ones; see
+    `Store`. A call that failed has changed nothing, one that is repeated with its token after it went
+    through changes nothing more.
 
     The stored history holds each key once, as every call leaves it. So only the new rows are
-    reduced to one per key, and a batch small enough to be broadcast shuffles no stored row.
+    reduced to one per key, and a batch small enough to be broadcast moves no stored row but for the
+    order of its file.
     """
-    staging = staging or scratch_path(spark, "upsert")
-    done = f"{staging}.done"
-    if not _finished(spark, done, token):
-        merged = keep_last_of([new], keys, order)
-        if table_exists(spark, path):
-            merged = override(touched(spark, path, new, ts), merged, keys)
-        write_series(merged, staging, ts, order=keys, replace=True)
-        write_table(spark.createDataFrame([(token,)], DONE), done)
-    if table_exists(spark, staging):
-        write_series(spark.read.parquet(staging).drop(*PARTITIONS), path, ts, order=keys)
-
-
-def _finished(spark: SparkSession, done: str, token: str) -> bool:
-    return not read_table(spark, done, DONE).where(F.col("token") == token).isEmpty()
-
-
-def touched(spark: SparkSession, path: str, new: DataFrame, ts: str) -> DataFrame:
-    """Stored rows of the months that occur in `new`, by partition pruning."""
-    months = [tuple(row) for row in with_months(new, ts).select(*PARTITIONS).distinct().collect()]
-    touched = F.lit(False)
-    for year, month in months:
-        touched |= (F.col("year") == year) & (F.col("month") == month)
-    return spark.read.parquet(path).where(touched).drop(*PARTITIONS)
+    store, token = Store(spark, path), token or uuid.uuid4().hex
+    if not store.has(token):
+        store.publish(token, store.laid_over(ROWS, new, keys, ts, order))
+
+
+def replace_table(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str] = ("datetime",), ts: str = "datetime") -> None:
+    """Publish `rows` in place of the whole stored history."""
+    Store(spark, path).publish(uuid.uuid4().hex, Change(ROWS, rows, ts, keys, replace="all"))
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame | None:
+    """The published history at `path`, None if there is none."""
+    return Store(spark, path).read(ROWS)

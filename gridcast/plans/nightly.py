@@ -10,14 +10,17 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from gridcast.operators.dedupe import keep_last_of
+from gridcast.operators.ordered import fill_gaps
 from gridcast.operators.ranges import closed_days, until_end_of_day
 from gridcast.plans.features import engineer_features
-from gridcast.plans.history import assemble_weather, resolve_history, upsert_table
+from gridcast.plans.history import assemble_weather, read_history, replace_table, resolve_history, upsert_table
+from gridcast.plans.intake import FORECAST_WEATHER, GENERATION, PAST_WEATHER, series
 from gridcast.plans.training import score
 from gridcast.schemas import FeatureSpec
 from gridcast.session import materialize
 from gridcast.sources.documents import filled_weather, history_of_share
-from gridcast.sources.tables import PARTITIONS, snapshot_once, table_exists, write_series, write_table
+from gridcast.sources.store import Store
+from gridcast.sources.tables import PARTITIONS, snapshot_once, table_exists, write_table
 
 HISTORY_DAYS = 3
 
@@ -110,6 +113,28 @@ def nightly_from_documents(
     return nightly(spark, as_of, tables, *parts, holidays, model, spec, days=days)
 
 
+def nightly_from_store(
+    spark: SparkSession,
+    as_of: date,
+    tables: Tables,
+    store: Store,
+    holidays: DataFrame,
+    model: PipelineModel,
+    spec: FeatureSpec = FeatureSpec(),
+    days: int | None = None,
+) -> DataFrame:
+    """The nightly run from the series of all documents that were ever taken in (see `plans.intake`)."""
+    sources = []
+    for feed in (GENERATION, PAST_WEATHER, FORECAST_WEATHER):
+        rows = series(store, feed)
+        if rows is None:
+            raise EmptySource(f"no rows of {feed.name}")
+        sources.append(rows)
+    generation, *weather = sources
+    filled = [fill_gaps(rows, list(spec.keys), [spec.time], list(spec.weather), unique=True) for rows in weather]
+    return nightly(spark, as_of, tables, generation, *(materialize(f, "filled") for f in filled), holidays, model, spec, days=days)
+
+
 def run_features(
     as_of: date,
     generation: DataFrame,
@@ -139,10 +164,10 @@ def run_features(
 def extend_history(spark: SparkSession, tables: Tables, features: DataFrame, spec: FeatureSpec = FeatureSpec()) -> None:
     """Start the history from the snapshot if there is none or it is shorter, then lay `features` over it."""
     keys = [*spec.keys, spec.time]
-    history = spark.read.parquet(tables.history) if table_exists(spark, tables.history) else None
+    history = read_history(spark, tables.history)
     snapshot = spark.read.parquet(tables.snapshot) if table_exists(spark, tables.snapshot) else None
     base = resolve_history(history, snapshot, features)
     if base is not history:
         start = keep_last_of([base.drop(*PARTITIONS)], keys)
-        write_series(start, tables.history, spec.time, order=keys, replace=True)
+        replace_table(spark, tables.history, start, keys, spec.time)
     upsert_table(spark, tables.history, features, keys, spec.time)

@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, replace
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass
+from threading import Lock
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,8 +71,14 @@ def fit(
     inputs: Sequence[str],
     target: str,
     params: TreeParams = TreeParams(),
+    categories: Sequence[str] = (),
 ) -> PipelineModel:
-    """Fit boosted trees, all rounds of them."""
+    """Fit boosted trees, all rounds of them.
+
+    `categories` names the inputs that stand for kinds and not for amounts. They are marked as nominal,
+    so that a split sets any of their levels apart from the others; levels come from the rows, of which
+    there have to be fewer than bins. A missing or unknown one is a level of its own.
+    """
     trees = GBTRegressor(
         featuresCol="features",
         labelCol=target,
@@ -83,7 +91,14 @@ def fit(
         seed=params.seed,
     )
     assembler = VectorAssembler(inputCols=[f"_in_{c}" for c in inputs], outputCol="features")
-    return Pipeline(stages=[assembler, trees]).fit(_inputs(rows, inputs))
+    marked = [c for c in inputs if c in categories]
+    levels = StringIndexer(
+        inputCols=[f"_level_{c}" for c in marked],
+        outputCols=[f"_in_{c}" for c in marked],
+        handleInvalid="keep",
+        stringOrderType="alphabetAsc",
+    )
+    return Pipeline(stages=[*([levels] if marked else []), assembler, trees]).fit(_inputs(rows, inputs, marked))
 
 
 def best_round(errors: Sequence[float], patience: int) -> int:
@@ -98,25 +113,57 @@ def best_round(errors: Sequence[float], patience: int) -> int:
 
 
 def fit_best(
-    train_rows: DataFrame, test_rows: DataFrame, inputs: Sequence[str], target: str, params: TreeParams
+    train_rows: DataFrame,
+    test_rows: DataFrame,
+    inputs: Sequence[str],
+    target: str,
+    params: TreeParams,
+    categories: Sequence[str] = (),
 ) -> tuple[PipelineModel, float]:
     """The model with the best number of rounds on the test rows, and its RMSE there.
 
-    One pass over the test rows gives the error after every round. Boosting with the same seed
-    repeats itself, so the refit with fewer rounds is the beginning of the first fit.
+    One fit and one pass over the test rows, which gives the error after every round; the rounds
+    behind the best one are then cut off.
     """
-    model = fit(train_rows, inputs, target, params)
-    shaped = model.stages[0].transform(_inputs(test_rows, inputs))
-    errors = model.stages[-1].evaluateEachIteration(shaped, "squared")
+    model = fit(train_rows, inputs, target, params, categories)
+    errors = _round_errors(model, test_rows, inputs)
     rounds = best_round(errors, params.patience)
-    if rounds < len(errors):
-        model = fit(train_rows, inputs, target, replace(params, iterations=rounds))
-    return model, math.sqrt(errors[rounds - 1])
+    return first_rounds(model, rounds), math.sqrt(errors[rounds - 1])
+
+
+def _round_errors(model: PipelineModel, rows: DataFrame, inputs: Sequence[str]) -> list[float]:
+    """Mean squared error on the rows after each round."""
+    shaped = PipelineModel(model.stages[:-1]).transform(_inputs(rows, inputs, _marked(model)))
+    return model.stages[-1].evaluateEachIteration(shaped, "squared")
+
+
+def first_rounds(model: PipelineModel, rounds: int) -> PipelineModel:
+    """The model as it was after that many rounds: boosting adds trees and leaves earlier ones as they are."""
+    *before, trees = model.stages
+    if rounds >= trees.getNumTrees:
+        return model
+    spark = SparkSession.getActiveSession()
+    java, gateway = trees._java_obj, spark.sparkContext._gateway
+    kept = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(gateway.jvm.double, rounds)
+    for i, (tree, weight) in enumerate(zip(java.trees()[:rounds], trees.treeWeights[:rounds], strict=True)):
+        kept[i], weights[i] = tree, weight
+    cut = GBTRegressionModel(gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), kept, weights))
+    for name in ("featuresCol", "predictionCol"):
+        cut.set(cut.getParam(name), trees.getOrDefault(name))
+    cut._transfer_params_to_java()
+    return PipelineModel([*before, cut])
+
+
+def _marked(model: PipelineModel) -> list[str]:
+    """The inputs that a model takes as categories."""
+    first = model.stages[0]
+    return [c.removeprefix("_level_") for c in first.getInputCols()] if len(model.stages) == 3 else []
 
 
 def predict(model: PipelineModel, rows: DataFrame, inputs: Sequence[str]) -> DataFrame:
     """`rows` with the prediction column."""
-    scored = model.transform(_inputs(rows, inputs))
+    scored = model.transform(_inputs(rows, inputs, _marked(model)))
     return scored.select(*rows.columns, PREDICTION)
 
 
@@ -125,9 +172,9 @@ def score(model: PipelineModel, features: DataFrame, spec: FeatureSpec = Feature
     return predict(model, features, spec.inputs).select(*spec.keys, spec.time, PREDICTION)
 
 
-def _inputs(rows: DataFrame, inputs: Sequence[str]) -> DataFrame:
-    filled = {f"_in_{c}": F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in inputs}
-    return rows.withColumns(filled)
+def _inputs(rows: DataFrame, inputs: Sequence[str], categories: Sequence[str] = ()) -> DataFrame:
+    filled = {f"_in_{c}": F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in inputs if c not in categories}
+    return rows.withColumns({**filled, **{f"_level_{c}": F.col(c).cast("string") for c in categories}})
 
 
 def _order(spec: FeatureSpec) -> list[str]:
@@ -149,7 +196,7 @@ def _fit_fold(indexed: DataFrame, fold: Fold, spec: FeatureSpec, params: TreePar
     """Fit on the fold's training rows, keep the best round on its test rows, score the test rows."""
     role = fold.role(F.col("row"))
     test = indexed.where(role == "test")
-    model, _ = fit_best(indexed.where(role == "train"), test, spec.inputs, spec.target, params)
+    model, _ = fit_best(indexed.where(role == "train"), test, spec.inputs, spec.target, params, spec.categories)
     return model, predict(model, test, spec.inputs)
 
 
@@ -176,7 +223,8 @@ def cross_validate(
             model, scored = _fit_fold(indexed.df, fold, spec, params)
             metrics.append((fold.fold, *_fold_metrics(scored, spec)))
             weights = model.stages[-1].featureImportances.toArray()
-            importance += [(fold.fold, name, float(w)) for name, w in zip(spec.inputs, weights)]
+            weights = [*map(float, weights), *[0.0] * (len(spec.inputs) - len(weights))]  # inputs that no tree uses
+            importance += [(fold.fold, name, w) for name, w in zip(spec.inputs, weights, strict=True)]
     finally:
         indexed.df.unpersist()
     return CrossValidation(
@@ -220,52 +268,87 @@ def search(
     n_splits: int = 5,
     test_size: int = 48,
     seed: int = 42,
+    parallel: int = 1,
+    drop: bool = True,
 ) -> DataFrame:
     """Trials of seeded random parameters, best first; the objective is the mean fold RMSE.
 
-    A trial whose fit fails scores infinity and the search goes on.
+    A trial whose fit fails scores infinity and the search goes on. Up to `parallel` trials run at a
+    time over one persisted matrix. With `drop` a trial ends as soon as its folds so far, the others
+    counted as faultless, are worse than the best mean: it cannot win. Then `folds` says how many it had
+    and `mean_rmse` is that lower bound; such trials rank after the whole ones. Which trials are dropped
+    may depend on what runs side by side, which one is best does not.
     """
     spark = features.sparkSession
     generator = random.Random(seed)
+    drawn = [space.draw(generator, seed) for _ in range(trials)]
     indexed = _indexed(features, spec)
     folds = walk_forward_folds(indexed.total, n_splits, test_size)
-    results = []
+    race = _Race(drop)
+
+    def run(trial: int) -> tuple:
+        mean, done = _objective(indexed.df, folds, spec, drawn[trial], race)
+        return trial, mean, done, *asdict(drawn[trial]).values()
+
     try:
-        for trial in range(trials):
-            params = space.draw(generator, seed)
-            results.append((trial, _objective(indexed.df, folds, spec, params), *asdict(params).values()))
+        with ThreadPoolExecutor(parallel) as pool:
+            results = list(pool.map(run, range(trials)))
     finally:
         indexed.df.unpersist()
     table = spark.createDataFrame(
         results,
-        "trial INT, mean_rmse DOUBLE, iterations INT, depth INT, learning_rate DOUBLE, "
+        "trial INT, mean_rmse DOUBLE, folds INT, iterations INT, depth INT, learning_rate DOUBLE, "
         "subsample DOUBLE, bins INT, seed INT, patience INT",
     )
-    return table.orderBy("mean_rmse", "trial")
+    return table.orderBy(*_ranked())
+
+
+def _ranked():
+    return [F.desc("folds"), "mean_rmse", "trial"]
+
+
+class _Race:
+    """The best mean so far, over trials that run side by side."""
+
+    def __init__(self, drop: bool):
+        self.drop, self.best, self.lock = drop, math.inf, Lock()
+
+    def lost(self, bound: float) -> bool:
+        return self.drop and bound > self.best
+
+    def ended(self, mean: float) -> None:
+        with self.lock:
+            self.best = min(self.best, mean)
 
 
-def _objective(indexed: DataFrame, folds: Sequence[Fold], spec: FeatureSpec, params: TreeParams) -> float:
-    errors = []
+def _objective(
+    indexed: DataFrame, folds: Sequence[Fold], spec: FeatureSpec, params: TreeParams, race: _Race
+) -> tuple[float, int]:
+    """Mean RMSE and number of folds; a lower bound of the mean where folds are missing."""
+    errors: list[float] = []
     for fold in folds:
+        bound = sum(errors) / len(folds)
+        if race.lost(bound):
+            return bound, len(errors)
         try:
             role = fold.role(F.col("row"))
             parts = indexed.where(role == "train"), indexed.where(role == "test")
             errors.append(best_error(*parts, spec, params))
         except Exception:  # any failure of a fit only disqualifies its parameters
-            return math.inf
-    return sum(errors) / len(errors)
+            return math.inf, len(errors)
+    race.ended(sum(errors) / len(errors))
+    return sum(errors) / len(errors), len(errors)
 
 
 def best_error(train_rows: DataFrame, test_rows: DataFrame, spec: FeatureSpec, params: TreeParams) -> float:
     """RMSE of the best round: the search needs no refit and no prediction."""
-    model = fit(train_rows, spec.inputs, spec.target, params)
-    shaped = model.stages[0].transform(_inputs(test_rows, spec.inputs))
-    errors = model.stages[-1].evaluateEachIteration(shaped, "squared")
+    model = fit(train_rows, spec.inputs, spec.target, params, spec.categories)
+    errors = _round_errors(model, test_rows, spec.inputs)
     return math.sqrt(errors[best_round(errors, params.patience) - 1])
 
 
 def best_params(results: DataFrame) -> TreeParams:
-    best = results.orderBy("mean_rmse", "trial").first().asDict()
+    best = results.orderBy(*_ranked()).first().asDict()
     return TreeParams(**{name: best[name] for name in asdict(TreeParams())})
 
 
@@ -288,7 +371,7 @@ def train(
     """Fit on all rows but the last `test_size`, then score every row and the holdout."""
     rows = training_rows(features, spec).select(*spec.keys, spec.time, spec.target, *spec.inputs)
     split = holdout_split(rows, _order(spec), test_size)
-    model = fit(split.where("role = 'train'"), spec.inputs, spec.target, params)
+    model = fit(split.where("role = 'train'"), spec.inputs, spec.target, params, spec.categories)
     held = predict(model, split.where("role = 'holdout'"), spec.inputs).select(
         *spec.keys, spec.time, F.col(spec.target).alias(f"{spec.target}_actual"), PREDICTION
     )
@@ -300,7 +383,7 @@ def holdout_metrics(trained: TrainedModel, results: DataFrame | None = None, spe
     actual, predicted = F.col(f"{spec.target}_actual"), F.col(PREDICTION)
     best_error, params = None, {}
     if results is not None:
-        best = results.orderBy("mean_rmse", "trial").first()
+        best = results.orderBy(*_ranked()).first()
         best_error, params = best["mean_rmse"], asdict(best_params(results))
     pairs = [F.lit(x) for name, value in params.items() for x in (name, str(value))]
     return trained.holdout.agg(

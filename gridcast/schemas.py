@@ -94,6 +94,8 @@ class FeatureSpec:
     rolling_rows: dict[str, int] = field(default_factory=lambda: dict(ROLLING_ROWS))
     excluded: tuple[str, ...] = (TIME, "wind_mw", TARGET)
     rated_speed: float = 15.0
+    # Inputs that stand for kinds: models mark them as nominal.
+    categories: tuple[str, ...] = ("is_holiday",)
 
     @property
     def target_lags(self) -> list[str]:

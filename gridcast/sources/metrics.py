@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcast.schemas import LEARNING_CURVE
+from gridcast.schemas import LEARNING_CURVE, TRAINING_TIME
 from gridcast.sources.tables import read_csv
 
 
@@ -55,6 +55,25 @@ def training_log(spark: SparkSession, learn_path: str, test_path: str) -> DataFr
     return learn.join(test, "iter", "full")
 
 
+def training_time(spark: SparkSession, path: str) -> DataFrame:
+    """The remaining-time log: `iter, passed, remaining` in milliseconds."""
+    return read_csv(spark, path, TRAINING_TIME, sep="\t")
+
+
+def time_report(log: DataFrame) -> DataFrame:
+    """One row: iterations, time they took, time per iteration, and by how much the first estimate was off.
+
+    The first estimate is the time that had passed and was thought to remain at the first iteration.
+    """
+    last, first = F.max_by("passed", "iter"), F.min_by(F.col("passed") + F.col("remaining"), "iter")
+    return log.agg(
+        (F.max("iter") - F.min("iter") + 1).cast("long").alias("iterations"),
+        last.alias("passed"),
+        (last / (F.max("iter") - F.min("iter") + 1)).alias("per_iteration"),
+        (first - last).alias("estimate_off"),
+    ).where("iterations IS NOT NULL")
+
+
 def best_iteration(log: DataFrame, metric: str = "test_rmse") -> DataFrame:
     """`best_iter, best_rmse`: the earliest iteration with the lowest error."""
     return log.agg(

@@ -10,9 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from gridcast.operators.dedupe import keep_first
-from gridcast.operators.merge import unseen
-from gridcast.plans.history import touched, upsert_table
-from gridcast.sources.tables import PARTITIONS, table_exists, with_months
+from gridcast.plans.history import ROWS, upsert_table
+from gridcast.sources.store import Store
 
 
 def read_stream(
@@ -35,15 +34,12 @@ def stream_upsert(
 ) -> StreamingQuery:
     """Lay every micro-batch over the history at `path`; a later batch wins, then `order`.
 
-    Only the months of a batch are rewritten. A batch that is replayed after a failure finds its
-    own finished staging table (or none), so the outcome is the same as without the failure.
+    Only the months of a batch are rewritten, and readers see all of a batch or nothing of it. A batch
+    that is replayed after a failure finds itself published or not, so that it counts once.
     """
-    staging = f"{checkpoint.rstrip('/')}/staging"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        upsert_table(
-            batch.sparkSession, path, batch, keys, ts, order, staging=staging, token=f"batch-{batch_id}"
-        )
+        upsert_table(batch.sparkSession, path, batch, keys, ts, order, token=f"{checkpoint}#{batch_id}")
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -63,28 +59,21 @@ def append_unique(
 ) -> StreamingQuery:
     """Append readings whose key the table at `path` lacks, the first one (by `order`) of each key.
 
-    A key is compared with everything stored, however late it comes; since `ts` is one of the keys,
-    only the months of the batch are read for that. A batch's rows go into a partition of its own,
-    which a replay after a failure overwrites and does not compare itself with. Rows without a time
-    have no key and are left out.
+    A key is compared with everything stored, however late it comes: filters of the stored keys say
+    which months could hold it, and only those are read. Batches add parts to their months, which are
+    merged when they are many. A replayed batch is known by its token. Rows without a time have no
+    key and are left out.
     """
     if ts not in keys:
         raise ValueError(f"{ts} has to be one of the keys {list(keys)}")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = keep_first(batch.where(F.col(ts).isNotNull()), keys, order)
-        if table_exists(spark, path):
-            stored = touched(spark, path, batch, ts).where(F.col("batch") != batch_id)
-            fresh = unseen(fresh, stored, keys)
-        (
-            with_months(fresh, ts)
-            .withColumn("batch", F.lit(batch_id).cast("long"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*PARTITIONS, "batch")
-            .parquet(path)
-        )
+        store, token = Store(batch.sparkSession, path), f"{checkpoint}#{batch_id}"
+        if store.has(token):
+            return
+        first = keep_first(batch.where(F.col(ts).isNotNull()), keys, order)
+        fresh = store.unseen(ROWS, first, keys, ts)
+        store.publish(token, store.appended(ROWS, fresh, keys, ts, among=batch))
 
     return (
         stream.writeStream.foreachBatch(write)

@@ -6,13 +6,17 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from gridcast.functions.metrics import mape, rmse
 from gridcast.operators.ranges import days_around
 from gridcast.plans import analysis, history, nightly
 from gridcast.plans.features import engineer_features
-from gridcast.schemas import LAG_ROWS, ROLLING_ROWS
+from gridcast.plans.intake import GENERATION, PAST_WEATHER, series, take_in
+from gridcast.schemas import HOLDOUT_METRICS, LAG_ROWS, ROLLING_ROWS
 from gridcast.session import scratch_path
-from gridcast.sources.tables import PARTITIONS, snapshot_once, write_table
-from queries.inputs import EVENTS, FORECASTS, HOURLY, IS_HOLIDAY, KEYS, SPEC, events, feature_inputs, forecasts, hourly
+from gridcast.sources.metrics import read_document, write_document
+from gridcast.sources.store import Store
+from gridcast.sources.tables import snapshot_once, write_table
+from queries.inputs import EVENTS, FORECASTS, HOURLY, IS_HOLIDAY, KEYS, SPEC, events, feature_inputs, forecasts, hourly, table
 from queries.registry import query, r6
 from queries.scalars import CALENDAR_SQL
 
@@ -60,7 +64,7 @@ FEATURES = f"WITH {aligned_sql('', '')}, {features_sql('')} SELECT event_type, d
 
 def features(spark, sf_dir, **options):
     generation, weather, holidays = feature_inputs(spark, sf_dir)
-    return engineer_features(generation, weather, holidays, SPEC, generation_order=["event_id"], **options)
+    return engineer_features(generation, weather, holidays, SPEC, generation_order=["event_id"], unique=True, **options)
 
 
 @query("engineer_features", FEATURES)
@@ -95,7 +99,7 @@ def nightly_history(spark, sf_dir):
     )
     write_table(rows, tables.features)
     nightly.extend_history(spark, tables, spark.read.parquet(tables.features), SPEC)
-    return spark.read.parquet(tables.history).drop(*PARTITIONS)
+    return history.read_history(spark, tables.history)
 
 
 # --- history ------------------------------------------------------------------------------
@@ -308,3 +312,85 @@ def forecast_report_trend(spark, sf_dir):
 def recent_baseline(spark, sf_dir):
     known, _, _ = analysis_inputs(spark, sf_dir)
     return analysis.recent_baseline(known)
+
+
+_CARDS = f"""model AS (SELECT sqrt(avg((l_extendedprice / 1000 - l_quantity) * (l_extendedprice / 1000 - l_quantity))) AS model_rmse,
+      avg(abs(l_extendedprice / 1000 - l_quantity) / greatest(abs(l_quantity), 2.220446049250313e-16)) AS model_mape FROM lineitem),
+    base AS (SELECT {kpi_sql(_RMSE, 'wind_perc_lag_48h')} AS baseline_rmse, {kpi_sql(_MAPE, 'wind_perc_lag_48h')} AS baseline_mape
+      FROM analysis, latest WHERE datetime BETWEEN last_at - INTERVAL 1 DAY AND last_at),
+    cards AS (SELECT * FROM model, base)"""
+
+
+def _card(name: str) -> str:
+    statuses = _status(name).split(f"{name}_arrow,")[0] + f"{name}_arrow"
+    return f"{statuses}, {r6(f'(model_{name} - baseline_{name}) / baseline_{name}')} AS {name}_change"
+
+
+@query(
+    "forecast_kpis",
+    f"""WITH {ANALYSIS}, latest AS (SELECT max(datetime) AS last_at FROM analysis WHERE wind_perc IS NOT NULL), {_CARDS}
+        SELECT {r6('model_rmse')} AS model_rmse, {r6('model_mape')} AS model_mape, {r6('baseline_rmse')} AS baseline_rmse,
+          {r6('baseline_mape')} AS baseline_mape, {_card('rmse')}, {_card('mape')} FROM cards""",
+)
+def forecast_kpis(spark, sf_dir):
+    """The cards: holdout metrics from a stored document, here of prices against quantities, beside the recent baseline."""
+    known, _, _ = analysis_inputs(spark, sf_dir)
+    items = table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 1000).alias("p"), F.col("l_quantity").cast("double").alias("a"))
+    found = items.agg(rmse(F.col("a"), F.col("p")).alias("holdout_rmse_perc"), mape(F.col("a"), F.col("p")).alias("holdout_mape_perc"))
+    path = scratch_path(spark, "holdout")
+    write_document(found, path)
+    return analysis.forecast_kpis(read_document(spark, path, HOLDOUT_METRICS, multi_line=False), known)
+
+
+# --- landed documents ---------------------------------------------------------------------
+
+
+def landed_generation(spark, sf_dir):
+    """A document per event type and day, its readings in the order of their ids."""
+    raw = events(spark, sf_dir)
+    minute = F.date_format("datetime", "yyyy-MM-dd'T'HH:mm'Z'")
+    mix = F.array(F.struct(F.lit("wind").alias("fuel"), F.col("value").alias("perc")))
+    reading = F.struct("event_id", F.struct(minute.alias("from"), mix.alias("generationmix")).alias("reading"))
+    days = raw.groupBy("event_type", F.to_date("datetime").alias("day")).agg(F.sort_array(F.collect_list(reading)).alias("data"))
+    return days.select("event_type", "day", F.to_json(F.struct(F.col("data.reading").alias("data"))).alias("text"))
+
+
+def landed_weather(spark, sf_dir, shift):
+    """A document per event type and day of the hourly means, shifted."""
+    hour = F.struct("datetime", (F.col("speed") + shift).alias("speed"), F.col("n").cast("double").alias("n"))
+    days = hourly(spark, sf_dir).groupBy("event_type", F.to_date("datetime").alias("day")).agg(F.sort_array(F.collect_list(hour)).alias("h"))
+    times = F.transform("h.datetime", lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm"))
+    arrays = F.struct(times.alias("time"), F.col("h.n").alias("temperature_2m"), F.col("h.speed").alias("wind_speed_10m"))
+    return days.select("event_type", "day", F.to_json(F.struct(arrays.alias("hourly"))).alias("text"))
+
+
+def landings(spark, sf_dir):
+    """Two landings of each feed. The second repeats documents, brings changed ones for known times, and broken ones."""
+    share, calm = landed_generation(spark, sf_dir), landed_weather(spark, sf_dir, 0.0)
+    storm = landed_weather(spark, sf_dir, 0.5)
+    early, late = "day < date'2024-01-20'", "day >= date'2024-01-10'"
+    changed = share.where("day < date'2024-01-15'").withColumn("text", F.regexp_replace("text", r'"perc":', '"perc": 1'))
+    broken = share.where(late).withColumn("text", F.substring("text", 1, 40))
+    id_ = F.col("day").cast("string")
+    first = [(GENERATION, share.where(early)), (PAST_WEATHER, calm.where(early))]
+    second = [(GENERATION, share.where(late).unionByName(changed).unionByName(broken)), (PAST_WEATHER, storm.where(late))]
+    return [[(feed, df.withColumn("id", F.concat(F.lit(n), id_))) for feed, df in part] for n, part in ((1, first), (2, second))]
+
+
+@query(
+    "landed_series",
+    f"""WITH {EVENTS}, minutes AS (SELECT event_type, date_trunc('minute', datetime) AS datetime, event_id, value FROM events_),
+          ranked AS (SELECT *, row_number() OVER (PARTITION BY event_type, datetime ORDER BY event_id) AS k FROM minutes), {HOURLY}
+        SELECT 'generation' AS feed, event_type, datetime, {r6('value')} AS value FROM ranked WHERE k = 1
+        UNION ALL SELECT 'past_weather', event_type, datetime,
+          CASE WHEN datetime >= TIMESTAMP '2024-01-10' THEN {r6('speed + 0.5')} ELSE {r6('speed')} END FROM hourly""",
+)
+def landed_series(spark, sf_dir):
+    store = Store(spark, scratch_path(spark, "store"))
+    for number, landing in enumerate(landings(spark, sf_dir)):
+        for again in range(2):  # every landing is taken in, and then again as after a lost answer
+            for feed, documents in landing:
+                take_in(store, feed, documents, f"{feed.name}-{number}-{again}", keys=KEYS)
+    share = series(store, GENERATION).select("event_type", "datetime", F.col("wind_perc").alias("value"))
+    speed = series(store, PAST_WEATHER).select("event_type", "datetime", F.col("wind_speed_10m").alias("value"))
+    return share.select(F.lit("generation").alias("feed"), "*").unionByName(speed.select(F.lit("past_weather").alias("feed"), "*"))

@@ -51,25 +51,19 @@ def trim_upper(spark, sf_dir):
         FROM chosen GROUP BY 1""",
 )
 def relative_window(spark, sf_dir):
-    df, as_of = events(spark, sf_dir), date(2024, 1, 15)
-    first, last = ranges.bounds(df, "datetime")
-    parts = {"around": ranges.around(df, "datetime", as_of)}
-    for preset in ("24h", "7d", "30d", "all"):
-        days = ranges.preset_days(preset, as_of, (first.date(), last.date()))
-        parts[preset] = ranges.closed_days(df, "datetime", *days)
-    summaries = [
-        part.groupBy(F.lit(name).alias("preset")).agg(
+    as_of = date(2024, 1, 15)
+    spans = {preset: ranges.preset_days(preset, as_of) for preset in ("24h", "7d", "30d")}
+    spans |= {"around": ranges.days_around(as_of), "all": None}
+    return (
+        ranges.in_ranges(events(spark, sf_dir), "datetime", spans)
+        .groupBy("preset")
+        .agg(
             F.count(F.lit(1)).alias("n"),
             F.min("datetime").alias("first"),
             F.max("datetime").alias("last"),
             F.sum("value").alias("total"),
         )
-        for name, part in parts.items()
-    ]
-    result = summaries[0]
-    for part in summaries[1:]:
-        result = result.unionByName(part)
-    return result
+    )
 
 
 @query(
@@ -108,6 +102,7 @@ def complete_rows(spark, sf_dir):
         ["datetime"],
         48,
         lambda df, w: df.withColumn("baseline", persistence(w, "speed")),
+        unique=True,
     )
     chosen = lagged.select("event_type", "datetime", "speed", "baseline")
     return columns.require_rows(columns.complete_rows(chosen, ["speed", "baseline"]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -326,6 +327,38 @@ def best_iteration(spark, sf_dir):
     return metrics.best_iteration(curves(spark, sf_dir))
 
 
+TIMES = """clock AS (SELECT user_id AS iter, CAST(1000 * count(*) AS BIGINT) AS took FROM events GROUP BY 1),
+    log AS (SELECT CAST(iter AS INTEGER) AS iter, CAST(sum(took) OVER (ORDER BY iter) AS BIGINT) AS passed,
+      CAST(coalesce(sum(took) OVER (ORDER BY iter ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS BIGINT) AS remaining FROM clock)"""
+
+
+def time_log(spark, sf_dir):
+    """A clock over the events per user, in milliseconds, written and read back as a remaining-time log."""
+    path = scratch_path(spark, "times")
+    took = events(spark, sf_dir).groupBy(F.col("user_id").alias("iter")).agg((1000 * F.count(F.lit(1))).alias("took"))
+    so_far = Window.orderBy("iter")  # one row per user
+    behind = so_far.rowsBetween(1, Window.unboundedFollowing)
+    left = F.coalesce(F.sum("took").over(behind), F.lit(0))
+    log = took.select("iter", F.sum("took").over(so_far).alias("Passed"), left.alias("Remaining"))
+    log.write.option("header", True).option("sep", "\t").csv(path)
+    return metrics.training_time(spark, path)
+
+
+@query("training_time", f"WITH {TIMES} SELECT iter, passed, remaining FROM log")
+def training_time(spark, sf_dir):
+    return time_log(spark, sf_dir)
+
+
+@query(
+    "time_report",
+    f"""WITH {TIMES} SELECT CAST(max(iter) - min(iter) + 1 AS BIGINT) AS iterations, arg_max(passed, iter) AS passed,
+          {r6('arg_max(passed, iter) / (max(iter) - min(iter) + 1)')} AS per_iteration,
+          arg_min(passed + remaining, iter) - arg_max(passed, iter) AS estimate_off FROM log""",
+)
+def time_report(spark, sf_dir):
+    return metrics.time_report(time_log(spark, sf_dir))
+
+
 MODE_COLUMNS = ["event_type", "datetime", "wind_perc", "wind_perc_lag_48h", "wind_speed_roll_std_48h"]
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcast.operators.ordered import with_windows
+from gridcast.operators.ranges import years
 from gridcast.schemas import FeatureSpec
 
 KEYS = ["event_type"]
@@ -60,6 +63,7 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda df, w: df.withColumns(
             {"prediction": F.lag("speed", 1).over(w), "baseline": F.lag("speed", 48).over(w)}
         ),
+        unique=True,
     )
 
 
@@ -70,13 +74,10 @@ FORECASTS = (
 )
 
 
-def calendar(spark: SparkSession, days: DataFrame) -> DataFrame:
-    """A holiday calendar `day, name` over the years that occur in the date column `day`."""
-    years = days.select(F.year("day").alias("year")).distinct()
-    fixed = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(d).alias("d")) for m, d in HOLIDAYS))
-    return years.select("year", F.inline(fixed)).select(
-        F.make_date("year", "m", "d").alias("day"), F.lit("holiday").alias("name")
-    )
+def calendar(spark: SparkSession, df: DataFrame, ts: str) -> DataFrame:
+    """A holiday calendar `day, name` over the years that the times of `df` span."""
+    days = [(date(year, m, d), "holiday") for year in years(df, ts) for m, d in HOLIDAYS]
+    return spark.createDataFrame(days, "day date, name string")
 
 
 IS_HOLIDAY = "(" + " OR ".join(f"(month({{0}}) = {m} AND day({{0}}) = {d})" for m, d in HOLIDAYS) + ")"
@@ -92,4 +93,4 @@ def feature_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
         F.col("n").cast("double").alias("temperature_2m"),
         F.col("speed").alias("wind_speed_10m"),
     )
-    return generation, weather, calendar(spark, raw.select(F.to_date("datetime").alias("day")))
+    return generation, weather, calendar(spark, raw, "datetime")

@@ -27,7 +27,7 @@ NEAREST = f"""WITH {HOURLY}, {EVENTS},
 def nearest(spark, sf_dir, **options):
     left = hourly(spark, sf_dir).drop("n")
     right = events(spark, sf_dir).select("event_type", "datetime", "event_id", "value")
-    return nearest_join(left, right, keys=KEYS, right_order=["event_id"], **options)
+    return nearest_join(left, right, keys=KEYS, right_order=["event_id"], unique=True, **options)
 
 
 @query("asof_nearest", NEAREST)
@@ -81,7 +81,7 @@ def prediction_override(spark, sf_dir):
 def holiday_flag(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     day = F.to_date("o_orderdate")
-    return merge.flag_members(orders, day, calendar(spark, orders.select(day.alias("day"))))
+    return merge.flag_members(orders, day, calendar(spark, orders, "o_orderdate"))
 
 
 @query(

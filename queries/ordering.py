@@ -39,6 +39,7 @@ def lags(spark, sf_dir, **options):
         ["datetime"],
         48,
         lambda df, w: df.withColumns(lag_columns(w, "speed", "wind_speed", LAG_ROWS)),
+        unique=True,  # one row per hour
         **options,
     ).drop("speed", "n")
 
@@ -60,6 +61,7 @@ def rolling(spark, sf_dir, stat, **options):
         ["datetime"],
         95,
         lambda df, w: with_rolling(df, w, "speed", "wind_speed", ROLLING_ROWS, [stat]),
+        unique=True,
         **options,
     )
     return df.drop("speed", "n")
@@ -100,7 +102,7 @@ def filled(spark, sf_dir, **options):
     holes = hourly(spark, sf_dir).select(
         "event_type", "datetime", F.when(F.col("n") >= 3, F.col("speed")).alias("speed")
     )
-    return fill_gaps(holes, KEYS, ["datetime"], ["speed"], **options)
+    return fill_gaps(holes, KEYS, ["datetime"], ["speed"], unique=True, **options)
 
 
 @query("fill_forward_back", FILLED)
@@ -119,7 +121,7 @@ NUMBERED = f"{EVENTS}, numbered AS (SELECT *, row_number() OVER (ORDER BY dateti
 
 @query("ordered_index", f"WITH {NUMBERED} SELECT event_id, datetime, CAST(r AS BIGINT) AS row FROM numbered")
 def index_of_events(spark, sf_dir):
-    return ordered_index(events(spark, sf_dir).select("event_id", "datetime"), ORDER)
+    return ordered_index(events(spark, sf_dir).select("event_id", "datetime"), ORDER, unique=True)
 
 
 @query(

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridcast.plans.history import read_history
 from gridcast.session import scratch_path
-from gridcast.sources.tables import PARTITIONS
 from gridcast.streaming.history import append_unique, read_stream, stream_upsert
 from queries.composites import HISTORY, READINGS, SLOT, batches, slots
 from queries.inputs import events
@@ -19,7 +19,7 @@ def stream_upsert_batches(spark, sf_dir):
         part.write.mode("append").parquet(f"{root}/landed")
         stream = read_stream(spark, f"{root}/landed", part.schema)
         stream_upsert(stream, f"{root}/history", f"{root}/state", SLOT, order=["event_id"]).awaitTermination()
-    return spark.read.parquet(f"{root}/history").drop(*PARTITIONS)
+    return read_history(spark, f"{root}/history")
 
 
 @query("stream_dedupe", f"WITH {READINGS} SELECT DISTINCT event_type, datetime FROM readings")
@@ -30,4 +30,4 @@ def stream_dedupe(spark, sf_dir):
     readings.repartition(6, F.xxhash64("event_id")).write.parquet(f"{root}/landed")
     stream = read_stream(spark, f"{root}/landed", readings.schema, files_per_batch=1)
     append_unique(stream, f"{root}/unique", f"{root}/state", SLOT).awaitTermination()
-    return spark.read.parquet(f"{root}/unique").select(*SLOT)
+    return read_history(spark, f"{root}/unique").select(*SLOT)

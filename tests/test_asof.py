@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
-from conftest import plan
+from plans import plan
 
 from gridcast.operators.asof import nearest_join, pick_join_strategy
 

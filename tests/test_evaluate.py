@@ -4,7 +4,7 @@ import math
 from datetime import date, datetime, timedelta
 
 import pytest
-from conftest import plan
+from plans import plan
 from pyspark.sql import functions as F
 
 from gridcast.functions import metrics, scalars

@@ -6,7 +6,7 @@ from datetime import date, datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import plan
+from plans import plan
 
 from gridcast.plans.features import engineer_features, features_for, store_features
 from gridcast.schemas import FeatureSpec
@@ -165,3 +165,22 @@ def test_series_plan_has_one_shuffle_and_two_sorts(spark):
     assert text.count("Exchange hashpartitioning(site") == 1
     assert text.count("Sort [site") == 2
     assert "SinglePartition" not in text and "NestedLoop" not in text
+
+
+def test_ordered_plan_numbers_the_rows_once(spark, monkeypatch):
+    from gridcast.operators import ordered
+
+    written, plain = [], ordered.materialize
+    monkeypatch.setattr(ordered, "materialize", lambda df, label="table": written.append(plan(df)) or plain(df, label))
+    shares, weather = raw(4, 60, 0)
+    df = engineer_features(
+        spark.createDataFrame(shares, GENERATION), spark.createDataFrame(weather, WEATHER), calendar(spark, HOLIDAY), SPEC,
+        strategy="ordered", chunk_rows=100,
+    )
+    assert sum(p.count("rangepartitioning") for p in [*written, plan(df)]) == 1 and len(written) == 1
+
+
+def test_unique_inputs_are_not_hashed(spark):
+    shares, weather = raw(4, 60, 0)
+    frames = spark.createDataFrame(shares, GENERATION), spark.createDataFrame(weather, WEATHER), calendar(spark, HOLIDAY)
+    assert "xxhash64" in plan(engineer_features(*frames, SPEC)) and "xxhash64" not in plan(engineer_features(*frames, SPEC, unique=True))

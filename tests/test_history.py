@@ -1,14 +1,18 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridcast.operators.dedupe import keep_first, keep_last
 from gridcast.plans import history
 from gridcast.plans.nightly import Tables, extend_history
-from gridcast.sources.tables import PARTITIONS, write_table
+from gridcast.sources import store as store_module
+from gridcast.sources.store import Store
+from gridcast.sources.tables import write_table
 from gridcast.streaming.history import append_unique, read_stream, stream_upsert
 
 SCHEMA = "datetime TIMESTAMP, x DOUBLE, seq INT"
@@ -64,44 +68,41 @@ def test_resolve_history(spark):
 
 
 def stored(spark, path):
-    return spark.read.parquet(str(path)).drop(*PARTITIONS)
+    return history.read_history(spark, str(path))
 
 
 def test_upsert_table_rewrites_only_touched_months(spark, tmp_path):
     path = tmp_path / "history"
     history.upsert_table(spark, str(path), frame(spark, (0, 1), (24, 2), (72, 3)), order=["seq"])
-    january = sorted(f.name for f in path.glob("**/month=1/*.parquet"))
+    january = [p for p in Store(spark, str(path)).parts(history.ROWS) if p.month == 1]
     history.upsert_table(spark, str(path), frame(spark, (72, 30), (73, 40)), order=["seq"])
     assert content(stored(spark, path)) == {0: 1.0, 24: 2.0, 72: 30.0, 73: 40.0}
-    assert sorted(f.name for f in path.glob("**/month=1/*.parquet")) == january
+    assert [p for p in Store(spark, str(path)).parts(history.ROWS) if p.month == 1] == january
     history.upsert_table(spark, str(path), frame(spark), order=["seq"])
     assert len(content(stored(spark, path))) == 4
 
 
-def test_upsert_table_survives_a_half_replaced_history(spark, tmp_path, monkeypatch):
-    path, staging = str(tmp_path / "history"), str(tmp_path / "staging")
-    history.upsert_table(spark, path, frame(spark, (0, 1), (1, 2)), staging=staging, token="1")
-    write, calls = history.write_series, []
-
-    def failing(df, target, *args, **kwargs):
-        calls.append(target)
-        if target == path:
-            # The old month is gone and its replacement is not there.
-            write(df.limit(0).unionByName(df.where("x < 0")), target, *args, **kwargs)
-            write(frame(spark, (0, -1)), target, *args, **kwargs)
-            raise OSError("executor lost")
-        write(df, target, *args, **kwargs)
-
-    monkeypatch.setattr(history, "write_series", failing)
-    batch = frame(spark, (1, 20), (2, 30))
-    with pytest.raises(OSError):
-        history.upsert_table(spark, path, batch, staging=staging, token="2")
-    assert content(stored(spark, path)) == {0: -1.0}
-    monkeypatch.setattr(history, "write_series", write)
-    history.upsert_table(spark, path, batch, staging=staging, token="2")
-    assert content(stored(spark, path)) == {0: 1.0, 1: 20.0, 2: 30.0}
-    history.upsert_table(spark, path, frame(spark, (2, 31)), staging=staging, token="3")
-    assert content(stored(spark, path)) == {0: 1.0, 1: 20.0, 2: 31.0}
+@pytest.mark.parametrize("step", ["data", "manifest"])
+def test_readers_never_see_a_half_replaced_history(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "history")
+    history.upsert_table(spark, path, frame(spark, (0, 1), (1, 2)), token="1")
+    before = stored(spark, path)
+    batch = frame(spark, (1, 20), (60, 30))  # two months
+
+    def failing(*args, **kwargs):
+        raise OSError("driver lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(Store, "_write" if step == "data" else "_switch", failing)
+        with pytest.raises(OSError):
+            history.upsert_table(spark, path, batch, token="2")
+    assert content(stored(spark, path)) == {0: 1.0, 1: 2.0}
+    for _ in range(2):  # the rerun, and a replay of it
+        history.upsert_table(spark, path, batch, token="2")
+        assert content(stored(spark, path)) == {0: 1.0, 1: 20.0, 60: 30.0}
+    assert content(before) == {0: 1.0, 1: 2.0}  # whoever reads the version before still can
+    history.upsert_table(spark, path, frame(spark, (60, 31)), token="3")
+    assert content(stored(spark, path)) == {0: 1.0, 1: 20.0, 60: 31.0}
 
 
 def test_history_starts_from_a_longer_snapshot(spark, tmp_path):
@@ -139,7 +140,34 @@ def test_stream_dedupe_across_batches(spark, tmp_path):
         frame(spark, *((h, h) for h in hours[at : at + 240])).coalesce(1).write.mode("append").parquet(landing)
     stream = read_stream(spark, landing, spark.read.parquet(landing).schema, files_per_batch=1)
     append_unique(stream, path, state, ["datetime"]).awaitTermination()
-    stored = spark.read.parquet(path)
-    assert stored.count() == 24 * 30
-    assert content(stored) == {h: float(h) for h in range(24 * 30)}
-    assert stored.select("batch").distinct().count() == 6
+    assert content(stored(spark, path)) == {h: float(h) for h in range(24 * 30)}
+    assert 6 <= len(Store(spark, path).parts(history.ROWS)) <= 12  # six batches over two months
+
+
+def test_parts_stay_bounded_and_ruled_out_months_unread(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "MAX_PARTS", 3)
+    store = Store(spark, str(tmp_path / "store"))
+    for n in range(12):
+        batch = frame(spark, (n, n), (n + 100, n))
+        store.publish(f"t{n}", store.appended("x", store.unseen("x", batch, ["datetime"], "datetime"), ["datetime"], "datetime"))
+    assert max(Counter((p.year, p.month) for p in store.parts("x")).values()) <= 3
+    assert content(store.read("x")) == {h: float(h % 100) for n in range(12) for h in (n, n + 100)}
+    assert store.rows("x") == 24
+    read = []
+    plain = Store.read
+    monkeypatch.setattr(Store, "read", lambda self, name, months=None: read.append(months) or plain(self, name, months))
+    new = frame(spark, (50, 1), (51, 2), (2, 9))  # the first two are in January, like 2, but unknown
+    assert content(store.unseen("x", new, ["datetime"], "datetime")) == {50: 1.0, 51: 2.0}
+    assert read == [[(2024, 1)]]
+    read.clear()
+    far = frame(spark, (150, 1), (151, 1))
+    assert content(store.unseen("x", far, ["datetime"], "datetime")) == {150: 1.0, 151: 1.0}
+    assert read == []  # February holds rows, and the filters rule both out
+
+
+def test_filters_never_miss_a_stored_key(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("k"))
+    store.publish("1", store.appended("x", rows.where("cast(k as int) < 2000"), ["k"]))
+    assert {int(r.k) for r in store.unseen("x", rows, ["k"]).collect()} == set(range(2000, 3000))
+    assert store.possible("x", rows.where("cast(k as int) >= 2000"), ["k"]).count() < 60

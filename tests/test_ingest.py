@@ -221,6 +221,14 @@ def test_training_log(spark, tmp_path):
     assert tuple(metrics.best_iteration(log).first()) == (1, 2.5)
 
 
+def test_training_time(spark, tmp_path):
+    (tmp_path / "time.tsv").write_text("iter\tPassed\tRemaining\n0\t12\t260\n1\t24\t120\n2\t30\t0\n")
+    log = metrics.training_time(spark, str(tmp_path / "time.tsv"))
+    assert [tuple(r) for r in log.orderBy("iter").collect()] == [(0, 12, 260), (1, 24, 120), (2, 30, 0)]
+    assert tuple(metrics.time_report(log).first()) == (3, 30, 10.0, 242)
+    assert metrics.time_report(log.limit(0)).isEmpty()
+
+
 def test_feature_list():
     spec = FeatureSpec()
     assert len(spec.inputs) == len(set(spec.inputs)) == 28

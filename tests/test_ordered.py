@@ -5,9 +5,10 @@ from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
-from conftest import plan
+from plans import plan
 from pyspark.sql import functions as F
 
+from gridcast.operators import folds
 from gridcast.operators.ordered import (
     carry,
     fill_gaps,
@@ -165,3 +166,38 @@ def test_ordered_plans_use_no_single_partition(spark):
     for text in plans:
         assert "SinglePartition" not in text
         assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+# --- positions without a sort ---------------------------------------------------------------
+
+
+@pytest.mark.parametrize("most", [1, 3, 1000])
+@pytest.mark.parametrize("bins", [2, 4096])
+def test_rows_at_positions_equal_the_sorted_ones(spark, monkeypatch, most, bins):
+    monkeypatch.setattr(folds, "BINS", bins)
+    rng = random.Random(most)
+    times = [datetime(2024, 1, 1) + timedelta(seconds=rng.choice([0, 0, 0, 1, 5, 10**6])) for _ in range(60)]
+    rows = [(t, i % 7, i) for i, t in enumerate(times)] + [(None, i, 100 + i) for i in range(5)]
+    df = spark.createDataFrame(rows, "ts timestamp, a int, id int").repartition(3)
+    positions = [0, 3, 4, 5, 6, 30, 31, 64, 65, 900]
+    got = {r.row: (r.ts, r.a) for r in folds.rows_at(df, ["ts", "a"], positions, most).collect()}
+    whole = sorted(((t, a) for t, a, _ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert got == {p: whole[p] for p in positions if p < len(whole)}
+    # The same rows whichever way: ties follow the hash that the full numbering takes.
+    numbered = {r.row: r.id for r in ordered_rows(df, ["ts", "a"]).df.collect()}
+    assert {r.row: r.id for r in folds.rows_at(df, ["ts", "a"], positions, most).collect()} == {p: numbered[p] for p in got}
+
+
+@pytest.mark.parametrize("kind", ["bigint", "date", "string", "timestamp_ntz"])
+def test_rows_at_other_orders(spark, kind):
+    df = spark.range(50).select(F.expr(f"CAST({'id' if kind in ('bigint', 'string') else 'date_add(date' + chr(39) + '2024-01-01' + chr(39) + ', CAST(id AS INT))'} AS {kind})").alias("k"))
+    whole = sorted(r.k for r in df.collect())
+    assert {r.row: r.k for r in folds.rows_at(df, ["k"], [0, 7, 49], most=4).collect()} == {p: whole[p] for p in (0, 7, 49)}
+    assert folds.rows_at(df, ["k"], []).isEmpty() and folds.rows_at(df.limit(0), ["k"], [0]).isEmpty()
+
+
+def test_sample_plan_has_no_full_sort(spark):
+    df = spark.range(20000).select(F.expr("timestamp_seconds(id * 60)").alias("ts"), "id")
+    text = plan(folds.stride_sample(df, ["ts", "id"], 8))
+    assert "rangepartitioning" not in text
+    assert folds.stride_sample(df, ["ts", "id"], 8).count() == 8

@@ -2,12 +2,15 @@ from __future__ import annotations
 
 import math
 import random
+from dataclasses import replace
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.ml import PipelineModel
 
 from gridcast.plans import training
 from gridcast.plans.features import engineer_features
+from gridcast.plans.history import read_history
 from gridcast.plans.nightly import EmptySource, Tables, nightly
 from gridcast.schemas import HOLDOUT_METRICS, FeatureSpec
 from gridcast.sources.tables import table_exists, write_table
@@ -77,7 +80,7 @@ def test_search_ranks_trials_and_survives_failures(features, monkeypatch):
     space = training.SearchSpace(iterations=(1, 2), depth=(1, 2), bins=(32, 40))
     results = training.search(features, SPEC, space, trials=2, n_splits=2, seed=7)
     rows = results.collect()
-    assert len(rows) == 2 and rows[0].mean_rmse <= rows[1].mean_rmse < math.inf
+    assert len(rows) == 2 and rows[0].folds == 2 and rows[1].mean_rmse < math.inf
     best = training.best_params(results)
     assert best.depth == rows[0].depth and best.learning_rate == rows[0].learning_rate
 
@@ -123,7 +126,7 @@ def test_nightly_run_keeps_its_tables_safe(spark, raw, features, tmp_path):
         with pytest.raises(EmptySource):
             nightly(spark, date(2024, 1, 16), tables, *sources, holidays, model)
     assert spark.read.parquet(tables.features).count() == features.count()
-    assert not table_exists(spark, tables.snapshot) and not table_exists(spark, tables.history)
+    assert not table_exists(spark, tables.snapshot) and read_history(spark, tables.history) is None
     # No rows of the run's days: nothing is overwritten, and what was there is the snapshot now.
     nightly(spark, date(2030, 1, 1), tables, shares, weather, weather, holidays, model)
     assert spark.read.parquet(tables.features).count() == features.count()
@@ -152,11 +155,84 @@ def test_nightly_run(spark, raw, features, tmp_path, days):
     times = sorted(r.datetime for r in predictions.collect())
     # With three days of history the first 48 hours only serve as lags.
     assert times[0] == datetime(2024, 1, 15 if days else 13) and times[-1] == datetime(2024, 1, 17, 15)
-    history = spark.read.parquet(tables.history)
+    history = read_history(spark, tables.history)
     assert history.count() == len(times)
     nightly(*run, days=days)
-    assert spark.read.parquet(tables.history).count() == len(times)
-    history = spark.read.parquet(tables.history)
+    assert read_history(spark, tables.history).count() == len(times)
+    history = read_history(spark, tables.history)
     if days is None:
         full = features.join(history.select("datetime"), "datetime", "left_semi")
         assert full.select(sorted(full.columns)).exceptAll(history.select(sorted(full.columns))).isEmpty()
+
+
+def test_categories_are_marked_and_split_as_sets(spark):
+    """Levels b, d, f are high and a, c, e low: no order of the letters tells them apart by one cut."""
+    rows = [(letter, float(i % 3), 10.0 if letter in "bdf" else 0.0) for i in range(60) for letter in "abcdef"]
+    df = spark.createDataFrame([*rows, *[(None, 0.0, 5.0)] * 60], "kind string, x double, y double")
+    params = training.TreeParams(iterations=1, depth=2, bins=16)
+    model = training.fit(df, ["x", "kind"], "y", params, categories=["kind"])
+    shaped = PipelineModel(model.stages[:-1]).transform(training._inputs(df, ["x", "kind"], ["kind"]))
+    marked = shaped.schema["features"].metadata["ml_attr"]["attrs"]["nominal"]
+    assert [a["name"] for a in marked] == ["_in_kind"] and marked[0]["vals"][:6] == list("abcdef") and len(marked[0]["vals"]) == 7
+    scored = {r.kind: r.wind_perc_pred for r in training.predict(model, df, ["x", "kind"]).collect()}
+    assert scored == {**dict.fromkeys("bdf", 10.0), **dict.fromkeys("ace", 0.0), None: 5.0}
+    unknown = spark.createDataFrame([("z", 1.0)], "kind string, x double")
+    assert training.predict(model, unknown, ["x", "kind"]).first().wind_perc_pred == 5.0
+
+
+def test_holidays_are_a_category_of_the_default_model(features):
+    model = training.train(features, SPEC, QUICK).model
+    assert training._marked(model) == ["is_holiday"]
+
+
+@pytest.mark.parametrize("categories", [(), ("is_holiday",)])
+def test_first_rounds_equal_a_fit_of_so_many(spark, features, tmp_path, categories):
+    rows = features.where("wind_perc IS NOT NULL")
+    long = training.TreeParams(iterations=9, depth=3, bins=16, subsample=0.8)
+    whole = training.fit(rows, SPEC.inputs, SPEC.target, long, categories)
+    cut = training.first_rounds(whole, 4)
+    short = training.fit(rows, SPEC.inputs, SPEC.target, replace(long, iterations=4), categories)
+    scores = [{r.datetime: r.wind_perc_pred for r in training.predict(m, rows, SPEC.inputs).collect()} for m in (cut, short)]
+    assert scores[0] == scores[1] and cut.stages[-1].getNumTrees == 4
+    assert training.first_rounds(whole, 9) is whole
+    weights = cut.stages[-1].featureImportances.toArray()
+    assert weights == pytest.approx(short.stages[-1].featureImportances.toArray()[: len(weights)])
+    training.save_model(cut, str(tmp_path / "cut"))
+    again = training.predict(training.load_model(spark, str(tmp_path / "cut")), rows, SPEC.inputs)
+    assert {r.datetime: r.wind_perc_pred for r in again.collect()} == scores[1]
+
+
+def test_one_fit_per_fold(features, monkeypatch):
+    fits, plain = [], training.fit
+    monkeypatch.setattr(training, "fit", lambda *a, **k: fits.append(1) or plain(*a, **k))
+    training.cross_validate(features, SPEC, training.TreeParams(iterations=4, depth=2, bins=16), n_splits=2)
+    assert len(fits) == 2
+
+
+@pytest.mark.parametrize("parallel", [1, 3])
+def test_dropped_trials_cannot_win(features, monkeypatch, parallel):
+    errors = {0: [3.0, 3.0, 3.0], 1: [9.5, 1.0, 1.0], 2: [1.0, 2.0, 3.0], 3: [3.0, 2.9, 0.2], 4: [6.1, 0.0, 0.0]}
+    space = training.SearchSpace()
+    generator = random.Random(1)
+    known = [space.draw(generator, 1) for _ in errors]
+    calls = []
+
+    def error(train, test, spec, params):
+        trial = known.index(params)
+        calls.append(trial)
+        return errors[trial][calls.count(trial) - 1]
+
+    monkeypatch.setattr(training, "best_error", error)
+    ranked = {}
+    for drop in (False, True):
+        calls.clear()
+        found = training.search(features, SPEC, space, len(errors), n_splits=3, seed=1, parallel=parallel, drop=drop).collect()
+        whole = [(r.trial, r.mean_rmse) for r in found if r.folds == 3]
+        means = {t: sum(e) / 3 for t, e in errors.items()}
+        assert whole == sorted(((t, means[t]) for t, _ in whole), key=lambda x: (x[1], x[0]))
+        assert all(r.mean_rmse > means[2] for r in found if r.folds < 3)
+        ranked[drop] = found[0].trial
+        assert len(found) == 5 and (drop or len(whole) == 5)
+    assert ranked == {False: 2, True: 2}
+    if parallel == 1:
+        assert calls.count(1) == 1  # 9.5 / 3 is more than the 3.0 of trial 0
