@@ -44,7 +44,7 @@ SIGNS = 1 << SIGN_BITS
 CODES = SIGNS**ORDER
 #: Documents whose counts are packed together, and batches that meet one copy of the probabilities.
 BATCH_DOCS = 4096
-GROUP_BATCHES = 64
+GROUP_BATCHES = 16
 #: Parts of the probabilities: 2 ** 20 n-grams at most in one.
 SHARDS = 16
 #: Trusted ids up to which texts stay where they are and ids are sent to them (8 bytes each).
