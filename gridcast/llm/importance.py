@@ -185,7 +185,11 @@ def bucket_counts(texts: list[bytes], words: Dictionary, longest: int, buckets:
 
 
 def dictionary(texts: DataFrame, size: int = DICTIONARY_WORDS, longest: int = LONGEST) -> list[bytes]:
-    """The commonest words of the column `text`, at most `size` words of `longest` bytes."""
+    """The commonest words of the column `text`, at most `size` words of `longest` bytes.
+
+    Words are taken down to a count, in steps of a twelfth more or so, at which they would be too many:
+    a histogram of the counts says which, and only the words taken reach the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def handed() -> pa.RecordBatch:
@@ -203,7 +207,18 @@ def dictionary(texts: DataFrame, size: int = DICTIONARY_WORDS, longest: int = LO
         yield handed()
 
     counted = texts.select(_body()).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
+    step = F.floor(8 * F.log2("n")).alias("step")
+    counted = materialize(counted.select("word", "n", step), "words")
+    least, total = None, 0
+    for own, words in counted.groupBy("step").count().orderBy(F.desc("step")).collect():  # 8 * 63 rows at most
+        total += words
+        if total > size:
+            break
+        least = own
+    if least is None:
+        return []
+    taken = counted.where(F.col("step") >= least).select("n", "word").collect()  # `size` rows at most
+    return [bytes(r["word"]) for r in sorted(taken, key=lambda r: (-r["n"], bytes(r["word"])))]
 
 
 def _body():
