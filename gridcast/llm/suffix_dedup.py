@@ -6,7 +6,8 @@ compared. A document is cut into stretches of starts that share an anchor; the b
 strings cover are the stretch's context.
 
 1. Contexts are digested in one scan and counted by (anchor, digest). Where one comes twice, all its
-   strings are repeated, and no byte of it has to move.
+   strings are repeated, and no byte of it has to move. The digests that decide this are 128 bits of
+   BLAKE2, so that no two different texts can be found, or built, that share one.
 2. What else shares an anchor is fetched from the documents, one copy per distinct context, and dealt
    into shards by anchor. A shard builds the Burrows-Wheeler transform of its contexts, compresses it
    to runs and keeps suffix positions and match lengths at the run ends only: inside a run a match
@@ -14,8 +15,9 @@ strings cover are the stretch's context.
    longest match of each start with any other follows from the sampled run ends. Starts with a match
    of `LENGTH` or more are marked.
 3. An anchor with very many distinct contexts (endless repetition of few words) would make a shard
-   of unbounded size. Its starts are dealt by the digests of their strings instead, which is exact
-   as well, and spreads over all shards.
+   of unbounded size. Its starts are dealt by such digests of their strings instead, which spreads
+   over all shards; starts whose string comes again in the same batch are marked there at once, and
+   one of them speaks for all, so that repetition does not multiply what is moved.
 4. Marked starts are joined to their documents and the covered bytes cut out.
 """
 
@@ -27,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,7 +70,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Digests:
-    """Digests of all substrings of up to a stretch of bytes; equal strings have equal digests anywhere."""
+    """Digests of all substrings of up to a stretch of bytes, to pick anchors by; equal strings have equal digests anywhere.
+
+    They only bring together what may be equal: anchors with one digest are told apart later.
+    """
 
     def __init__(self, data: np.ndarray):
         self.up, down, values = _powers()
@@ -78,6 +84,11 @@ class Digests:
         return _mixed((self.sums[end] - self.sums[start]) * self.up[start])
 
 
+def _strong(pieces: Iterator[bytes]) -> np.ndarray:
+    """Two halves of 64 bits of the BLAKE2 digest of each piece."""
+    return np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in pieces), np.uint64).reshape(-1, 2)
+
+
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every window of `width` values, from running minima inside blocks of that width."""
     count = len(values) - width + 1
@@ -88,7 +99,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Anchor digest, context digest, first and last start of each stretch of starts with one anchor.
+    """Anchor digest, context digest in two halves, first and last start of each stretch of starts with one anchor.
 
     Long documents come in parts; a stretch that two parts share comes as two.
     """
@@ -105,8 +116,10 @@ def stretches(data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         last = np.append(first[1:], len(least)) - 1
         anchor = (least[first] & np.uint64(room - 1)).astype(np.int64)
-        context = digests.of(first, last + LENGTH) ^ _mixed((anchor - first).astype(np.uint64) + np.uint64(1))
-        yield grams[anchor], context, first + base, last + base
+        body = part.tobytes()
+        spans = zip((anchor - first).tolist(), first.tolist(), (last + LENGTH).tolist(), strict=True)
+        context = _strong(b"%d:%b" % (offset, body[a:b]) for offset, a, b in spans)
+        yield grams[anchor], context[:, 0], context[:, 1], first + base, last + base
 
 
 # --- The run-length index ----------------------------------------------------------------------------
@@ -176,7 +189,9 @@ def long_matches(contexts: list[bytes], length: int = LENGTH) -> np.ndarray:
 # --- Spark -----------------------------------------------------------------------------------------
 
 #: A start of an anchor with very many contexts: digest of its string, document, place, copies of its context.
-_HOT = np.dtype([("digest", "u8"), ("doc", "i8"), ("key", "i8"), ("place", "i8"), ("copies", "i8"), ("null", "i8")])
+_HOT = np.dtype([("digest", "u8"), ("check", "u8"), ("doc", "i8"), ("key", "i8"), ("place", "i8"), ("copies", "i8"), ("null", "i1")])
+#: Kinds of rows on their way to a shard.
+_CONTEXT, _STARTS, _KNOWN = range(3)
 _MARKS = "doc_id long, key long, start long, stop long"
 
 
@@ -191,21 +206,21 @@ def _signed(values: np.ndarray) -> pa.Array:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "key", "anchor", "context", "first", "last"]
+    names = ["doc_id", "key", "anchor", "context", "check", "first", "last"]
     for batch in batches:
         ids, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
         for row, body in enumerate(batch.column("body")):
             for found in stretches(np.frombuffer(body.as_buffer(), np.uint8)):
                 n = len(found[0])
                 own = [pa.array([ids[row]] * n, pa.int64()), pa.array(np.full(n, keys[row]))]
-                yield pa.RecordBatch.from_arrays([*own, *map(_signed, found)], names)
+                yield pa.RecordBatch.from_arrays([*own, *(_signed(np.ascontiguousarray(f)) for f in found)], names)
 
 
 def _fetch(shards: int):
     """Contexts of documents (body, wanted) as rows for their shards, starts of hot anchors packed by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "hot", "doc_id", "key", "first", "copies", "body"]
+        names = ["shard", "kind", "doc_id", "key", "first", "copies", "body"]
         for batch in batches:
             rows, packed = [], []
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
@@ -214,25 +229,26 @@ def _fetch(shards: int):
                 for one in wanted:
                     first, stop = one["first"], one["last"] + LENGTH
                     if not one["hot"]:
-                        rows.append((one["anchor"] % shards, False, doc_id, key, first, one["copies"], bytes(data[first:stop])))
+                        rows.append((one["anchor"] % shards, _CONTEXT, doc_id, key, first, one["copies"], bytes(data[first:stop])))
                         continue
-                    part = np.frombuffer(data[first:stop], np.uint8)
+                    part = bytes(data[first:stop])
                     starts = np.arange(len(part) - LENGTH + 1)
                     own = np.zeros(len(starts), _HOT)
-                    own["digest"] = Digests(part).of(starts, starts + LENGTH)
+                    own["digest"], own["check"] = _strong(part[i : i + LENGTH] for i in range(len(starts))).T
                     own["doc"], own["null"], own["key"] = doc_id or 0, doc_id is None, key
                     own["place"], own["copies"] = starts + first, one["copies"]
                     packed.append(own)
             if packed:
-                every = np.concatenate(packed)
+                every, known = _spoken_for(np.concatenate(packed))
+                rows += [(key % shards, _KNOWN, doc_id, key, start, stop, None) for doc_id, key, start, stop in known]
                 shard = (every["digest"] % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
                 every, shard = every[order], shard[order]
                 cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
                 for a, b in zip(cuts, np.append(cuts[1:], len(shard)), strict=True):
-                    rows.append((int(shard[a]), True, None, 0, 0, 0, every[a:b].tobytes()))
+                    rows.append((int(shard[a]), _STARTS, None, 0, 0, 0, zstandard.compress(_columns(every[a:b]), 1)))
             if rows:
-                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
@@ -257,38 +273,79 @@ def _indexed(rows: list[tuple]) -> list[tuple]:
     return marks
 
 
-def _counted(packed: list[bytes]) -> list[tuple]:
-    """Marks of the starts whose digest comes more than once."""
-    every = np.concatenate([np.frombuffer(p, _HOT) for p in packed])
-    every = every[np.argsort(every["digest"], kind="stable")]
-    heads = np.flatnonzero(np.concatenate(([True], every["digest"][1:] != every["digest"][:-1])))
-    times = np.add.reduceat(every["copies"], heads)
-    again = np.repeat(times, np.diff(np.append(heads, len(every)))) > 1
-    own = every[again & (every["copies"] == 1)]
+def _columns(starts: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(starts[c]).tobytes() for c in _HOT.names)
+
+
+def _starts(body: bytes) -> np.ndarray:
+    n = len(body) // _HOT.itemsize
+    out, at = np.empty(n, _HOT), 0
+    for name in _HOT.names:
+        out[name] = np.frombuffer(body, _HOT[name], n, at)
+        at += n * _HOT[name].itemsize
+    return out
+
+
+def _by_digest(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts in order of their digests, first of each digest, and for each start whether its string comes again."""
+    starts = starts[np.lexsort((starts["check"], starts["digest"]))]
+    same = (starts["digest"][1:] == starts["digest"][:-1]) & (starts["check"][1:] == starts["check"][:-1])
+    heads = np.flatnonzero(np.concatenate(([True], ~same)))
+    again = np.repeat(np.add.reduceat(starts["copies"], heads) > 1, np.diff(np.append(heads, len(starts))))
+    return starts, heads, again
+
+
+def _ranges(starts: np.ndarray) -> list[tuple]:
+    """Marks of starts, those side by side as one."""
+    own = starts[np.lexsort((starts["place"], starts["key"], starts["doc"], starts["null"]))]
+    if not len(own):
+        return []
+    new = own["place"][1:] != own["place"][:-1] + 1
+    for name in ("doc", "key", "null"):
+        new |= own[name][1:] != own[name][:-1]
+    first = np.concatenate(([0], np.flatnonzero(new) + 1))
+    last = np.append(first[1:], len(own)) - 1
     return [
-        (None if null else doc, key, place, place + LENGTH)
-        for doc, key, place, null in zip(*(own[c].tolist() for c in ("doc", "key", "place", "null")), strict=True)
+        (None if null else doc, key, a, b + LENGTH)
+        for null, doc, key, a, b in zip(*(own[c][first].tolist() for c in ("null", "doc", "key", "place")), own["place"][last].tolist(), strict=True)
     ]
 
 
+def _spoken_for(starts: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    """One start per string, and marks of those whose string comes again among them; one that speaks for several has copies above one."""
+    starts, heads, again = _by_digest(starts)
+    known = _ranges(starts[again & (starts["copies"] == 1)])
+    own = starts[heads]
+    own["copies"] = np.where(again[heads], np.maximum(own["copies"], 2), own["copies"])
+    return own, known
+
+
+def _counted(packed: list[bytes]) -> list[tuple]:
+    """Marks of the starts whose digest comes more than once."""
+    starts, _, again = _by_digest(np.concatenate([_starts(zstandard.decompress(p)) for p in packed]))
+    return _ranges(starts[again & (starts["copies"] == 1)])
+
+
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by shard: the index over each shard's contexts, counts over its packed starts."""
-    shard, rows, packed = None, [], []
+    shard, rows, packed, known = None, [], [], []
 
     def close() -> Iterator[pa.RecordBatch]:
-        marks = (_indexed(rows) if rows else []) + (_counted(packed) if packed else [])
+        marks = (_indexed(rows) if rows else []) + (_counted(packed) if packed else []) + known
         if marks:
             columns = [pa.array(c, pa.int64()) for c in zip(*marks, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "start", "stop"])
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("shard", "hot", "doc_id", "key", "first", "copies", "body")]
-        for own, hot, doc_id, key, first, copies, body in zip(*columns, strict=True):
+        columns = [batch.column(c).to_pylist() for c in ("shard", "kind", "doc_id", "key", "first", "copies", "body")]
+        for own, kind, doc_id, key, first, copies, body in zip(*columns, strict=True):
             if own != shard:
                 yield from close()
-                shard, rows, packed = own, [], []
-            if hot:
+                shard, rows, packed, known = own, [], [], []
+            if kind == _STARTS:
                 packed.append(body)
+            elif kind == _KNOWN:
+                known.append((doc_id, key, first, copies))
             else:
                 rows.append((doc_id, key, (first, copies), body))
     yield from close()
@@ -298,14 +355,14 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """(doc_id, key, start, stop): byte ranges of `keyed` documents that repeated strings cover; they may overlap."""
     bodies = keyed(docs, doc_id, text)
     scanned = materialize(
-        bodies.mapInArrow(_scan, "doc_id long, key long, anchor long, context long, first long, last long"), "stretches"
+        bodies.mapInArrow(_scan, "doc_id long, key long, anchor long, context long, check long, first long, last long"), "stretches"
     )
     place = F.struct("doc_id", "key", "first", "last")
     kinds = materialize(
-        scanned.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("one")), "contexts"
+        scanned.groupBy("anchor", "context", "check").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("one")), "contexts"
     )
-    sure = kinds.where("copies > 1").select("anchor", "context")
-    whole = scanned.join(sure, ["anchor", "context"]).select(
+    sure = kinds.where("copies > 1").select("anchor", "context", "check")
+    whole = scanned.join(sure, ["anchor", "context", "check"]).select(
         "doc_id", "key", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop")
     )
 
@@ -324,7 +381,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     asked = bodies.join(wanted.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "wanted"),
                         F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).drop("_d", "_k")
     fetched = asked.mapInArrow(
-        _fetch(shards), "shard long, hot boolean, doc_id long, key long, first long, copies long, body binary"
+        _fetch(shards), "shard long, kind long, doc_id long, key long, first long, copies long, body binary"
     )
     marked = fetched.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_mark, _MARKS)
     return whole.unionByName(materialize(marked.select(*same, "start", "stop"), "marked"))

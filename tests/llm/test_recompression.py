@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridcast.llm import recompression
@@ -81,8 +83,22 @@ def test_empty_table(spark, docs_of, written):
     assert by_operator(spark, docs_of, written, []) == []
 
 
-def test_long_text_in_stretches_and_small_chunks(spark, docs_of, written, monkeypatch):
-    monkeypatch.setattr(recompression, "CHUNK_WORDS", 50)
+@pytest.mark.parametrize("size", [50, 64, 1000])
+def test_every_window_of_a_long_text_is_in_one_stretch(monkeypatch, size):
+    monkeypatch.setattr(recompression, "CHUNK_WORDS", size)
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randint(0, 4000)}" for _ in range(n)) for n in (3000, 19, 20, 21, 69, 70, 0)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts))), pa.array([5] * len(texts)), pa.array([t.encode() for t in texts])], ["doc_id", "print", "body"]
+    )
+    windows = Counter()
+    for out in recompression._anchor_rows(20, 2, 3)([batch]):
+        for r in out.to_pylist():
+            windows.update((r["doc_id"], p) for p in range(r["start"], r["start"] + r["n"]))
+    assert windows == Counter((i, p) for i, t in enumerate(texts) for p in range(len(t.split()) - 19))
+
+
+def test_long_text(spark, docs_of, written):
     rng = random.Random(9)
     long = [f"w{rng.randint(0, 4000)}" for _ in range(3000)]
     rows = [(1, " ".join(long)), (2, " ".join(long[500:900])), (3, " ".join(long[20:45] + ["z"] + long[2000:2300]))]

@@ -60,19 +60,50 @@ def test_equals_brute_force(spark, docs_of, written, monkeypatch, limits):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
 
 
-def test_long_documents_come_in_parts(monkeypatch):
+@pytest.mark.parametrize("weak", [False, True])
+def test_long_documents_come_in_parts(monkeypatch, weak):
+    """Equal digests of contexts mean equal bytes, also where the digests that pick anchors collide all the time."""
     monkeypatch.setattr(s, "STRETCH_BITS", 10)
+    if weak:
+        of = s.Digests.of
+        monkeypatch.setattr(s.Digests, "of", lambda self, a, b: of(self, a, b) & np.uint64(3 << 62))
     s._powers.cache_clear()
     data = " ".join(t or "" for t in corpus()).encode()
     seen = {}
     starts = []
-    for anchors, contexts, firsts, lasts in s.stretches(np.frombuffer(data, np.uint8)):
-        for anchor, context, a, b in zip(anchors.tolist(), contexts.tolist(), firsts.tolist(), lasts.tolist()):
+    for found in s.stretches(np.frombuffer(data, np.uint8)):
+        for anchor, context, check, a, b in zip(*(f.tolist() for f in found)):
             starts += range(a, b + 1)
-            assert seen.setdefault((anchor, context), data[a : b + 400]) == data[a : b + 400]
+            assert seen.setdefault((anchor, context, check), data[a : b + 400]) == data[a : b + 400]
     s._powers.cache_clear()
     assert starts == list(range(len(data) - 399))
 
 
+def test_one_start_speaks_for_those_of_its_batch():
+    rng = random.Random(8)
+    rows = []
+    for place in range(400):
+        digest = rng.randint(0, 90)
+        rows.append((digest, digest % 7, rng.choice([1, 2]), 5, place * rng.choice([1, 1, 3]), rng.choice([1, 1, 1, 2]), rng.random() < 0.1))
+    rows = list({(r[2], r[3], r[4], r[6]): r for r in rows}.values())
+    starts = np.array(rows, s._HOT)
+    times = Counter()
+    for d, c, *_, copies, _ in rows:
+        times[d, c] += copies
+    want = {(None if null else doc, key, place) for d, c, doc, key, place, copies, null in rows if times[d, c] > 1 and copies == 1}
+    got = []
+    for parts in ([starts], [starts[:150], starts[150:]]):
+        bodies, marks = [], []
+        for part in parts:
+            own, known = s._spoken_for(part)
+            assert len(own) == len({(r["digest"], r["check"]) for r in part})
+            assert (s._starts(s._columns(own)) == own).all()
+            bodies.append(s.zstandard.compress(s._columns(own)))
+            marks += known
+        marks += s._counted(bodies)
+        got.append({(doc, key, p) for doc, key, a, b in marks for p in range(a, b - s.LENGTH + 1)})
+    assert got == [want, want]
+
+
 def test_empty_table(spark, docs_of, written):
     assert RUNS["op10_suffix_array_dedup"](spark, written(documents=docs_of([]))).count() == 0
