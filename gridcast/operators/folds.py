@@ -141,9 +141,9 @@ def rows_at(df: DataFrame, order: Sequence[str], positions: Sequence[int], most:
     small, large = [], []
     while todo:
         low, high, before, size, asked = todo.pop()
-        within = F.col(first).isNull() if low is None else scale.between(low, high)
         if not asked:
             continue
+        within = F.col(first).isNull() if low is None else scale.between(low, high)
         if size is not None and size <= most:
             small.append((within, before))
         elif low == high:
@@ -152,7 +152,8 @@ def rows_at(df: DataFrame, order: Sequence[str], positions: Sequence[int], most:
             bins = df.where(within).groupBy(F.floor((scale - F.lit(low)) / -(-(high - low + 1) // BINS)).alias(bin_))
             counts = bins.agg(F.min(scale).alias("low"), F.max(scale).alias("high"), F.count(F.lit(1)).alias("n"))
             for own in sorted(counts.drop(bin_).collect()):  # a few more than BINS at most
-                todo.append((*own[:2], before, own["n"], [p for p in asked if before <= p < before + own["n"]]))
+                inside = [p for p in asked if before <= p < before + own["n"]]
+                todo += [(*own[:2], before, own["n"], inside)] if inside else []
                 before += own["n"]
 
     start = F.lit(None).cast("long")

@@ -12,7 +12,8 @@ looked up by a join. They tell of most keys that they are not stored, so that a
 the months of its possible repeats only. A month of many parts is merged into one by the next
 publication that touches it, so the number of its files stays bounded however many batches come.
 
-One writer at a time; readers are not counted.
+One writer at a time; readers are not counted. A `Store` sees what was published when it was first
+asked, and what it publishes itself; `refresh` makes it look again.
 """
 
 from __future__ import annotations
@@ -88,10 +89,19 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._known: tuple[int, list[Part], list[str]] | None = None
 
     # --- what is published -----------------------------------------------------------------
 
+    def refresh(self) -> None:
+        self._known = None
+
     def _manifest(self) -> tuple[int, list[Part], list[str]]:
+        if self._known is None:
+            self._known = self._newest()
+        return self._known
+
+    def _newest(self) -> tuple[int, list[Part], list[str]]:
         """Number, parts and tokens (oldest first) of the newest whole manifest."""
         newest = (0, [], [])
         for slot in (0, 1):
@@ -150,7 +160,9 @@ class Store:
                 gone = set(replaced)
                 parts = [p for p in parts if p.name != change.name or (p.year, p.month) not in gone]
             parts = [*parts, *written]
-        self._switch(number + 1, parts, [*tokens, token][-MAX_TOKENS:])
+        tokens = [*tokens, token][-MAX_TOKENS:]
+        self._switch(number + 1, parts, tokens)
+        self._known = (number + 1, parts, tokens)
 
     def _switch(self, number: int, parts: Sequence[Part], tokens: Sequence[str]) -> None:
         """Make the parts of this number the published ones, by one file."""

@@ -387,10 +387,10 @@ def landings(spark, sf_dir):
 )
 def landed_series(spark, sf_dir):
     store = Store(spark, scratch_path(spark, "store"))
-    for number, landing in enumerate(landings(spark, sf_dir)):
-        for again in range(2):  # every landing is taken in, and then again as after a lost answer
-            for feed, documents in landing:
-                take_in(store, feed, documents, f"{feed.name}-{number}-{again}", keys=KEYS)
+    first, second = landings(spark, sf_dir)
+    for number, landing in enumerate([first, second, second]):  # the last one again, as after a lost answer
+        for feed, documents in landing:
+            take_in(store, feed, documents, f"{feed.name}-{number}", keys=KEYS)
     share = series(store, GENERATION).select("event_type", "datetime", F.col("wind_perc").alias("value"))
     speed = series(store, PAST_WEATHER).select("event_type", "datetime", F.col("wind_speed_10m").alias("value"))
     return share.select(F.lit("generation").alias("feed"), "*").unionByName(speed.select(F.lit("past_weather").alias("feed"), "*"))
