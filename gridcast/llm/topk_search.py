@@ -7,7 +7,8 @@ leaves; every node has the tight box of its rows. A query is first searched in i
 kth score found there goes with it to the other shards, whose cells' boxes could hold an equal or
 better score; there the tree is walked best box first, and ends at boxes below the kth score.
 
-Queries meet shards in blocks: a task holds one shard and one block of queries, never all of either.
+Queries meet shards in blocks: a task holds one shard and one block of the queries that ask it, never
+all of either. A shard is copied once per such block, so not at all where nothing asks it.
 """
 
 from __future__ import annotations
@@ -93,6 +94,14 @@ class Tree:
         return [(int(score), int(i)) for score, i in best]
 
 
+def in_blocks(asked: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with `block`: a shard's queries in as many blocks as their number needs, its rows once for each."""
+    sizes = asked.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("_blocks"))
+    own = asked.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("row"), F.col("_blocks")).cast("int"))
+    copies = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    return own.drop("_blocks"), held.join(sizes, "shard").withColumn("block", copies).drop("_blocks")
+
+
 def box_bounds(low: np.ndarray, high: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Largest inner product that any vector of each box can have with the query."""
     zero = query * 0
@@ -178,23 +187,21 @@ def top_k(
             {"dim": part["dim"].iloc[:1], "cell": part["cell"].iloc[:1], "low": [v.min(axis=0)], "high": [v.max(axis=0)]}
         )
 
-    parts = placed.groupBy("shard").applyInPandas(boxes, "dim int, cell long, low array<long>, high array<long>")
-    found = parts.toPandas()  # one row per shard
+    def joined(part: pd.DataFrame) -> pd.DataFrame:
+        low, high = _matrix(part["low"]).min(axis=0), _matrix(part["high"]).max(axis=0)
+        return pd.DataFrame({"dim": part["dim"].iloc[:1], "cell": part["cell"].iloc[:1], "low": [low], "high": [high]})
+
+    shape = "dim int, cell long, low array<long>, high array<long>"
+    found = placed.groupBy("shard").applyInPandas(boxes, shape).groupBy("dim", "cell").applyInPandas(joined, shape)
     known_boxes = {}
-    for (dim, cell), own in found.groupby(["dim", "cell"]):
-        known_boxes.setdefault(int(dim), []).append(
-            (int(cell), _matrix(own["low"]).min(axis=0), _matrix(own["high"]).max(axis=0))
-        )
+    for row in found.toPandas().itertuples(index=False):  # one row per cell
+        known_boxes.setdefault(int(row.dim), []).append((int(row.cell), np.asarray(row.low), np.asarray(row.high)))
     salts = {(r["dim"], r["cell"]): r["salts"] for r in sizes.collect()}  # one row per cell
     shared = spark.sparkContext.broadcast((known_boxes, salts))
 
     queries = placed.where(is_query)
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
-    asked = queries.select(F.col("vec_id").alias("query_id"), "row", "dim", "v", "shard", "cell", block.alias("block"))
-    home = asked.withColumn("kth", F.lit(None).cast("long")).drop("dim", "cell")
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    candidates = placed.select("shard", "vec_id", "v", every_block)
+    asked = queries.select(F.col("vec_id").alias("query_id"), "row", "dim", "v", "shard", "cell")
+    home = materialize(asked.withColumn("kth", F.lit(None).cast("long")).drop("dim", "cell"), "asked")
 
     def search(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -208,7 +215,9 @@ def top_k(
         return pd.DataFrame(out, columns=["query_id", "row", "vec_id", "score"])
 
     def searched(asked: DataFrame) -> DataFrame:
-        groups = asked.groupBy("shard", "block").cogroup(candidates.groupBy("shard", "block"))
+        """Results of queries in the shards they ask; `asked` is a written table."""
+        own, held = in_blocks(asked, placed.select("shard", "vec_id", "v"))
+        groups = own.groupBy("shard", "block").cogroup(held.groupBy("shard", "block"))
         return groups.applyInPandas(search, "query_id long, row long, vec_id long, score long")
 
     near = materialize(searched(home), "home")
@@ -230,14 +239,14 @@ def top_k(
                     for n in range(salts[row.dim, cell[at]]):
                         target = f"{row.dim}:{cell[at]}:{n}"
                         if target != row.shard:
-                            out.append((row.query_id, row.row, row.v, row.block, target, row.kth))
-            yield pd.DataFrame(out, columns=["query_id", "row", "v", "block", "shard", "kth"])
+                            out.append((row.query_id, row.row, row.v, target, row.kth))
+            yield pd.DataFrame(out, columns=["query_id", "row", "v", "shard", "kth"])
 
     kth = near.groupBy("row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
     going = asked.drop("cell").join(kth, "row", "left").mapInPandas(
-        elsewhere, "query_id long, row long, v array<long>, block int, shard string, kth long"
+        elsewhere, "query_id long, row long, v array<long>, shard string, kth long"
     )
-    both = near.unionByName(searched(going))
+    both = near.unionByName(searched(materialize(going, "going")))
     ranked = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return both.withColumn("rank", ranked).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -246,12 +255,12 @@ def top_k(
     "op8_exact_topk",
     """
     WITH v AS (
-      SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v, len(embedding) AS dim
+      SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v, len(embedding) AS dim
       FROM embeddings
       WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
     ), s AS (
-      SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::BIGINT AS score
+      SELECT q.vec_id AS query_id, c.vec_id, list_sum([p[1] * p[2] for p in list_zip(q.v, c.v)])::BIGINT AS score
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND q.dim = c.dim
     ), r AS (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s

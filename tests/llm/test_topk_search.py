@@ -65,3 +65,13 @@ def test_search_skips_boxes_below_the_kth_score():
     scores = vectors @ np.array([1.0, 2.0, 3.0, 4.0])
     assert [-s for s, _ in best] == sorted(scores.astype(int).tolist(), reverse=True)[:5]
     assert len(reads) < 40
+
+
+def test_rows_are_dealt_to_the_blocks_that_ask_them(spark, monkeypatch):
+    monkeypatch.setattr(t, "BLOCK_QUERIES", 3)
+    asked = spark.createDataFrame([("a", i) for i in range(7)] + [("b", 7)], "shard string, row long")
+    held = spark.createDataFrame([(s, i) for s in "abcd" for i in range(10)], "shard string, vec_id long")
+    own, dealt = t.in_blocks(asked, held)
+    copies = {(r.shard, r.vec_id): r["count"] for r in dealt.groupBy("shard", "vec_id").count().collect()}
+    assert copies == {**{("a", i): 3 for i in range(10)}, **{("b", i): 1 for i in range(10)}}  # c and d are not asked
+    assert own.count() == 8 and own.join(dealt, ["shard", "block"], "left_anti").isEmpty()
