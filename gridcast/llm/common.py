@@ -39,14 +39,27 @@ HEAVY_KEYS = 1000
 HEAVY_ROWS = 100_000
 
 
-def lookup(rows: DataFrame, found: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def lookup(
+    rows: DataFrame,
+    found: DataFrame,
+    key: str,
+    how: str = "inner",
+    total: int | None = None,
+    counted: DataFrame | None = None,
+) -> DataFrame:
     """`rows` joined with the one row of `found` for their `key`, also where few keys hold most rows.
 
-    Heavy keys are counted first. There are at most HEAVY_KEYS of them, so their rows of `found` are
-    broadcast and the rows of such a key stay where they are; all others meet by shuffle.
+    Heavy keys are counted first, but for tables too small to have one. There are at most HEAVY_KEYS
+    of them, so their rows of `found` are broadcast and the rows of such a key stay where they are;
+    all others meet by shuffle. A caller that knows them gives the number of rows (`total`, or more)
+    and the rows per key (`counted`: key, count).
     """
-    limit = max(HEAVY_ROWS, rows.count() // HEAVY_KEYS)
-    heavy = rows.groupBy(key).count().where(F.col("count") > limit).select(key).collect()
+    total = rows.count() if total is None else total
+    if total <= HEAVY_ROWS:
+        return rows.join(found, key, how)
+    limit = max(HEAVY_ROWS, total // HEAVY_KEYS)
+    counts = rows.groupBy(key).count() if counted is None else counted
+    heavy = counts.where(F.col("count") > limit).select(key).collect()
     if not heavy:
         return rows.join(found, key, how)
     spark = rows.sparkSession

@@ -16,13 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import folded, materialize
+from gridcast.llm.common import HEAVY_KEYS, folded, lookup, materialize
 from gridcast.llm.registry import register, table
 
 #: Digests of one filter; the number of buckets follows from it and the rows of the snapshot.
 BUCKET_KEYS = 50_000
-#: Parts that the copies of one text are dealt into for the byte check.
-SALTS = 16
+#: Copies of one text whose bytes are checked in one task; texts with more are dealt into parts.
+COPIES = 10_000
 _MAX_SEEDS = 64
 
 
@@ -138,60 +138,67 @@ def seal(rows: DataFrame) -> Snapshot:
     return Snapshot(entries.drop("key"), materialize(filters, "snapshot-filters"), buckets)
 
 
-def screened(batch: DataFrame, snapshot: Snapshot) -> DataFrame:
-    """Grouped batch with `maybe`: whether the snapshot's filter of the bucket holds the digest."""
+def screened(batch: DataFrame, snapshot: Snapshot, rows: int | None = None) -> DataFrame:
+    """Grouped batch with `maybe`: whether the snapshot's filter of the bucket holds the digest.
+
+    Buckets follow the snapshot's size. Where the batch (`rows` of it at most) is the larger side, the
+    digests of a bucket are dealt into parts of about BUCKET_KEYS, and its filter is sent to each part.
+    """
+    rows = batch.count() if rows is None else rows
+    parts = max(1, -(-rows // (snapshot.buckets * BUCKET_KEYS)))
 
     def probe(keys: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         hits = np.zeros(len(keys), bool)
         if len(own) and len(keys):
             one = own.iloc[0]
             hits = in_filter(keys["key"].to_numpy().astype(np.uint64), int(one["keys"]), int(one["seed"]), one["cells"])
-        return keys.drop(columns=["key", "bucket"]).assign(maybe=hits)
+        return keys.drop(columns=["key", "part"]).assign(maybe=hits)
 
+    dealt = _bucketed(batch, snapshot.buckets).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")).alias("part")
     return (
-        _bucketed(batch, snapshot.buckets)
-        .groupBy("bucket")
-        .cogroup(snapshot.filters.groupBy("bucket"))
-        .applyInPandas(probe, "sha string, n long, keep_id long, maybe boolean")
+        dealt.groupBy("bucket", "part")
+        .cogroup(snapshot.filters.select("*", part).groupBy("bucket", "part"))
+        .applyInPandas(probe, "sha string, n long, keep_id long, bucket long, maybe boolean")
     )
 
 
-def merged_groups(batch_rows: DataFrame, snapshot: Snapshot) -> DataFrame:
-    """(sha, n, keep_id) over snapshot and batch: only positives meet the snapshot's entries."""
-    batch = materialize(screened(_groups(batch_rows), snapshot), "screened")
-    entries = snapshot.entries.drop("bucket")
-    found = (
-        batch.where("maybe")
-        .select("sha", F.col("n").alias("more"), F.col("keep_id").alias("new_id"))
-        .join(entries, "sha")
-    )
-    found = materialize(
-        found.select("sha", (F.col("n") + F.col("more")).alias("n"), F.greatest("keep_id", "new_id").alias("keep_id")),
-        "found",
-    )
-    known = found.select("sha")
-    fresh = batch.where(~F.col("maybe")).drop("maybe").unionByName(
-        batch.where("maybe").drop("maybe").join(known, "sha", "left_anti")
+def merged_groups(batch_rows: DataFrame, snapshot: Snapshot, rows: int | None = None) -> DataFrame:
+    """(sha, n, keep_id) over snapshot and batch: only positives meet the entries, those of their bucket."""
+    batch = materialize(screened(_groups(batch_rows), snapshot, rows), "screened")
+    maybe, entries = batch.where("maybe").drop("maybe"), snapshot.entries
+    found = maybe.select("bucket", "sha", F.col("n").alias("more"), F.col("keep_id").alias("new_id")).join(
+        entries, ["bucket", "sha"]
     )
-    return found.unionByName(fresh).unionByName(entries.join(known, "sha", "left_anti"))
+    n, keep = (F.col("n") + F.col("more")).alias("n"), F.greatest("keep_id", "new_id").alias("keep_id")
+    found = materialize(found.select("bucket", "sha", n, keep), "found")
+    known = found.select("bucket", "sha")
+    fresh = batch.where(~F.col("maybe")).drop("maybe").unionByName(maybe.join(known, ["bucket", "sha"], "left_anti"))
+    rest = entries.join(known, ["bucket", "sha"], "left_anti")
+    return found.unionByName(fresh).unionByName(rest).drop("bucket")
 
 
-def _differing(docs: DataFrame, groups: DataFrame, text: str) -> DataFrame:
+def _differing(docs: DataFrame, groups: DataFrame, text: str, rows: int) -> DataFrame:
     """Digests whose rows are not byte for byte the same (a SHA-256 collision).
 
-    Least and greatest text of a digest are found in salted parts and combined on the map side, so
-    that the copies of one text, however many, never meet in one task.
+    Least and greatest text of a digest are combined on the map side. A digest with very many copies
+    is dealt into parts, as many as its count asks for, so that its copies never meet in one task; at
+    most HEAVY_KEYS digests hold that large a share of the rows, so their parts are broadcast.
     """
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
-    texts = docs.select(folded(text).alias("body"), salt).withColumn("sha", F.sha2("body", 256))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("salt")
-    repeated = groups.where("n > 1").select("sha", salts)
-    parts = (
-        texts.join(repeated, ["sha", "salt"], "left_semi")
+    limit = max(COPIES, rows // HEAVY_KEYS)
+    parts = F.when(F.col("n") > limit, F.ceil(F.col("n") / COPIES)).otherwise(1).cast("long").alias("parts")
+    repeated = groups.where("n > 1").select("sha", parts)
+    many = F.broadcast(repeated.where("parts > 1"))
+    texts = docs.select("doc_id", folded(text).alias("body")).withColumn("sha", F.sha2("body", 256))
+    salt = F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).alias("salt")
+    texts = texts.join(many, "sha", "left").select("sha", salt, "body")
+    salts = repeated.select("sha", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    ends = (
+        texts.join(salts, ["sha", "salt"], "left_semi")
         .groupBy("sha", "salt")
         .agg(F.min("body").alias("low"), F.max("body").alias("high"))
     )
-    spread = parts.groupBy("sha").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    spread = ends.groupBy("sha").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     return spread.where("low != high").select("sha")
 
 
@@ -201,20 +208,23 @@ def exact_groups(docs: DataFrame, arrived: DataFrame | None = None, doc_id: str
     `docs` is sealed as a snapshot, `arrived` is the batch that is screened against it. Equal are
     texts that agree after lower-casing A-Z; the largest id stays. A null text counts as empty. A
     null id loses to any other; a group of null ids only has a null keep_id and keeps its rows.
-    Rows that repeat an id with the same text are one document and share its fate. Other columns
-    are ignored. No rows give no rows.
+    Rows that repeat an id with the same text are one document and share its fate. Ids are whole
+    numbers. Texts are read whole whatever their length. Other columns are ignored. No rows give no rows.
     """
     if arrived is None:
         arrived = docs.limit(0)
     old = materialize(digests(docs, doc_id, text), "digests")
     new = materialize(digests(arrived, doc_id, text), "digests")
-    groups = materialize(merged_groups(new, seal(old)), "groups")
+    more = new.count()
+    total = old.count() + more
+    groups = materialize(merged_groups(new, seal(old), more), "groups")
 
     both = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).unionByName(
         arrived.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     )
-    differing = materialize(_differing(both, groups, "text"), "differing")
-    rows = old.unionByName(new).join(groups, "sha")
+    differing = materialize(_differing(both, groups, "text", total), "differing")
+    counted = groups.select("sha", F.col("n").alias("count"))
+    rows = lookup(old.unionByName(new), groups, "sha", total=total, counted=counted)
     if not differing.isEmpty():  # same digest, other bytes: those digests are grouped by their bytes
         exact = both.select("doc_id", folded("text").alias("body")).withColumn("sha", F.sha2("body", 256))
         exact = exact.join(differing, "sha", "left_semi")
@@ -251,7 +261,7 @@ def arrivals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
       FROM documents
     )
     SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-           doc_id = max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
+           doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
     FROM t WINDOW w AS (PARTITION BY body)
     """,
 )

@@ -53,6 +53,30 @@ def test_positives_only_meet_the_entries(spark, docs_of):
     assert 20 <= screened.where("maybe").count() < 60
 
 
+@pytest.mark.parametrize("old", [0, 40])
+def test_large_batch_and_one_text_in_half_of_all_rows(docs_of, monkeypatch, old):
+    """Buckets of two digests: the batch is dealt into many parts, the hot text into many tasks."""
+    monkeypatch.setattr(e, "BUCKET_KEYS", 2)
+    monkeypatch.setattr(e, "COPIES", 3)
+    monkeypatch.setattr(e, "HEAVY_KEYS", 10)
+    monkeypatch.setattr("gridcast.llm.common.HEAVY_ROWS", 5)
+    rows = ROWS + [(100 + i, "hot text" if i % 2 else f"text {i % 60}") for i in range(200)]
+    got = e.exact_groups(docs_of(rows[:old]), docs_of(rows[old:])).collect()
+    assert sorted(map(tuple, got), key=str) == plain(rows)
+    monkeypatch.setattr(e.F, "sha2", lambda column, bits: e.F.lit("same"))
+    got = e.exact_groups(docs_of(rows[:old]), docs_of(rows[old:])).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=str) == sorted((r[:4] for r in plain(rows)), key=str)
+
+
+def test_every_part_of_a_batch_meets_the_filter(docs_of, monkeypatch):
+    old = docs_of([(i, f"old {i}") for i in range(30)])
+    new = docs_of([(1000 + i, f"old {i}" if i < 30 else f"new {i}") for i in range(400)])
+    snapshot = e.seal(e.digests(old))
+    monkeypatch.setattr(e, "BUCKET_KEYS", 10)
+    screened = e.screened(e._groups(e.digests(new)), snapshot)
+    assert screened.count() == 400 and 30 <= screened.where("maybe").count() < 60
+
+
 def test_deduplicate_keeps_columns(docs_of):
     docs = docs_of([(1, "A", "en", "s"), (2, "a", None, None), (3, None), (None, "b"), (None, "B")])
     kept = e.deduplicate(docs)
