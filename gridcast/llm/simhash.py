@@ -9,6 +9,10 @@ Exact copies share a fingerprint and enter once. Where a table entry gathers man
 all their pairs are put out: a task keeps what is linked already in a union-find forest, compares a
 fingerprint only with those not yet in its component, and puts out the forest, at most one link per
 fingerprint. Components are then found by alternating star contractions, all as joins and sums.
+
+Segment values are counted before the tables are filled. A value that holds very many fingerprints
+is cut into blocks of entries and pieces of the rows that look there; every block meets every piece
+in a task of its own.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcast.llm.common import materialize, partitions_for
+from gridcast.llm.common import lookup, materialize, partitions_for
 from gridcast.llm.registry import register, table
 
 SHINGLE_WORDS = 4
@@ -35,6 +39,10 @@ BITS = 64
 PLAIN_PAIRS = 1 << 14
 #: Components of a large entry whose outsiders are remembered.
 KEPT_LISTS = 8
+#: Entries, and other rows, of one segment value that one task compares; values with more are cut into blocks.
+BLOCK = 1 << 16
+#: Values that may count as heavy: each holds more than this share of the fingerprints.
+HEAVY_VALUES = 1000
 #: Probe rows per shuffle partition.
 PARTITION_ROWS = 4_000_000
 #: Shingles hashed at once.
@@ -168,44 +176,120 @@ def _link_group(keys: np.ndarray, fps: np.ndarray, entries: np.ndarray, distance
         _link_large(fps[part][entries[part]], fps[part], distance, forest)
 
 
+def _blocks(values: np.ndarray, counts: np.ndarray, segments: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Table keys that heavy values fill or probe, ascending, with their blocks of entries and pieces of other rows.
+
+    `counts` says how many fingerprints have each of the heavy `values` (segment << 40 | own value).
+    """
+    held, asked = dict(zip(values.tolist(), counts.tolist(), strict=True)), {}
+    for value, n in held.items():
+        tag, own = value >> 40 << 40, value & ((1 << 40) - 1)
+        width = _segments(segments)[value >> 40][1]
+        for flips in range(radius + 1):
+            for bits in combinations(range(width), flips):
+                key = (own ^ sum(1 << b for b in bits)) | tag
+                asked[key] = asked.get(key, 0) + n
+    keys = sorted(asked)
+    return (
+        np.array(keys, np.uint64),
+        np.array([-(-held.get(k, 1) // BLOCK) for k in keys], np.int64),
+        np.array([-(-asked[k] // BLOCK) for k in keys], np.int64),
+    )
+
+
+def _dealt(
+    keys: np.ndarray, fps: np.ndarray, entry: int, heavy: tuple[np.ndarray, np.ndarray, np.ndarray]
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Keys, slots, fingerprints and whether they are entries. Rows of a heavy key meet as blocks x pieces.
+
+    An entry goes to all pieces of its block, any row to all blocks of its piece, so that each entry
+    meets each row of its key in exactly one slot. Keys that are not heavy have the one slot 0.
+    """
+    names, blocks, pieces = heavy
+    if not len(names):
+        yield keys, np.zeros(len(keys), np.int64), fps, bool(entry)
+        return
+    at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+    hot = names[at] == keys
+    yield keys[~hot], np.zeros(int((~hot).sum()), np.int64), fps[~hot], bool(entry)
+    keys, fps, at = keys[hot], fps[hot], at[hot]
+    spread = (fps * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    b, p = blocks[at], pieces[at]
+    block, piece = (spread % b.astype(np.uint64)).astype(np.int64), (spread // b.astype(np.uint64) % p.astype(np.uint64)).astype(np.int64)
+
+    def repeated(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.repeat(np.arange(len(times)), times)
+        return rows, np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
+
+    if entry:
+        rows, other = repeated(p)
+        yield keys[rows], block[rows] * p[rows] + other, fps[rows], True
+    rows, other = repeated(b)
+    yield keys[rows], other * p[rows] + piece[rows], fps[rows], False
+
+
 def links(distinct: DataFrame, rows: int, distance: int = MAX_DISTANCE, segments: int = SEGMENTS) -> DataFrame:
     """Links (a, b) that connect the same fingerprints as all pairs within `distance` bits do.
 
-    `distinct` has each fingerprint once as `fp`; `rows` is their number.
+    `distinct` has each fingerprint once as `fp`; `rows` is their number. Segment values are counted
+    first: those that hold more than a block (and more than one in HEAVY_VALUES of all) are compared
+    in blocks, by many tasks.
     """
     radius = distance // segments
+    limit = max(BLOCK, rows // HEAVY_VALUES)
+    heavy = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if rows > limit:
+        values = F.array(*(
+            F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(number << 40))
+            for number, (low, width) in enumerate(_segments(segments))
+        ))
+        counted = distinct.select(F.explode(values).alias("value")).groupBy("value").count().where(F.col("count") > limit)
+        found = counted.collect()  # at most segments * HEAVY_VALUES rows
+        if found:
+            heavy = _blocks(np.array([r["value"] for r in found]), np.array([r["count"] for r in found]), segments, radius)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for keys, own, entry in _probes(fp, segments, radius):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(own.view(np.int64)), pa.array(np.full(len(own), bool(entry)))],
-                    ["key", "fp", "entry"],
-                )
+            for keys, fps, entry in _probes(fp, segments, radius):
+                for key, slot, own, is_entry in _dealt(keys, fps, entry, heavy):
+                    columns = [key.view(np.int64), slot, own.view(np.int64), np.full(len(own), is_entry)]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["key", "slot", "fp", "entry"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, rest = _Forest(), None
+        forest, held = _Forest(), []  # held: parts of the last key and slot, joined once they are complete
+
+        def settle(parts: list[list[np.ndarray]]) -> None:
+            group, fps, entries = (np.concatenate(x) for x in zip(*parts, strict=True))
+            _link_group(group, fps, entries, distance, forest)
+
+        ends = None  # key and slot that the last batch ended with, and their number in this task
         for batch in batches:
-            part = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)]
-            part.append(batch.column(2).to_numpy(zero_copy_only=False))
-            if rest is not None:
-                part = [np.concatenate(two) for two in zip(rest, part, strict=True)]
-            if not len(part[0]):
+            key, slot, fps = (batch.column(i).to_numpy() for i in range(3))
+            entries = batch.column(3).to_numpy(zero_copy_only=False)
+            if not len(key):
                 continue
-            whole = np.searchsorted(part[0], part[0][-1])  # the last key may go on in the next batch
+            number = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (slot[1:] != slot[:-1])))).astype(np.int64)
+            if ends is not None:
+                number += ends[1] + (ends[0] != (key[0], slot[0]))
+            ends = ((key[-1], slot[-1]), number[-1])
+            part, whole = [number, fps.view(np.uint64), entries], np.searchsorted(number, number[-1])
             if whole:
-                _link_group(*(x[:whole] for x in part), distance, forest)
-            rest = [x[whole:] for x in part]
-        if rest is not None and len(rest[0]):
-            _link_group(*rest, distance, forest)
+                settle([*held, [x[:whole] for x in part]])
+                held = []
+            elif held and held[-1][0][-1] != number[0]:
+                settle(held)
+                held = []
+            held.append([x[whole:] for x in part])
+        if held:
+            settle(held)
         found = np.array(forest.links, np.uint64).reshape(-1, 2).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
 
     per_row = segments + sum(len(list(combinations(range(w), f))) for _, w in _segments(segments) for f in range(1, radius + 1))
     parts = partitions_for(distinct, rows * per_row, PARTITION_ROWS)
-    dealt = distinct.select("fp").mapInArrow(probe, "key long, fp long, entry boolean").repartition(parts, "key")
-    return dealt.sortWithinPartitions("key").mapInArrow(link, "a long, b long")
+    dealt = distinct.select("fp").mapInArrow(probe, "key long, slot long, fp long, entry boolean").repartition(parts, "key", "slot")
+    return dealt.sortWithinPartitions("key", "slot").mapInArrow(link, "a long, b long")
 
 
 # --- Components ------------------------------------------------------------------------------------
@@ -216,18 +300,19 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
     Large-star and small-star steps in turn: every node passes on the least node it knows, first to
     its greater neighbours, then to its smaller ones. Each step is a minimum per node, combined on
-    the map side, and a join; no list of neighbours is ever gathered. Ends when a round changes nothing.
+    the map side, and a join, in which the links of a node with very many stay where they are; no list
+    of neighbours is ever gathered. Ends when a round changes nothing.
     """
     pairs = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = materialize(pairs, label)
-    before = None
+    size, before = pairs.count(), None
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = lookup(both, least, "a", total=2 * size).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a != b").distinct()
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        met = large.join(small_least, "a")
+        met = lookup(large, small_least, "a", total=2 * size)
         small = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(met.select("a", F.col("m").alias("b")))
         pairs = materialize(small.where("a != b").distinct(), label)
         size, total = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -257,7 +342,7 @@ def near_groups(
     named = materialize(named, "roots")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = named.join(least, "root").select("fp", "component_id")
-    return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return lookup(marked, labels, "fp").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE) -> DataFrame:

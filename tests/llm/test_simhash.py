@@ -104,6 +104,65 @@ def test_links_connect_what_all_pairs_connect(spark, monkeypatch, plain_pairs):
     assert len(places) == len(fps)
 
 
+def connected(pairs):
+    """Least member per node, of links."""
+    label = {}
+    for a, b in pairs:
+        for x in (a, b):
+            label.setdefault(x, x)
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        label[max(x, y)] = min(x, y)
+    return {x: root(x) for x in label}
+
+
+@pytest.mark.parametrize("block", [3, 50, 1 << 16])
+def test_one_segment_value_in_all_fingerprints(spark, monkeypatch, block):
+    """The lowest 21 bits are the same in 300 of 400 rows, so every block of a hot value meets every piece."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)  # keys go on over several batches
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fps = set()
+    for i in range(400):
+        fp = int(base[i % 40]) ^ sum(1 << int(b) for b in rng.choice(np.arange(21, 63), i % 6, replace=False))
+        fps.add(fp >> 21 << 21 | 0x1234 if i < 300 else fp)
+    fps = sorted(fps)
+    near = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 4]
+    distinct = spark.createDataFrame([(f,) for f in fps], "fp long")
+    try:
+        got = [tuple(r) for r in simhash.links(distinct, len(fps)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(min(p), max(p)) for p in got} <= set(near)
+    assert connected(got) == connected(near)
+
+
+def test_every_entry_meets_every_row_of_a_hot_value_once():
+    fps = np.arange(200, dtype=np.uint64) << np.uint64(21)
+    heavy = (np.array([0], np.uint64), np.array([4]), np.array([3]))
+    slots = {}
+    for _, slot, own, entry in simhash._dealt(np.zeros(200, np.uint64), fps, 1, heavy):
+        for s, f in zip(slot.tolist(), own.tolist(), strict=True):
+            slots.setdefault(s, ([], []))[not entry].append(f)
+    met = [(a, b) for entries, rows in slots.values() for a in entries for b in rows]
+    assert len(met) == len(set(met)) == 200 * 200
+    assert max(len(e) for e, _ in slots.values()) < 100
+
+
+def test_components_around_a_hot_node(spark, monkeypatch):
+    monkeypatch.setattr("gridcast.llm.common.HEAVY_ROWS", 10)
+    edges = [(0, i) for i in range(1, 60)] + [(500, i) for i in range(40, 90)] + [(1000, 1001)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == connected(edges)
+
+
 def test_components_of_a_long_path(spark):
     order = list(range(60))
     random.Random(2).shuffle(order)
