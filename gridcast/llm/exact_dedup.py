@@ -194,7 +194,7 @@ def _differing(docs: DataFrame, groups: DataFrame, text: str, rows: int) -> Data
     texts = texts.join(many, "sha", "left").select("sha", salt, "body")
     salts = repeated.select("sha", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
     ends = (
-        texts.join(salts, ["sha", "salt"], "left_semi")
+        texts.join(salts.hint("merge"), ["sha", "salt"], "left_semi")  # repeated digests grow with the table
         .groupBy("sha", "salt")
         .agg(F.min("body").alias("low"), F.max("body").alias("high"))
     )
