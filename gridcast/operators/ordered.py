@@ -222,6 +222,47 @@ def carry(
     return carried.where(real).select(*(f"`{c}`" for c in df.columns), *new)
 
 
+def running_sums(
+    df: DataFrame,
+    order: Sequence[str],
+    column: str,
+    upto: str,
+    after: str,
+    chunk_rows: int = CHUNK_ROWS,
+    tie: str | None = None,
+    unique: bool = False,
+) -> DataFrame:
+    """Add the sum of `column` over all rows up to each one, itself included, and over all rows after it.
+
+    `upto` and `after` name the new columns; as in Spark, NULLs add nothing and a sum of no values is
+    NULL. Every chunk is summed once; within it, both sums run as growing frames, the one after a row over
+    the reversed order. `tie` and `unique` are those of `ordered_rows`.
+    """
+    number, chunk, before, behind = spare([*df.columns, upto, after], "_row", "_chunk", "_before", "_behind")
+    indexed = ordered_rows(df, order, number, tie, unique)
+    rows = indexed.df.withColumn(chunk, F.expr(f"`{number}` DIV {chunk_rows}"))
+    first, summed = Window.unboundedPreceding, F.sum(F.col(f"`{column}`"))
+    sums = rows.groupBy(chunk).agg(summed.alias(before))  # one row per chunk
+    sums = sums.select(
+        chunk,
+        F.sum(before).over(Window.orderBy(chunk).rowsBetween(first, -1)).alias(before),
+        F.sum(before).over(Window.orderBy(F.desc(chunk)).rowsBetween(first, -1)).alias(behind),
+    )
+    few = indexed.total // chunk_rows < SENT_CHUNKS
+    within = Window.partitionBy(chunk)
+    rows = rows.withColumns(
+        {
+            after: summed.over(within.orderBy(F.desc(number)).rowsBetween(first, -1)),
+            upto: summed.over(within.orderBy(number).rowsBetween(first, 0)),
+        }
+    ).join(F.broadcast(sums) if few else sums, chunk)
+    joined = {
+        out: F.coalesce(F.col(out) + F.col(others), F.col(out), F.col(others)).alias(out)
+        for out, others in ((upto, before), (after, behind))
+    }
+    return rows.select(*(f"`{c}`" for c in df.columns), *joined.values())
+
+
 def _carried(df, keys, order, forward, backward) -> DataFrame:
     start = Window.unboundedPreceding
     # The ascending sort comes last: a later window over the same order can reuse it.

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +11,7 @@ from gridcast.functions.metrics import rmse
 from gridcast.functions.scalars import parse_utc
 from gridcast.operators.columns import ensure_columns, without
 from gridcast.operators.merge import append_unseen
+from gridcast.operators.ordered import running_sums
 from gridcast.operators.ranges import closed_days
 from gridcast.plans.features import features_for
 from gridcast.schemas import GENERATION_DOCUMENT, HOLDOUT_METRICS, struct
@@ -336,10 +336,8 @@ def time_log(spark, sf_dir):
     """A clock over the events per user, in milliseconds, written and read back as a remaining-time log."""
     path = scratch_path(spark, "times")
     took = events(spark, sf_dir).groupBy(F.col("user_id").alias("iter")).agg((1000 * F.count(F.lit(1))).alias("took"))
-    so_far = Window.orderBy("iter")  # one row per user
-    behind = so_far.rowsBetween(1, Window.unboundedFollowing)
-    left = F.coalesce(F.sum("took").over(behind), F.lit(0))
-    log = took.select("iter", F.sum("took").over(so_far).alias("Passed"), left.alias("Remaining"))
+    summed = running_sums(took, ["iter"], "took", "Passed", "Remaining", unique=True)  # one row per user
+    log = summed.select("iter", "Passed", F.coalesce("Remaining", F.lit(0)).alias("Remaining"))
     log.write.option("header", True).option("sep", "\t").csv(path)
     return metrics.training_time(spark, path)
 

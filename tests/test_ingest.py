@@ -2,12 +2,16 @@ from __future__ import annotations
 
 import json
 from datetime import date, datetime
+from functools import partial
 
 import pytest
+from plans import plan
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridcast.functions.scalars import parse_utc
+from gridcast.operators.ordered import running_sums
 from gridcast.schemas import (
     CV_METRICS,
     GENERATION_DOCUMENT,
@@ -19,6 +23,7 @@ from gridcast.schemas import (
     struct,
 )
 from gridcast.sources import documents, manifest, metrics, tables
+from queries import ingest
 
 
 def landed(spark, *texts):
@@ -229,6 +234,26 @@ def test_training_time(spark, tmp_path):
     assert metrics.time_report(log.limit(0)).isEmpty()
 
 
+@pytest.fixture
+def clock(spark, tmp_path, monkeypatch):
+    """Events of users (3, 6, … 120; user n has n % 5 + 1) under a folder, and the plans of logs written meanwhile."""
+    rows = [(i, datetime(2024, 1, 1), user, "a", 1.0, None) for user in range(3, 121, 3) for i in range(user % 5 + 1)]
+    events = spark.createDataFrame(rows, ingest.EVENT_COLUMNS)
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    plans, csv = [], DataFrameWriter.csv
+    monkeypatch.setattr(DataFrameWriter, "csv", lambda self, path: (plans.append(plan(self._df)), csv(self, path))[1])
+    monkeypatch.setattr(ingest, "running_sums", partial(running_sums, chunk_rows=7), raising=False)
+    return str(tmp_path), plans
+
+
+def test_time_report_of_a_clock_over_several_chunks(spark, clock):
+    folder, plans = clock
+    (report,) = ingest.time_report(spark, folder).collect()
+    passed = 1000 * sum(user % 5 + 1 for user in range(3, 121, 3))
+    assert tuple(report) == (118, passed, round(passed / 118 + 3.1e-8, 6), 0)
+    assert len(plans) == 1 and "unboundedfollowing" not in plans[0]  # a frame that would be summed anew for every row
+
+
 def test_feature_list():
     spec = FeatureSpec()
     assert len(spec.inputs) == len(set(spec.inputs)) == 28

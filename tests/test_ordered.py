@@ -15,6 +15,7 @@ from gridcast.operators.ordered import (
     largest_group,
     ordered_index,
     ordered_rows,
+    running_sums,
     with_windows,
 )
 from gridcast.operators.windows import lag_columns, with_rolling
@@ -168,6 +169,34 @@ def test_ordered_plans_use_no_single_partition(spark):
         assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+@pytest.mark.parametrize("chunk_rows", [1, 7, 50, 1000])
+@pytest.mark.parametrize("nulls", [0.0, 0.5, 1.0])
+def test_running_sums_look_both_ways(spark, chunk_rows, nulls):
+    frame = series(9, 120, nulls)
+    whole = [None if pd.isna(x) else round(x * 100) for x in frame["x"]]
+    rows = [(None if i == 0 else i, x) for i, x in enumerate(whole)]  # the order of one row is NULL: it comes first
+    df = spark.createDataFrame(rows, "id INT, x LONG").repartition(5)
+    got = running_sums(df, ["id"], "x", "upto", "after", chunk_rows=chunk_rows, unique=True)
+    assert got.columns == ["id", "x", "upto", "after"]
+
+    def total(values):
+        known = [v for v in values if v is not None]
+        return sum(known) if known else None
+
+    expected = {(i, x, total(whole[: n + 1]), total(whole[n + 1 :])) for n, (i, x) in enumerate(rows)}
+    assert {tuple(r) for r in got.collect()} == expected and got.count() == len(rows)
+    assert running_sums(df.limit(0), ["id"], "x", "upto", "after").isEmpty()
+
+
+def test_running_sums_gather_one_row_per_chunk(spark):
+    df = spark_frame(spark, series(8)).select("id", "x", F.lit(1).alias("_chunk"))  # a caller's column of that name
+    text = plan(running_sums(df, ["id"], "x", "upto", "after", chunk_rows=20, unique=True))
+    assert "unboundedfollowing" not in text
+    lines = text.splitlines()
+    gathered = [n for n, line in enumerate(lines) if "SinglePartition" in line]
+    assert gathered and all("HashAggregate(keys=[__chunk" in lines[n + 1] for n in gathered)
+
+
 # --- positions without a sort ---------------------------------------------------------------
 
 
