@@ -254,6 +254,32 @@ def test_time_report_of_a_clock_over_several_chunks(spark, clock):
     assert len(plans) == 1 and "unboundedfollowing" not in plans[0]  # a frame that would be summed anew for every row
 
 
+def test_training_time_over_several_chunks(spark, clock):
+    folder, plans = clock
+    passed, expected = 0, []
+    whole = 1000 * sum(user % 5 + 1 for user in range(3, 121, 3))
+    for user in range(3, 121, 3):
+        passed += 1000 * (user % 5 + 1)
+        expected.append((user, passed, whole - passed))
+    log = ingest.training_time(spark, folder)
+    assert [tuple(r) for r in log.orderBy("iter").collect()] == expected
+    # One task gathers a row per chunk, never one per user.
+    (lines,) = [text.splitlines() for text in plans]
+    gathered = [n for n, line in enumerate(lines) if "SinglePartition" in line]
+    assert all("HashAggregate(keys=[_chunk" in lines[n + 1] for n in gathered)
+
+
+def test_training_time_of_users_without_an_id_and_of_no_events(spark, tmp_path):
+    rows = [(i, None, user, "a", 1.0, None) for i, user in enumerate([7, None, 7, None, None, 2])]
+    events = spark.createDataFrame(rows, ingest.EVENT_COLUMNS)
+    events.write.parquet(str(tmp_path / "some/events.parquet"))
+    events.limit(0).write.parquet(str(tmp_path / "none/events.parquet"))
+    log = ingest.training_time(spark, str(tmp_path / "some"))
+    assert {tuple(r) for r in log.collect()} == {(None, 3000, 3000), (2, 4000, 2000), (7, 6000, 0)}
+    assert ingest.training_time(spark, str(tmp_path / "none")).isEmpty()
+    assert ingest.time_report(spark, str(tmp_path / "none")).isEmpty()
+
+
 def test_feature_list():
     spec = FeatureSpec()
     assert len(spec.inputs) == len(set(spec.inputs)) == 28
