@@ -79,4 +79,4 @@ def test_every_operator_and_the_pipeline_are_registered():
     import __spark_entry__
 
     runs = __spark_entry__.queries()
-    assert set(RUNS) | {"pipeline"} <= set(runs) and len(RUNS) == 10
+    assert set(RUNS) | {"pipeline"} <= set(runs) and len(RUNS) == 13
